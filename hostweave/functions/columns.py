@@ -150,8 +150,12 @@ def vocab_fallback(value, vocab: list[str], fallback: str = "other") -> Column:
 
 def one_hot(value, vocab: list[str], fallback: str = "other") -> Column:
     """One-hot block over a vocabulary; unknown and missing values take the fallback slot."""
-    known = F.coalesce(vocab_fallback(value, vocab, fallback), F.lit(fallback))
-    return F.array(*[F.when(known == v, 1.0).otherwise(0.0).cast("float") for v in vocab])
+    # The value is looked up once; the block is then one transform over the fixed slots, which keeps
+    # the plan small where a vector has many blocks.
+    slots = F.array(*[F.lit(v) for v in vocab])
+    place = F.array_position(slots, F.coalesce(_col(value), F.lit(fallback)))
+    hot = F.when(place > 0, place).otherwise(F.lit(vocab.index(fallback) + 1))
+    return F.transform(F.sequence(F.lit(1), F.lit(len(vocab))), lambda i: (i == hot).cast("int").cast("float"))
 
 
 def hot_index(vector, start: int, size: int) -> Column:

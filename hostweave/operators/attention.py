@@ -11,7 +11,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hostweave.operators.scale_out import lookup_join
-from hostweave.session import work_path
+from hostweave.session import cut
 
 NEGATIVE_SLOPE = 0.2
 
@@ -43,14 +43,6 @@ class AttentionLayer:
         return self.att_src.shape[1]
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared work folder and read it back: later steps start from it, and a
-    lost executor costs a re-read, not a re-computation."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _projected(nodes: DataFrame, layer: AttentionLayer, keys: list[str]) -> DataFrame:
     """Host vectors times the weight matrix, in Arrow batches, with the two score parts per head."""
     w, heads, dim = np.asarray(layer.weight, float), layer.heads, layer.dim

@@ -45,12 +45,17 @@ def flatten_connection(merged: DataFrame, keep: tuple[str, ...] = ()) -> DataFra
     ``-`` counts as missing everywhere except in ``service``, which has a slot of its own for it.
     Columns of the result: uid, then the fields in ``schemas.CONNECTION_COLUMNS``.
     """
-    conn, ssl, http = F.col("conn"), F.col("ssl"), F.col("http")
+    return _flat(merged, F.col, F.col("http").isNotNull(), F.coalesce(F.col("conn.at"), F.lit(0.0)), keep)
+
+
+def _flat(df: DataFrame, part, has_http: Column, timestamp: Column, keep: tuple[str, ...]) -> DataFrame:
+    """The record over ``part(kind)[field]``, a column for each raw field."""
+    conn, ssl, http = part("conn"), part("ssl"), part("http")
     text = lambda c, d="": F.coalesce(dash_to_null(c), F.lit(d))
     number = lambda c: lenient_long(dash_to_default(c, "0"))
     port = lambda c: lenient_long(c).cast("int")
     columns = {
-        "timestamp": F.coalesce(conn["at"], F.lit(0.0)),
+        "timestamp": timestamp,
         "src_ip": F.coalesce(conn["id_orig_h"], F.lit("")),
         "src_port": port(conn["id_orig_p"]),
         "dst_ip": F.coalesce(conn["id_resp_h"], F.lit("")),
@@ -81,14 +86,14 @@ def flatten_connection(merged: DataFrame, keep: tuple[str, ...] = ()) -> DataFra
         "uri": text(http["uri"]),
         "referrer": text(http["referrer"]),
         "http_version": text(http["version"]),
-        "http_user_agent": F.when(http.isNull(), S.DEFAULT_USER_AGENT).otherwise(
+        "http_user_agent": F.when(~has_http, S.DEFAULT_USER_AGENT).otherwise(
             user_agent_category(F.coalesce(http["user_agent"], F.lit("")))
         ),
         "origin": text(http["origin"]),
         "http_status_code": text(http["status_code"]),
         "username": text(http["username"]),
     }
-    return merged.select("uid", *keep, *[columns[n].alias(n) for n in S.CONNECTION_COLUMNS])
+    return df.select("uid", *keep, *[columns[n].alias(n) for n in S.CONNECTION_COLUMNS])
 
 
 def valid_endpoints(connections: DataFrame) -> DataFrame:
@@ -154,8 +159,8 @@ def log_lines(fields: DataFrame, kind: str) -> DataFrame:
 
 
 def from_flows(flows: DataFrame) -> DataFrame:
-    """The flow view as flat connections: every flow has one row of each kind at most, so the
-    parts need no merge by uid and the shuffle of :func:`correlate_uid` is saved."""
+    """The flow view as flat connections. A flow has one row of each kind at most, so the merge by
+    uid and its shuffle are not needed."""
     has_ssl, has_http = F.col("ssl_cipher").isNotNull(), F.col("http_method").isNotNull()
     named = {
         "conn": dict(
@@ -176,15 +181,15 @@ def from_flows(flows: DataFrame) -> DataFrame:
         ),
     }
 
-    def part(kind: str) -> Column:
-        cells = [F.col("epoch").cast("double").alias("at")]
-        for n in S.LOG_FIELDS[kind]:
-            source = named[kind].get(n)
-            cells.append((F.col(source).cast("string") if source else F.lit("-")).alias(n))
-        return F.struct(*cells)
-
-    merged = flows.select(
-        "uid", "epoch", "snapshot_ts", part("conn").alias("conn"),
-        F.when(has_ssl, part("ssl")).alias("ssl"), F.when(has_http, part("http")).alias("http"),
-    )
-    return flatten_connection(merged, ("epoch", "snapshot_ts"))
+    present = {"ssl": has_ssl, "http": has_http}
+
+    class Fields:
+        def __init__(self, kind: str):
+            self.kind = kind
+
+        def __getitem__(self, name: str) -> Column:
+            source = named[self.kind].get(name)
+            value = F.col(source).cast("string") if source else F.lit("-")
+            return value if self.kind == "conn" else F.when(present[self.kind], value)
+
+    return _flat(flows, Fields, has_http, F.col("epoch").cast("double"), ("epoch", "snapshot_ts"))

@@ -62,17 +62,22 @@ def _dot(values: list[Column], weights) -> Column:
 
 def reconstruct_score(df: DataFrame, model: Reconstruction) -> DataFrame:
     """Add ``x`` (z-scored once), ``embedding``, ``recon`` and ``recon_error``, the mean squared
-    difference. Plain arithmetic on literals: no Python in the row path."""
-    z = [(F.col(c).cast("double") - m) / (s + 1e-6) for c, m, s in zip(model.cols, model.mean, model.std)]
-    rows = df.withColumn("x", F.array(*z))
-    at = lambda c, i: F.col(c)[i]
-    n, k = len(model.cols), len(model.components)
-    rows = rows.withColumn("embedding", F.array(*[_dot([at("x", i) for i in range(n)], w) for w in model.components]))
-    rows = rows.withColumn("recon", F.array(*[
-        _dot([at("embedding", j) for j in range(k)], [model.components[j][i] for j in range(k)]) for i in range(n)
-    ]))
-    squares = [(at("x", i) - at("recon", i)) * (at("x", i) - at("recon", i)) for i in range(n)]
-    return rows.withColumn("recon_error", _dot(squares, [1.0] * n) / n)
+    difference. Rows pass through two small matrix products in Arrow batches; as column arithmetic
+    the products would be features x components terms long for each output."""
+    mean, std = np.array(model.mean), np.array(model.std)
+    components = np.array(model.components)
+
+    @pandas_udf("x array<double>, embedding array<double>, recon array<double>, recon_error double")
+    def score(rows: pd.Series) -> pd.DataFrame:
+        x = (np.array(rows.tolist(), dtype=float).reshape(len(rows), -1) - mean) / (std + 1e-6)
+        embedding = x @ components.T
+        recon = embedding @ components
+        return pd.DataFrame({
+            "x": list(x), "embedding": list(embedding), "recon": list(recon), "recon_error": ((x - recon) ** 2).mean(axis=1),
+        })
+
+    raw = F.array(*[F.col(c).cast("double") for c in model.cols])
+    return df.withColumn("_s", score(raw)).select(*df.columns, "_s.x", "_s.embedding", "_s.recon", "_s.recon_error")
 
 
 def project_pca(df: DataFrame, cols: list[str], k: int = 3) -> tuple[DataFrame, tuple[float, ...]]:

@@ -16,8 +16,13 @@ _SUM_SOURCES = {
 
 
 def explode_services(connections: DataFrame, keep_blank: bool = True) -> DataFrame:
-    """One row for each service of a connection."""
-    return connections.withColumn("service", F.explode(split_services("service", keep_blank)))
+    """One row for each service of a connection.
+
+    The outer form plus a null check does the work of a plain explode, but does not make the
+    optimizer compute the list a second time to test its size.
+    """
+    rows = connections.withColumn("service", F.explode_outer(split_services("service", keep_blank)))
+    return rows.filter(F.col("service").isNotNull())
 
 
 def _edge_keys(connections: DataFrame) -> DataFrame:
@@ -102,7 +107,7 @@ def edge_vector_sum(connections: DataFrame, by: tuple[str, ...] = ()) -> DataFra
 
 def node_set(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """All endpoints, each once. One pass over the edges; duplicates go before the shuffle."""
-    ends = edges.select(*by, F.explode(F.array("src", "dst")).alias("node"))
+    ends = edges.select(*by, F.explode_outer(F.array("src", "dst")).alias("node"))
     return ends.distinct()
 
 
@@ -131,7 +136,7 @@ def node_degrees(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """In, out and total degree over distinct edges; a self-loop adds to both sides."""
     ends = edges.select(
         *by,
-        F.explode(F.array(
+        F.explode_outer(F.array(
             F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")),
             F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")),
         )).alias("e"),

@@ -18,18 +18,16 @@ EPS = 1e-9
 def node_one_hot(rollup: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """87-dimensional host vector (column ``encoded``) from the wide host row."""
     rows = time_circles(rollup)
-    other = {"service_1", "service_2", "service_3"}
-    source = {"most_freq_conn_state": "most_freq_conn_state", "has_ssl_resumption": None}
+    types = dict(rows.dtypes)
     blocks = []
     for name, vocab in S.NODE_ENCODING.items():
         if vocab:
-            value = F.coalesce(F.col(name), F.lit("other")) if name in other else F.col(source.get(name) or name)
-            blocks.append(one_hot(value, vocab))
+            blocks.append(one_hot(name, vocab))
         elif name == "has_ssl_resumption":
             blocks.append(F.array((F.col("ssl_resumption_count") > 0).cast("int").cast("float")))
         else:
             value = F.col(name)
-            if dict(rows.dtypes)[name] == "boolean":
+            if types[name] == "boolean":
                 value = value.cast("int")
             blocks.append(F.array(F.coalesce(value.cast("float"), F.lit(0.0).cast("float"))))
     return rows.select(*keep, "node", F.concat(*blocks).alias("encoded"))

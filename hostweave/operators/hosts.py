@@ -182,8 +182,8 @@ def node_histograms(connections: DataFrame, kinds: list[str] | None = None, by:
         array = services if array is None else F.concat(array, services)
     ends = F.array("src_ip", "dst_ip")
     rows = connections.select(*by, array.alias("_t"), ends.alias("_e"))
-    rows = rows.select(*by, "_e", F.explode("_t").alias("_t")).filter("_t.value is not null")
-    rows = rows.select(*by, F.explode("_e").alias("node"), F.col("_t.kind").alias("kind"), F.col("_t.value").alias("value"))
+    rows = rows.select(*by, "_e", F.explode_outer("_t").alias("_t")).filter("_t.value is not null")
+    rows = rows.select(*by, F.explode_outer("_e").alias("node"), F.col("_t.kind").alias("kind"), F.col("_t.value").alias("value"))
     return rows.groupBy(*by, "node", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -365,7 +365,7 @@ def rolling_connections(
     shifts = [(0, 1, 1), (60 * second + 1, -1, 0), (3600 * second + 1, 0, -1)]
     moves = arrivals.select(
         "node", "micros", "n",
-        F.explode(F.array(*[
+        F.explode_outer(F.array(*[
             F.struct(F.lit(s).cast("bigint").alias("shift"), F.lit(m).alias("m"), F.lit(h).alias("h")) for s, m, h in shifts
         ])).alias("s"),
     ).select(

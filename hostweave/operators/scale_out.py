@@ -100,7 +100,7 @@ def exact_percentiles(
         joined = lookup_join(rows, sketch, by)
     else:
         joined = rows.crossJoin(F.broadcast(sketch))  # one row: a global aggregate
-    pieces = joined.select(*by, "n", "_v", F.explode("_brackets").alias("_b")).filter("_v <= _b.hi")
+    pieces = joined.select(*by, "n", "_v", F.explode_outer("_brackets").alias("_b")).filter("_v <= _b.hi")
     keys = [*by, "n", "i", "p"]
     pieces = pieces.select(
         *by, "n", F.col("_b.i").alias("i"), F.col("_b.p").alias("p"),

@@ -18,7 +18,7 @@ STD_FLOOR = 1e-6
 
 def _melt(df: DataFrame, keys: list[str], structs: dict[str, Column]) -> DataFrame:
     """One row for each named struct."""
-    rows = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), s.alias("s")) for n, s in structs.items()])).alias("_x"))
+    rows = df.select(*keys, F.explode_outer(F.array(*[F.struct(F.lit(n).alias("feature"), s.alias("s")) for n, s in structs.items()])).alias("_x"))
     return rows.select(*keys, "_x.feature", "_x.s.*")
 
 
@@ -208,7 +208,7 @@ def feature_density(df: DataFrame, cols: list[str], bins: int = 20) -> DataFrame
         F.struct(F.lit(c).alias("feature"), F.col(c).alias("v"), F.col(f"_{i}.lo").alias("lo"), F.col(f"_{i}.hi").alias("hi"))
         for i, c in enumerate(cols)
     ])
-    rows = joined.select(F.explode(picked).alias("x")).select("x.*")
+    rows = joined.select(F.explode_outer(picked).alias("x")).select("x.*")
     width = F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
     place = F.coalesce(F.floor((F.col("v") - F.col("lo")) / width * bins), F.lit(0))
     return rows.filter("v is not null").groupBy("feature", F.least(place, F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -12,7 +12,7 @@ def edge_incidence(edges: DataFrame) -> DataFrame:
     """Each edge for its source as outgoing and for its target as incoming; a self-loop is outgoing
     only. One pass over the edges."""
     self_loop = F.col("src") == F.col("dst")
-    rows = edges.withColumn("outgoing", F.explode(F.when(self_loop, F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))))
+    rows = edges.withColumn("outgoing", F.explode_outer(F.when(self_loop, F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))))
     return rows.withColumn("node", F.when(F.col("outgoing"), F.col("src")).otherwise(F.col("dst")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators rely on. All are runtime SQL settings, so an existing session can
 # take them; cluster-wide settings (memory, executors, shuffle service) stay with the operator.
@@ -45,3 +45,11 @@ def checkpoint_root(spark: SparkSession) -> str:
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for one run below the shared work folder."""
     return f"{checkpoint_root(spark)}/hostweave/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared work folder and read it back: later steps start from it, and a
+    lost executor costs a re-read, not a re-computation. For tables with several readers."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -167,7 +167,11 @@ def process_snapshots(
         # a batch holds at least one snapshot, so the buffer lies within as many batches
         recent = (F.col("batch") <= batch_id) & (F.col("batch") > batch_id - drift_ops.BUFFER)
         seen = spark.read.parquet(f"{root}/features").filter(recent)
-        buffer = drift_ops.buffer_snapshots(seen)
+        streaks = spark.read.parquet(f"{root}/state/drift").filter(
+            (F.col("version") <= batch_id) & (F.col("version") > batch_id - drift_ops.BUFFER)
+        )
+        cuts = drift_ops.adapt_window(seen, streaks)
+        buffer = drift_ops.buffer_snapshots(seen, cut=cuts)
         model, errors = pipelines.fit_model(seen.join(buffer, "snapshot_ts", "left_semi"), k)
         pipelines.save_model(spark, model, model_path)
         save_stats(errors, f"{root}/state/error_stats", batch_id)
