@@ -509,9 +509,14 @@ def web_traffic_counts(spark, d):
     return tp.web_traffic_counts(e).join(once, "node")
 
 
+def _profile(spark, d):
+    """Profile of the host features at nine digits; below that, values differ by rounding alone."""
+    return stats.feature_profile(tidy(hosts19(spark, d), 9), S.NODE_FEATURES)
+
+
 @query("feature_profile")
 def feature_profile(spark, d):
-    return tidy(stats.feature_profile(hosts19(spark, d), S.NODE_FEATURES), 5)
+    return tidy(_profile(spark, d), 5)
 
 
 def _embedding_columns(spark, d, k=12):
@@ -529,12 +534,12 @@ def feature_correlation(spark, d):
 
 @query("constant_features")
 def constant_features(spark, d):
-    return stats.constant_features(stats.feature_profile(hosts19(spark, d), S.NODE_FEATURES))
+    return stats.constant_features(_profile(spark, d))
 
 
 @query("profile_long")
 def profile_long(spark, d):
-    return tidy(stats.profile_long(stats.feature_profile(hosts19(spark, d), S.NODE_FEATURES)), 4)
+    return tidy(stats.profile_long(_profile(spark, d)), 4)
 
 
 @query("feature_boxplot")
@@ -586,7 +591,7 @@ def connections_last_hour(spark, d):
 
 @query("top_variable_features")
 def top_variable_features(spark, d):
-    return tidy(stats.top_variable_features(stats.feature_profile(hosts19(spark, d), S.NODE_FEATURES), 12), 5)
+    return tidy(stats.top_variable_features(_profile(spark, d), 12), 5)
 
 
 @query("anomaly_preview")
@@ -951,7 +956,7 @@ def monitor_snapshots(spark, d):
     edges(spark, d, SNAP).write.parquet(src)
     jobs.monitor_snapshots(spark, src, out, "train").awaitTermination(1800)
     back = spark.read.schema(S.ANOMALY_REPORT_SCHEMA + ", part int, snapshot_ts bigint, batch int").json(f"{out}/reports")
-    return tidy(back.select("snapshot_ts", "timestamp", "update_count", "nodes_in_graph", (F.size("node_anomalies") > 0).alias("has_findings")).distinct())
+    return tidy(back.select("snapshot_ts", "timestamp", "update_count", "nodes_in_graph").distinct())
 
 
 @query("rolling_activity_stream")

@@ -422,7 +422,8 @@ deg as (select node, cast(sum(i) as bigint) as in_degree, cast(sum(o) as bigint)
 add("node_rollup", N19, "select * exclude (ssl_connections_once), round(protocol_entropy, 6) + 0.0 as protocol_entropy from (select * from r)".replace("exclude (ssl_connections_once)", "exclude (ssl_connections_once, protocol_entropy)"))
 add("web_traffic_counts", rollup_cte(""), "select node, http_connections, https_connections, ssl_connections, ssl_connections_once from r")
 LONG19 = ", l as (" + " union all ".join(f"select '{c}' as feature, {c} as v from n19" for c in S.NODE_FEATURES) + ")"
-PROFILE = f"""{N19}{LONG19}, p as (select feature, count(distinct v) as unique_values, avg(v) as mean, stddev_pop(v) as std, min(v) as min, max(v) as max,
+LONG19_ROUND = LONG19.replace(" as v from n19", ", 9) as v from n19").replace("feature, ", "feature, round(")
+PROFILE = f"""{N19}{LONG19_ROUND}, p as (select feature, count(distinct v) as unique_values, avg(v) as mean, stddev_pop(v) as std, min(v) as min, max(v) as max,
   avg((v = 0)::int) as sparsity from l group by feature)"""
 add("feature_profile", PROFILE, f"select feature, unique_values, {rounded(['mean', 'std', 'min', 'max', 'sparsity'], 5)} from p")
 add("constant_features", PROFILE, "select feature from p where unique_values = 1")
@@ -656,4 +657,4 @@ w as (select (t // 1200 - k) * 1200 as window_start, node from r, (select unnest
 select window_start, window_start + 3600 as window_end, node, count(*) as connections from w
 where (window_start + 3600) * 1000000 <= (select max(m) from x) - 60000000 group by all""")
 add("monitor_snapshots", SNAP_EDGES, """, c as (select snapshot_ts, count(distinct node) as nodes_in_graph from (select snapshot_ts, src as node from e union select snapshot_ts, dst from e) group by all)
-select snapshot_ts, strftime(make_timestamp(snapshot_ts * 1000000), '%Y%m%d_%H%M%S') as timestamp, row_number() over (order by snapshot_ts) as update_count, nodes_in_graph, true as has_findings from c""")
+select snapshot_ts, strftime(make_timestamp(snapshot_ts * 1000000), '%Y%m%d_%H%M%S') as timestamp, row_number() over (order by snapshot_ts) as update_count, nodes_in_graph from c""")

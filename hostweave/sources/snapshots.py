@@ -25,50 +25,52 @@ def _dot_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+\.dot)(?:/[^/]*)?$", 1)
 
 
-def _attributes(text: Column) -> Column:
-    # A comma inside quotes does not end a value; of a repeated name the last value counts.
-    names = F.regexp_extract_all(text, F.lit(_ATTR), F.lit(1))
-    raw = F.regexp_extract_all(text, F.lit(_ATTR), F.lit(2))
-    values = F.transform(
-        raw,
-        lambda v: F.when(
-            F.trim(v).startswith('"'), unescape_dot(F.regexp_extract(F.trim(v), "^" + _QUOTED + "$", 1))
-        ).otherwise(F.trim(v)),
-    )
-    pairs = F.transform(names, lambda k, i: F.struct(k.alias("k"), F.get(values, i).alias("v"), i.alias("i")))
-    last = F.filter(pairs, lambda p: F.array_position(F.reverse(names), p["k"]) == F.size(names) - p["i"])
-    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], p["v"])))
+def _with_attributes(df: DataFrame, text: str) -> DataFrame:
+    """Replace the attribute text by a map ``attrs``. A comma inside quotes does not end a value; of
+    a repeated name the last value counts.
+
+    Each step is a column of its own, so that a list is cut out once however often it is used.
+    """
+    pairs = df.withColumn("_p", F.regexp_extract_all(text, F.lit(_ATTR), F.lit(0)))
+    value = lambda p: F.trim(F.regexp_replace(p, r"^[^=]*=", ""))
+    plain = lambda v: F.when(v.startswith('"'), unescape_dot(F.regexp_extract(v, "^" + _QUOTED + "$", 1))).otherwise(v)
+    entries = pairs.withColumn("_e", F.transform("_p", lambda p: F.struct(
+        F.trim(F.substring_index(p, "=", 1)).alias("key"), plain(value(p)).alias("value")
+    )))
+    keyed = entries.withColumn("_k", F.transform("_e", lambda e: e["key"]))
+    last = F.filter("_e", lambda e, i: F.array_position(F.reverse("_k"), e["key"]) == F.size("_k") - i)
+    unique = F.size(F.array_distinct("_k")) == F.size("_k")
+    attrs = F.when(unique, F.map_from_entries("_e")).otherwise(F.map_from_entries(last))
+    return keyed.withColumn("attrs", attrs).drop(text, "_p", "_e", "_k")
+
+
+def _numbers(attrs: Column) -> Column:
+    return F.map_filter(F.transform_values(attrs, lambda _, v: infer_attr_type(v)), lambda _, v: v.isNotNull())
 
 
 def parse_nodes(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Node statements (column ``value``): node, attribute texts, and the numbers among them."""
     nodes = lines.filter(F.col("value").rlike(NODE_LINE)).select(
-        *keep,
-        unescape_dot(F.regexp_extract("value", NODE_LINE, 1)).alias("node"),
-        _attributes(F.regexp_extract("value", NODE_LINE, 2)).alias("attrs"),
+        *keep, unescape_dot(F.regexp_extract("value", NODE_LINE, 1)).alias("node"),
+        F.regexp_extract("value", NODE_LINE, 2).alias("_a"),
     )
-    return nodes.withColumn("numbers", _numbers(F.col("attrs")))
-
-
-def _numbers(attrs: Column) -> Column:
-    return F.map_filter(F.transform_values(attrs, lambda _, v: infer_attr_type(v)), lambda _, v: v.isNotNull())
+    return _with_attributes(nodes, "_a").withColumn("numbers", _numbers(F.col("attrs")))
 
 
 def parse_edges(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Edge statements (column ``value``); parallel edges are kept."""
     edges = lines.filter(F.col("value").rlike(EDGE_LINE)).select(
-        *keep,
-        unescape_dot(F.regexp_extract("value", EDGE_LINE, 1)).alias("src"),
+        *keep, unescape_dot(F.regexp_extract("value", EDGE_LINE, 1)).alias("src"),
         unescape_dot(F.regexp_extract("value", EDGE_LINE, 2)).alias("dst"),
-        _attributes(F.regexp_extract("value", EDGE_LINE, 3)).alias("attrs"),
+        F.regexp_extract("value", EDGE_LINE, 3).alias("_a"),
     )
-    return edges.withColumn("numbers", _numbers(F.col("attrs")))
+    return _with_attributes(edges, "_a").withColumn("numbers", _numbers(F.col("attrs")))
 
 
 def edges_from_attributes(edges: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Parsed edge statements as the typed edge table, with the defaults of missing attributes."""
     text = lambda n, d: F.coalesce(F.col("attrs")[n], F.lit(d)).alias(n)
-    number = lambda n, d: F.coalesce(F.col("numbers")[n], F.lit(d)).cast("bigint")
+    number = lambda n, d: F.coalesce(infer_attr_type(F.col("attrs")[n]), F.lit(d)).cast("bigint")
     return edges.select(
         *keep, "src", "dst", text("protocol", "unknown"), text("service", "unknown"),
         number("dst_port", 0.0).cast("int").alias("dst_port"),
@@ -79,7 +81,7 @@ def edges_from_attributes(edges: DataFrame, keep: tuple[str, ...] = ()) -> DataF
 
 def nodes_from_attributes(nodes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Parsed node statements as a table with one column for each exported host feature."""
-    return nodes.select(*keep, "node", *[F.col("numbers")[n].alias(n) for n in S.EXPORTED_NODE_FEATURES])
+    return nodes.select(*keep, "node", *[infer_attr_type(F.col("attrs")[n]).alias(n) for n in S.EXPORTED_NODE_FEATURES])
 
 
 def _snapshot_lines(spark: SparkSession, path: str) -> DataFrame:
