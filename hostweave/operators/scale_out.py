@@ -76,8 +76,8 @@ def exact_percentiles(
     sketch first gives a bracket that must hold the wanted rank; rows below the bracket are only
     counted, and only the values inside it (about ``4n/accuracy`` of them) are ordered.
     """
-    # The sketch promises a rank error of n/accuracy; twice that is left on either side.
-    slack = 2.0 / accuracy
+    # The sketch promises a rank error of n/accuracy; three times that is left on either side.
+    slack = 3.0 / accuracy
     low = [max(0.0, p - slack) for p in probs]
     high = [min(1.0, p + slack) for p in probs]
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).filter("_v is not null")
@@ -87,12 +87,14 @@ def exact_percentiles(
         F.percentile_approx("_v", low + high, accuracy).alias("_q"),
     )
     k = len(probs)
-    # At the ends the bracket is opened to the true extremes.
+    # At the ends, and for groups small enough to be ordered whole, the bracket is opened to the
+    # true extremes.
+    small = F.col("n") <= accuracy
     sketch = sketch.select(*by, "n", F.array(*[
         F.struct(
             F.lit(i).alias("i"), F.lit(float(p)).alias("p"),
-            (F.col("_min") if low[i] <= 0 else F.col("_q")[i]).alias("lo"),
-            (F.col("_max") if high[i] >= 1 else F.col("_q")[k + i]).alias("hi"),
+            (F.col("_min") if low[i] <= 0 else F.when(small, F.col("_min")).otherwise(F.col("_q")[i])).alias("lo"),
+            (F.col("_max") if high[i] >= 1 else F.when(small, F.col("_max")).otherwise(F.col("_q")[k + i])).alias("hi"),
         ) for i, p in enumerate(probs)
     ]).alias("_brackets"))
     if by:
