@@ -10,7 +10,7 @@ from pyspark.sql import Column, functions as F
 from hostweave import schemas as S
 
 __all__ = [
-    "lenient_long", "dash_to_default", "dash_to_null", "zeek_bool", "split_services",
+    "lenient_long", "status_number", "dash_to_default", "dash_to_null", "zeek_bool", "split_services",
     "user_agent_category", "minute_of_day_circle", "privileged_port_strict", "privileged_port",
     "infer_attr_type", "entropy_bits", "map_entropy_bits", "connection_consistency", "zscore",
     "vocab_fallback", "one_hot", "hot_index", "escape_dot", "unescape_dot", "hash_fraction", "array_of",
@@ -25,8 +25,17 @@ def _col(c) -> Column:
 def lenient_long(c) -> Column:
     """Leading integer of a text; 0 when there is none or it does not fit 64 bits."""
     c = _col(c).cast("string")
-    prefix = F.regexp_extract(c, r"^\s*([+-]?\d+)", 1)
-    return F.coalesce(c.try_cast("bigint"), prefix.try_cast("bigint"), F.lit(0).cast("bigint"))
+    # A failing try_cast builds an exception, so the common misses never get to one.
+    prefix = F.nullif(F.regexp_extract(c, r"^\s*([+-]?\d+)", 1), F.lit(""))
+    plain = F.when(c.rlike(r"^\d{1,18}$"), c.try_cast("bigint"))
+    return F.coalesce(plain, prefix.try_cast("bigint"), F.lit(0).cast("bigint"))
+
+
+def status_number(c) -> Column:
+    """Leading integer of a status text, null without one."""
+    c = _col(c)
+    digits = F.nullif(F.regexp_extract(c, r"^\s*([+-]?\d{1,9})", 1), F.lit(""))
+    return F.when(c != "", digits.try_cast("int"))
 
 
 def dash_to_default(c, default: str) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from hostweave import schemas as S
 from hostweave.functions import (
     activity_score, connection_consistency, dash_to_null, minute_of_day_circle,
-    privileged_port_strict, split_services, user_agent_category,
+    privileged_port_strict, split_services, status_number, user_agent_category,
 )
 from hostweave.operators.scale_out import prefix_sums
 
@@ -74,7 +74,7 @@ def direction_ratios() -> list[Column]:
 
 def host_flags() -> list[Column]:
     """Ever-true flags."""
-    out, status = F.col("outgoing"), F.col("http_status_code").try_cast("int")
+    out, status = F.col("outgoing"), status_number("http_status_code")
     ever = lambda c, name: F.bool_or(F.coalesce(c, F.lit(False))).alias(name)
     return [
         ever(F.col("local_orig"), "ever_local_originated"),
@@ -98,16 +98,13 @@ def tls_counts() -> list[Column]:
     ]
 
 
-def port_sets(approx: bool = False) -> list[Column]:
-    """Sizes of the four port sets; ``approx`` swaps the exact count for a bounded sketch."""
-    out = F.col("outgoing")
-    count = F.approx_count_distinct if approx else F.count_distinct
-    return [
-        count(F.when(out, F.col("dst_port"))).alias("unique_remote_ports_connected_to"),
-        count(F.when(out, F.col("src_port"))).alias("unique_local_ports_used"),
-        count(F.when(~out, F.col("src_port"))).alias("unique_remote_ports_connected_from"),
-        count(F.when(~out, F.col("dst_port"))).alias("unique_local_ports_listening_on"),
-    ]
+# set of ports -> (does it belong to the outgoing role, port column)
+_PORT_SETS = {
+    "unique_remote_ports_connected_to": (True, "dst_port"),
+    "unique_local_ports_used": (True, "src_port"),
+    "unique_remote_ports_connected_from": (False, "src_port"),
+    "unique_local_ports_listening_on": (False, "dst_port"),
+}
 
 
 def seen_times() -> list[Column]:
@@ -139,7 +136,21 @@ def node_tls_counts(connections: DataFrame, by: tuple[str, ...] = ()) -> DataFra
 
 
 def node_port_sets(connections: DataFrame, by: tuple[str, ...] = (), approx: bool = False) -> DataFrame:
-    return _by_host(connections, by, *port_sets(approx))
+    """Sizes of the four port sets; ``approx`` swaps the exact count for a bounded sketch.
+
+    The exact form keeps narrow (host, set, port) rows and removes equal ones before the shuffle.
+    """
+    if approx:
+        mine = lambda out, c: F.when(F.col("outgoing") == out, F.col(c))
+        return _by_host(connections, by, *[F.approx_count_distinct(mine(*v)).alias(n) for n, v in _PORT_SETS.items()])
+    entry = lambda i, out, c: F.struct(
+        F.col("src_ip" if out else "dst_ip").alias("node"), F.lit(i).alias("which"), F.col(c).alias("port")
+    )
+    entries = F.array(*[entry(i, *v) for i, v in enumerate(_PORT_SETS.values())])
+    distinct = connections.select(*by, F.explode_outer(entries).alias("_p")).select(*by, "_p.*").distinct()
+    return distinct.groupBy(*by, "node").agg(
+        *[F.count_if((F.col("which") == i) & F.col("port").isNotNull()).alias(n) for i, n in enumerate(_PORT_SETS)]
+    )
 
 
 def node_activity_score(connections: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -161,7 +172,7 @@ _CATEGORIES = {
     "user_agent": lambda: user_agent_category(F.nullif(F.col("http_user_agent"), F.lit(""))),
     "http_version": lambda: dash_to_null("http_version"),
     "ssl_version": lambda: dash_to_null("ssl_version"),
-    "http_status": lambda: F.col("http_status_code").try_cast("int").cast("string"),
+    "http_status": lambda: status_number("http_status_code").cast("string"),
     "ssl_cipher": lambda: dash_to_null("ssl_cipher"),
     "ssl_next_protocol": lambda: dash_to_null("ssl_next_protocol"),
 }
@@ -174,7 +185,8 @@ def node_histograms(connections: DataFrame, kinds: list[str] | None = None, by:
     All kinds come from one pass; equal (host, kind, value) rows combine before the shuffle.
     """
     kinds = kinds or CATEGORY_KINDS
-    token = lambda k, v: F.struct(F.lit(k).alias("kind"), v.alias("value"))
+    # a kind is a small number until the rows are counted
+    token = lambda k, v: F.struct(F.lit(kinds.index(k)).alias("kind"), v.alias("value"))
     tokens = [token(k, _CATEGORIES[k]()) for k in kinds if k != "service"]
     array = F.array(*tokens) if tokens else None
     if "service" in kinds:
@@ -184,7 +196,9 @@ def node_histograms(connections: DataFrame, kinds: list[str] | None = None, by:
     rows = connections.select(*by, array.alias("_t"), ends.alias("_e"))
     rows = rows.select(*by, "_e", F.explode_outer("_t").alias("_t")).filter("_t.value is not null")
     rows = rows.select(*by, F.explode_outer("_e").alias("node"), F.col("_t.kind").alias("kind"), F.col("_t.value").alias("value"))
-    return rows.groupBy(*by, "node", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    counted = rows.groupBy(*by, "node", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    names = F.array(*[F.lit(k) for k in kinds])
+    return counted.withColumn("kind", F.get(names, F.col("kind")))
 
 
 def node_histogram(connections: DataFrame, kind: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -252,15 +266,14 @@ def node_rollup_conn(
 ) -> DataFrame:
     """All host measures in one row.
 
-    Two passes over the connections: numbers, flags and port sets; and the category histograms,
-    which are ranked per (host, kind) and then packed. Both end partitioned by host, so they join
-    without another shuffle. ``degrees`` (see ``edges.node_degrees``) is joined in when given.
+    Three passes over the connections: numbers and flags, port sets, and the category histograms,
+    which are ranked per (host, kind) and then packed. Each pass reads its own columns and keeps
+    its own narrow rows; all end partitioned by host, so they join without another shuffle. ``degrees`` (see ``edges.node_degrees``) is joined in when given.
     """
     keys = [*by, "node"]
     numbers = _by_host(
-        connections, by, *connection_counts(), *traffic_sums(compat), *host_flags(), *tls_counts(),
-        *port_sets(approx), *seen_times(),
-    )
+        connections, by, *connection_counts(), *traffic_sums(compat), *host_flags(), *tls_counts(), *seen_times(),
+    ).join(node_port_sets(connections, by, approx), keys)
     numbers = numbers.select("*", *average_packet_sizes(), *direction_ratios(), activity_score("total_connections").alias("activity_score"))
     long = node_histograms(connections, None, by)
     rank = F.row_number().over(Window.partitionBy(*keys, "kind").orderBy(*_rank_order()))

@@ -18,7 +18,7 @@ _ATTR = r'([^=,\s]+)\s*=\s*("(?:[^"\\]|\\.)*"|[^,]*)'
 def snapshot_time(name) -> Column:
     """Epoch seconds in a file name ``..._<digits>.<ext>``, null if there are none."""
     name = F.col(name) if isinstance(name, str) else name
-    return F.regexp_extract(name, r"_(\d+)\.", 1).try_cast("bigint")
+    return F.nullif(F.regexp_extract(name, r"_(\d+)\.", 1), F.lit("")).try_cast("bigint")
 
 
 def _dot_name(path: Column) -> Column:
