@@ -243,7 +243,7 @@ def node_report_full(spark, d):
 @query("write_anomaly_report")
 def write_anomaly_report(spark, d):
     scored = toy_scored(spark, d)
-    _, documents = pipelines.reports(scored, stored_edges(spark, d))
+    _, documents = pipelines.reports(scored)
     path = work_path(spark, "reports")
     detect.write_anomaly_report(documents, path)
     back = spark.read.schema(S.ANOMALY_REPORT_SCHEMA + ", part int, snapshot_ts bigint").json(path)

@@ -11,9 +11,10 @@ from hostweave.operators.connections import connections_from_logs
 from hostweave.operators.detect import (
     Reconstruction, anomaly_report, detect_anomalies, project_pca, reconstruct_fit, reconstruct_score,
 )
-from hostweave.operators.edges import edge_aggregate, node_index
+from hostweave.operators.edges import edge_aggregate
 from hostweave.operators.features import node_features_19, node_one_hot
 from hostweave.operators.hosts import node_rollup_conn
+from hostweave.operators.scale_out import dense_index
 from hostweave.operators.stats import reconstruction_by_feature, stats_update
 from hostweave.operators.topology import node_rollup
 from hostweave.session import prepare_session
@@ -124,9 +125,9 @@ def score_snapshots(
     return head(scored) if head else error_score(scored, errors)
 
 
-def reports(scored: DataFrame, edges: DataFrame, errors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def reports(scored: DataFrame, errors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Scored hosts to (flagged hosts with their position, report documents)."""
-    index = node_index(edges, SNAPSHOT)
+    index = dense_index(scored.select(*SNAPSHOT, "node"), "node", list(SNAPSHOT))
     flagged = detect_anomalies(scored, errors).join(index, ["snapshot_ts", "node"]).withColumnRenamed("idx", "node_id")
     counts = scored.groupBy("snapshot_ts").agg(F.count(F.lit(1)).alias("nodes_in_graph"))
     return flagged, anomaly_report(flagged, counts)

@@ -150,7 +150,7 @@ def drift_monitor(
 
 def process_snapshots(
     spark: SparkSession, edges: DataFrame, out_dir: str, batch_id: int, mode: str, model_path: str, k: int = 8,
-    nodes: DataFrame | None = None, head=None,
+    nodes: DataFrame | None = None, head=None, errors_path: str | None = None,
 ) -> None:
     """One batch of snapshots: features, statistics and model when training, detection, reports."""
     root = out_dir.rstrip("/")
@@ -178,21 +178,24 @@ def process_snapshots(
     elif mode != "detect":
         raise ValueError(f"unknown mode: {mode}")
     model = pipelines.load_model(spark, model_path)
-    errors = load_stats(spark, f"{root}/state/error_stats")
+    errors = load_stats(spark, errors_path or f"{root}/state/error_stats")
     scored = pipelines.reconstruct_score(features, model)
     scored = head(scored) if head else pipelines.error_score(scored, errors)
-    _, documents = pipelines.reports(scored, edges, errors)
+    _, documents = pipelines.reports(scored, errors)
     write_anomaly_report(documents, f"{root}/reports/batch={batch_id}", mode="overwrite")
 
 
 def monitor_snapshots(
     spark: SparkSession, in_dir: str, out_dir: str, mode: str = "detect", model_path: str | None = None,
-    interval: str | None = None, k: int = 8, max_files: int | None = None, head=None,
+    interval: str | None = None, k: int = 8, max_files: int | None = None, head=None, errors_path: str | None = None,
+    nodes_dir: str | None = None,
 ) -> StreamingQuery:
     """Follow a snapshot edge table and write anomaly reports for each new snapshot.
 
     ``train`` also updates statistics, drift and the model; ``detect`` needs a stored model and its
-    error statistics and fails without them. Without ``interval`` the data at hand is processed.
+    error statistics (``errors_path``) and fails without them. ``nodes_dir`` names the host table of
+    the same snapshots; without it the time-of-day features are 0. Without ``interval`` the data at
+    hand is processed.
     """
     prepare_session(spark)
     model_path = model_path or f"{out_dir.rstrip('/')}/state/model"
@@ -203,7 +206,11 @@ def monitor_snapshots(
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        process_snapshots(batch.sparkSession, batch, out_dir, batch_id, mode, model_path, k, head=head)
+        session, nodes = batch.sparkSession, None
+        if nodes_dir:
+            here = batch.select("snapshot_ts").distinct()
+            nodes = session.read.parquet(nodes_dir).join(here, "snapshot_ts", "left_semi")
+        process_snapshots(session, batch, out_dir, batch_id, mode, model_path, k, nodes, head, errors_path)
 
     return (
         reader.parquet(in_dir).writeStream.foreachBatch(run)
