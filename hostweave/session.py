@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,14 +30,17 @@ def prepare_session(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder of the cluster for cut lineage and stream state.
+    """Shared folder of the cluster for work tables and stream state, from ``spark.checkpoint.dir``.
 
-    Taken from ``spark.checkpoint.dir``; a local temporary folder is used only where the session
-    names none, which is the case in local tests.
+    A local session (``local[...]``) that names none gets a temporary folder, since driver and
+    executors are one process there. On a cluster a folder that only one machine sees would lose
+    rows, so a missing setting is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     root = tempfile.mkdtemp(prefix="hostweave-")
     spark.conf.set("spark.checkpoint.dir", root)
     return root
