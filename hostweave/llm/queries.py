@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hostweave.llm import exact_dedup as ed, url_filter as uf
+from hostweave.llm import exact_dedup as ed, fingerprint as fp, packing as pk, token_count as tc, url_filter as uf
 from hostweave.session import prepare_session
 
 QUERIES: dict = {}
@@ -17,6 +17,8 @@ def query(name: str, sql: str | None = None):
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             prepare_session(spark)
+            # texts may be long: Arrow batches of few rows keep a Python worker small
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
             return f(spark, sf_dir)
 
         run.__doc__ = f.__doc__
@@ -86,3 +88,25 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from n
 """)
 def op9_exact_dedup(spark, d):
     return ed.exact_dedup(table(spark, d, "documents"))
+
+
+def vocabulary() -> str:
+    """The word tokenizer's file; tokenizers are given, never trained or copied here."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op2_best_fit_packing")
+def op2_best_fit_packing(spark, d):
+    return pk.pack_documents(table(spark, d, "documents"), vocabulary(), 2048)
+
+
+@query("op6_token_count")
+def op6_token_count(spark, d):
+    return tc.count_tokens(table(spark, d, "documents"), vocabulary(), limit=2048)
+
+
+@query("op7_fingerprint")
+def op7_fingerprint(spark, d):
+    return fp.fingerprint_edits(table(spark, d, "documents"))
