@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hostweave.llm import exact_dedup as ed, fingerprint as fp, packing as pk, token_count as tc, url_filter as uf
+from hostweave.llm import (
+    exact_dedup as ed, fingerprint as fp, language as lg, license_scan as ls, mixing as mx, packing as pk, token_count as tc, url_filter as uf,
+)
 from hostweave.session import prepare_session
 
 QUERIES: dict = {}
@@ -110,3 +112,28 @@ def op6_token_count(spark, d):
 @query("op7_fingerprint")
 def op7_fingerprint(spark, d):
     return fp.fingerprint_edits(table(spark, d, "documents"))
+
+
+@query("op1_license_scan")
+def op1_license_scan(spark, d):
+    return ls.scan_licenses(table(spark, d, "documents"))
+
+
+def split_held_out(docs: DataFrame) -> DataFrame:
+    """``docs`` with held_out: the crc32 of the id as text, modulo 4, is 2."""
+    return docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
+
+
+@query("op3_language_id")
+def op3_language_id(spark, d):
+    """Labels of held-out documents are never read; only text and id enter a prediction."""
+    docs = split_held_out(table(spark, d, "documents"))
+    model = lg.learn_languages(docs.filter("not held_out"))
+    found = lg.identify_languages(docs.select("doc_id", "text"), model)
+    return split_held_out(found).select("doc_id", "held_out", "lang_pred", "score", "languages", "shares")
+
+
+@query("op8_source_mixing")
+def op8_source_mixing(spark, d):
+    """95 % of the largest entropy, no source repeated more than four times, as many words as there are."""
+    return mx.mix_sources(table(spark, d, "documents"), target_entropy=0.95, most_repeats=4.0)
