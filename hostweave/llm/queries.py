@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hostweave.llm import (
-    exact_dedup as ed, fingerprint as fp, language as lg, license_scan as ls, mixing as mx, packing as pk, token_count as tc, url_filter as uf,
+    exact_dedup as ed, fingerprint as fp, language as lg, license_scan as ls, mixing as mx, ngram_join as nj, packing as pk, token_count as tc, url_filter as uf,
 )
 from hostweave.session import prepare_session
 
@@ -137,3 +137,8 @@ def op3_language_id(spark, d):
 def op8_source_mixing(spark, d):
     """95 % of the largest entropy, no source repeated more than four times, as many words as there are."""
     return mx.mix_sources(table(spark, d, "documents"), target_entropy=0.95, most_repeats=4.0)
+
+
+@query("op10_ngram_jaccard_join")
+def op10_ngram_jaccard_join(spark, d):
+    return nj.ngram_jaccard_join(table(spark, d, "documents"))
