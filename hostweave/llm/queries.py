@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hostweave.llm import (
-    exact_dedup as ed, fingerprint as fp, language as lg, license_scan as ls, mixing as mx, ngram_join as nj, packing as pk, token_count as tc, url_filter as uf,
+    exact_dedup as ed, fingerprint as fp, language as lg, license_scan as ls, mixing as mx, ngram_join as nj, packing as pk, suffix_dedup as sd, token_count as tc, url_filter as uf,
 )
 from hostweave.session import prepare_session
 
@@ -142,3 +142,8 @@ def op8_source_mixing(spark, d):
 @query("op10_ngram_jaccard_join")
 def op10_ngram_jaccard_join(spark, d):
     return nj.ngram_jaccard_join(table(spark, d, "documents"))
+
+
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark, d):
+    return sd.remove_repeats(table(spark, d, "documents")).drop("spans")
