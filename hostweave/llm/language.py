@@ -118,6 +118,31 @@ def infer_mixture(counts: np.ndarray, likelihood: np.ndarray, penalty: float = 1
     return [chosen[i] for i in put], shares[put], min(1.0, max(0.0, score))
 
 
+def _identify(text: str | None, model: LanguageModel, penalty: float) -> tuple[str, float, list[str], list[float]]:
+    if not text or not model.languages or not _LETTER.search(text):
+        return "und", 0.0, [], []
+    counts = np.bincount(trigram_cells(text), minlength=CELLS)
+    cells = np.flatnonzero(counts)
+    chosen, shares, value = infer_mixture(counts[cells].astype(float), model.likelihood[cells], penalty)
+    return model.languages[chosen[0]], value, [model.languages[i] for i in chosen], shares.tolist()
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, least_score: float, text_col: str = "text", penalty: float = 1.0) -> DataFrame:
+    """The rows of ``docs`` whose language is found with at least ``least_score``, with all their columns.
+
+    Rows with ``und`` (see ``identify_languages``) always go. No shuffle.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_identify(t, model, penalty)[:2] for t in batch.column(place).to_pylist()]
+            yield batch.filter(pa.array([name != "und" and score >= least_score for name, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, schema)
+
+
 def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", penalty: float = 1.0) -> DataFrame:
     """One row per row of ``docs``: id, lang_pred, score, languages, shares (largest first).
 
@@ -130,16 +155,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pred, score, found, parts = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                if not text or not model.languages or not _LETTER.search(text):
-                    pred.append("und"), score.append(0.0), found.append([]), parts.append([])
-                    continue
-                counts = np.bincount(trigram_cells(text), minlength=CELLS)
-                cells = np.flatnonzero(counts)
-                chosen, shares, value = infer_mixture(counts[cells].astype(float), model.likelihood[cells], penalty)
-                pred.append(model.languages[chosen[0]]), score.append(value)
-                found.append([model.languages[i] for i in chosen]), parts.append(shares.tolist())
+            pred, score, found, parts = zip(*(_identify(t, model, penalty) for t in batch.column(1).to_pylist())) if batch.num_rows else ([],) * 4
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()),
                  pa.array(found, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.float64()))], names,

@@ -82,10 +82,69 @@ def source_weights(
     return each.select(
         F.col("s.all.source").alias("source"), F.col("s.all.tokens").alias("tokens"), F.col("s.all.n_rows").alias("n_rows"), "exponent",
         F.coalesce("s.weights", F.lit(0.0)).alias("weight"),
-        F.coalesce(F.floor(F.col("s.weights") * F.col("total") * F.lit(budget_share)), F.lit(0)).cast("bigint").alias("quota"),
+        F.coalesce(F.round(F.col("s.weights") * F.col("total") * F.lit(budget_share)), F.lit(0)).cast("bigint").alias("quota"),
     )
 
 
+def _order(seed: int, *parts) -> Column:
+    return F.xxhash64(F.lit(seed + 1), *parts)
+
+
+def _keys(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> list[Column]:
+    return [
+        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
+        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("row_hash"),
+    ]
+
+
+def _look_up(left: DataFrame, right: DataFrame, few: bool) -> DataFrame:
+    return left.join(F.broadcast(right), "source") if few else lookup_join(left, right, ["source"])
+
+
+def _block(row_hash: Column, blocks: Column) -> Column:
+    return F.pmod(F.shiftrightunsigned(row_hash, 20), blocks).cast("int")
+
+
+def mixing_plan(rows: DataFrame, target_entropy: float | None, most_repeats: float | None, budget_share: float, seed: int) -> tuple[DataFrame, bool]:
+    """One row per source, and whether they are few: weight, blocks, passes, and where the last pass ends.
+
+    ``rows`` has source, tokens and row_hash. The last pass takes the blocks in front of edge_block in
+    its order, and of that block the rows up to (edge_order, edge_hash); null means none of its rows.
+    """
+    totals = rows.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_rows"))
+    plan = source_weights(totals, target_entropy, most_repeats, budget_share).select(
+        "source", "weight", F.least(F.ceil(F.col("n_rows") / BLOCK_ROWS), F.lit(MOST_BLOCKS)).alias("blocks"),
+        F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens"))).otherwise(F.lit(0)).cast("int").alias("passes"),
+        F.when(F.col("tokens") > 0, F.col("quota") % F.col("tokens")).otherwise(F.lit(-1)).alias("rest"),
+    )
+    plan = cut(plan, "mixing-plan")
+    few = plan.count() <= SMALL_TABLE
+    placed = _look_up(rows, plan, few).withColumn("block", _block(F.col("row_hash"), F.col("blocks")))
+    sums = placed.groupBy("source", "block", "passes", "rest").agg(F.sum("tokens").alias("t"))
+    by_block = Window.partitionBy("source").orderBy(_order(seed, "source", "block", "passes"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.coalesce(F.sum("t").over(by_block), F.lit(0)))
+    edge = sums.filter("before <= rest and before + t > rest").select("source", F.col("block").alias("edge_block"), "before")
+    edge = cut(plan.join(edge, "source", "left"), "mixing-edges")
+    inside = _look_up(rows, edge, few).filter(_block(F.col("row_hash"), F.col("blocks")) == F.col("edge_block"))
+    inside = inside.withColumn("o", _order(seed, "row_hash", "passes"))
+    # equal rows are taken together or not at all
+    upto = F.col("before") + F.sum("tokens").over(Window.partitionBy("source").orderBy("o", "row_hash"))
+    last = inside.withColumn("fits", upto <= F.col("rest")).filter("fits").groupBy("source").agg(F.max(F.struct("o", "row_hash")).alias("e"))
+    last = last.select("source", F.col("e.o").alias("edge_order"), F.col("e.row_hash").alias("edge_hash"))
+    return cut(edge.join(last, "source", "left").drop("before", "rest"), "mixing-plan"), few
+
+
+def copies(seed: int) -> Column:
+    """How often a row with the columns of its source's plan is drawn."""
+    block = _block(F.col("row_hash"), F.col("blocks"))
+    mine, edge = _order(seed, "source", block, "passes"), _order(seed, "source", "edge_block", "passes")
+    own = _order(seed, "row_hash", "passes")
+    in_front = (mine < edge) | ((mine == edge) & (block < F.col("edge_block")))
+    within = (own < F.col("edge_order")) | ((own == F.col("edge_order")) & (F.col("row_hash") <= F.col("edge_hash")))
+    extra = F.when(F.col("edge_block").isNull(), False).when(block == F.col("edge_block"), F.coalesce(within, F.lit(False))).otherwise(in_front)
+    return F.col("passes") + extra.cast("int")
+
+
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", target_entropy: float | None = 0.95,
     most_repeats: float | None = 4.0, budget_share: float = 1.0, seed: int = 0,
@@ -107,53 +166,30 @@ def mix_sources(
 
     Cases: a null source is the source with the empty name; a null or empty text has 0 words; a row
     without words is drawn with its neighbours; a source without any words gets no quota and is not
-    drawn; a repeated row is drawn as often as it stands in the table; an empty table gives no rows;
-    other columns are not looked at.
+    drawn; equal rows are drawn together, so they can leave a quota short by all of them; an empty
+    table gives no rows; other columns are not looked at.
     """
-    rows = docs.select(
-        F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
-        word_count(F.col(text_col)).alias("tokens"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("row_hash"),
-    )
-    rows = cut(rows, "mixing-rows")
-    totals = rows.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_rows"))
-    plan = cut(source_weights(totals, target_entropy, most_repeats, budget_share), "mixing-plan")
-    plan = plan.select(
-        "source", "weight", F.least(F.ceil(F.col("n_rows") / BLOCK_ROWS), F.lit(MOST_BLOCKS)).alias("blocks"),
-        F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens"))).otherwise(F.lit(0)).cast("int").alias("passes"),
-        F.when(F.col("tokens") > 0, F.col("quota") % F.col("tokens")).otherwise(F.lit(-1)).alias("rest"),
+    rows = cut(docs.select(F.col(id_col).alias("id"), *_keys(docs, id_col, text_col, source_col, seed), word_count(F.col(text_col)).alias("tokens")), "mixing-rows")
+    plan, few = mixing_plan(rows, target_entropy, most_repeats, budget_share, seed)
+    drawn = _look_up(rows, plan, few).withColumn("copies", copies(seed)).filter("copies > 0")
+    drawn = drawn.withColumn("block", _block(F.col("row_hash"), F.col("blocks")))
+    drawn = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    return drawn.select(
+        F.col("id").alias(id_col), "source", "tokens", "copy", "block", _order(seed, "source", "block", "copy").alias("block_place"),
+        _order(seed, "row_hash", "copy").alias("place"), "weight", "row_hash",
     )
-    few = plan.count() <= SMALL_TABLE
 
-    def look_up(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-        return left.join(F.broadcast(right), on, how) if few else lookup_join(left, right, on, how)
 
-    placed = look_up(rows, plan, ["source"])
-    placed = placed.withColumn("block", F.pmod(F.shiftrightunsigned("row_hash", 20), F.col("blocks")).cast("int"))
-
-    def order(*parts) -> Column:
-        return F.xxhash64(F.lit(seed + 1), *parts)
+def mix_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", target_entropy: float | None = 0.95,
+    most_repeats: float | None = 4.0, budget_share: float = 1.0, seed: int = 0,
+) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix_sources`` draws it, with all their columns.
 
-    # the pass that the quota ends in
-    sums = placed.groupBy("source", "block", "passes", "rest").agg(F.sum("tokens").alias("t"))
-    by_block = Window.partitionBy("source").orderBy(order("source", "block", "passes"), "block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = cut(sums.withColumn("before", F.coalesce(F.sum("t").over(by_block), F.lit(0))), "mixing-blocks")
-    # blocks that fit whole need no look at their rows: one number per source tells where the cut is
-    edge = sums.filter("before <= rest and before + t > rest").groupBy("source").agg(
-        F.min(F.struct("before", "block")).alias("e"),
-    ).select("source", F.col("e.block").alias("edge_block"), F.col("e.before").alias("edge_before"))
-    placed = look_up(placed, edge, ["source"], "left")
-    mine = order("source", "block", "passes")
-    at_edge = order("source", "edge_block", "passes")
-    in_front = (mine < at_edge) | ((mine == at_edge) & (F.col("block") < F.col("edge_block")))
-    inside = placed.filter(F.col("block") == F.col("edge_block"))
-    by_row = Window.partitionBy("source").orderBy(order("row_hash", "passes"), F.col("row_hash"), F.col("id").asc_nulls_first())
-    taken = inside.withColumn("run", F.col("edge_before") + F.sum("tokens").over(by_row.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    taken = taken.withColumn("extra", (F.col("run") <= F.col("rest")).cast("int")).drop("run")
-    others = placed.filter(F.col("edge_block").isNull() | (F.col("block") != F.col("edge_block")))
-    others = others.withColumn("extra", F.when(F.col("edge_block").isNotNull() & in_front, 1).otherwise(0))
-    drawn = others.unionByName(taken).withColumn("copies", F.col("passes") + F.col("extra")).filter("copies > 0")
-    drawn = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    return drawn.select(
-        F.col("id").alias(id_col), "source", "tokens", "copy", "block", order("source", "block", "copy").alias("block_place"),
-        order("row_hash", "copy").alias("place"), "weight", "row_hash",
-    )
+    Rows only meet the one-row-per-source plan; no text is shuffled.
+    """
+    rows = cut(docs.select(*_keys(docs, id_col, text_col, source_col, seed), word_count(F.col(text_col)).alias("tokens")), "mixing-rows")
+    plan, few = mixing_plan(rows, target_entropy, most_repeats, budget_share, seed)
+    wrapped = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), *_keys(docs, id_col, text_col, source_col, seed))
+    drawn = _look_up(wrapped, plan, few).withColumn("copies", copies(seed)).filter("copies > 0")
+    return drawn.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

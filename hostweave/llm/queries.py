@@ -15,12 +15,17 @@ ORACLES: dict[str, str] = {}
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
+def prepare(spark: SparkSession) -> None:
+    """Session settings of the corpus operators."""
+    prepare_session(spark)
+    # texts may be long: Arrow batches of few rows keep a Python worker small
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+
+
 def query(name: str, sql: str | None = None):
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            prepare_session(spark)
-            # texts may be long: Arrow batches of few rows keep a Python worker small
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+            prepare(spark)
             return f(spark, sf_dir)
 
         run.__doc__ = f.__doc__
