@@ -260,7 +260,7 @@ def write_anomaly_report(spark, d):
 def save_stats(spark, d):
     path = work_path(spark, "stats")
     rows = hosts19(spark, d)
-    stats.save_stats(stats.stats_update(rows, S.NODE_FEATURES[:5]), path, 1)
+    stats.save_stats(stats.stats_update(rows.filter("snapshot_ts % 2 = 0"), S.NODE_FEATURES), path, 1)
     stats.save_stats(stats.stats_update(rows, S.NODE_FEATURES), path, 2)
     return tidy(stats.with_std(stats.load_stats(spark, path)).select("feature", "n", "mean", "std"), 5)
 
@@ -519,14 +519,14 @@ def feature_profile(spark, d):
     return tidy(_profile(spark, d), 5)
 
 
-def _embedding_columns(spark, d, k=12):
+def _embedding_columns(spark, d, k):
     df, names = detect.array_columns(fl.read_table(spark, d, "embeddings"), "embedding", k)
     return df.drop("embedding"), names
 
 
 @query("feature_correlation")
 def feature_correlation(spark, d):
-    df, names = _embedding_columns(spark, d)
+    df, names = _embedding_columns(spark, d, 64)
     pairs = stats.feature_correlation(df, names)
     best = stats.strongest_correlation(pairs).select("feature_a", "feature_b", F.lit(True).alias("strongest"))
     return tidy(pairs.join(best, ["feature_a", "feature_b"], "left").fillna(False, ["strongest"]), 5)
@@ -884,26 +884,31 @@ def stream_logs(spark, d):
 @query("correlate_uid_stream")
 def correlate_uid_stream(spark, d):
     """Each event is a conn row of its user's uid; pauses over the gap cut a user into records."""
-    def rows(kind):
-        e = _stream(spark, d, "events").select(
+    def rows(kind, read=_stream):
+        e = read(spark, d, "events").select(
             F.concat(F.lit("u"), "user_id").alias("uid"), F.unix_micros(F.col("ts").cast("timestamp")).alias("m"), "event_type", "event_id"
         )
         e = e.filter(F.col("event_type") == "purchase") if kind == "ssl" else e.filter(F.col("event_type") == "view") if kind == "http" else e
         given = {"ts": (F.col("m") / 1000000).cast("string"), "uid": F.col("uid"), S.LOG_FIELDS[kind][8]: F.col("event_id").cast("string")}
         return e.select(*[given.get(n, F.lit("-")).alias(n) for n in S.LOG_FIELDS[kind]])
 
+    def flat(merged):
+        return merged.select(
+            "uid", F.col("conn.at").alias("last_ts"), F.col("conn.duration").cast("bigint").alias("conn_event"),
+            F.col("ssl.curve").cast("bigint").alias("ssl_event"), F.col("http.host").cast("bigint").alias("http_event"),
+        )
+
     merged = jobs.correlate_uid_stream(rows("conn"), rows("ssl"), rows("http"), gap_seconds=3600)
-    flat = merged.select(
-        "uid", F.col("conn.at").alias("last_ts"), F.col("conn.duration").cast("bigint").alias("conn_event"),
-        F.col("ssl.curve").cast("bigint").alias("ssl_event"), F.col("http.host").cast("bigint").alias("http_event"),
-    )
-    return tidy(_to_table(spark, flat, "merged"), 3)
+    closing = jobs.open_records(*[rows(k, fl.read_table) for k in S.LOG_FIELDS], gap_seconds=3600)
+    return tidy(_to_table(spark, flat(merged), "merged").unionByName(flat(closing)), 3)
 
 
 @query("snapshot_tumbling")
 def snapshot_tumbling(spark, d):
+    """Closed windows from the stream, and the open ones from its closing step."""
     edges_ = jobs.snapshot_tumbling(_event_connections(_stream(spark, d, "events")), 3600)
-    return tidy(_to_table(spark, edges_, "tumbling").drop("first_seen", "last_seen"))
+    closing = jobs.open_snapshots(_event_connections(fl.read_table(spark, d, "events")), 3600)
+    return tidy(_to_table(spark, edges_, "tumbling").unionByName(closing).drop("first_seen", "last_seen"))
 
 
 @query("snapshot_cumulative")
@@ -962,7 +967,8 @@ def monitor_snapshots(spark, d):
 @query("rolling_activity_stream")
 def rolling_activity_stream(spark, d):
     r = jobs.rolling_activity_stream(_event_connections(_stream(spark, d, "events")), 3600, 1200)
-    return tidy(_to_table(spark, r, "rolling"))
+    closing = jobs.open_activity(_event_connections(fl.read_table(spark, d, "events")), 3600, 1200)
+    return tidy(_to_table(spark, r, "rolling").unionByName(closing))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

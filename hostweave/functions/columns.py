@@ -32,9 +32,9 @@ def lenient_long(c) -> Column:
 
 
 def status_number(c) -> Column:
-    """Leading integer of a status text, null without one."""
+    """Leading integer of a status text; null without one, and for one that does not fit 32 bits."""
     c = _col(c)
-    digits = F.nullif(F.regexp_extract(c, r"^\s*([+-]?\d{1,9})", 1), F.lit(""))
+    digits = F.nullif(F.regexp_extract(c, r"^\s*([+-]?\d+)", 1), F.lit(""))
     return F.when(c != "", digits.try_cast("int"))
 
 

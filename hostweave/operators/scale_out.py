@@ -4,24 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SALTS = 16
-
-
-def lookup_join(
-    rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner", salts: int = SALTS,
-    salt_by: list[str] | None = None,
-) -> DataFrame:
+def lookup_join(rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join rows to a table that has one row for each key.
 
-    A key may hold a large share of ``rows``. Its rows are spread over ``salts`` join keys by a
-    hash of their content, and the lookup side, which is at most one row per key, is repeated once
-    for each salt. No side is forced to broadcast: when the lookup side turns out to be small,
-    adaptive execution broadcasts it by its measured size.
+    An equi join without copies: adaptive execution measures both sides, broadcasts a small one, and
+    cuts the rows of a hot key into as many tasks as their size needs (``prepare_session`` turns that
+    on, also where a later step groups by the same key).
     """
-    salt_cols = salt_by or [c for c, t in rows.dtypes if not t.startswith("map")]
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*salt_cols), F.lit(salts)).cast("int"))
-    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    return rows.join(lookup, on, how)
 
 
 def prefix_sums(
@@ -87,14 +77,12 @@ def exact_percentiles(
         F.percentile_approx("_v", low + high, accuracy).alias("_q"),
     )
     k = len(probs)
-    # At the ends, and for groups small enough to be ordered whole, the bracket is opened to the
-    # true extremes.
-    small = F.col("n") <= accuracy
+    # At the ends the bracket is opened to the true extremes.
     sketch = sketch.select(*by, "n", F.array(*[
         F.struct(
             F.lit(i).alias("i"), F.lit(float(p)).alias("p"),
-            (F.col("_min") if low[i] <= 0 else F.when(small, F.col("_min")).otherwise(F.col("_q")[i])).alias("lo"),
-            (F.col("_max") if high[i] >= 1 else F.when(small, F.col("_max")).otherwise(F.col("_q")[k + i])).alias("hi"),
+            (F.col("_min") if low[i] <= 0 else F.col("_q")[i]).alias("lo"),
+            (F.col("_max") if high[i] >= 1 else F.col("_q")[k + i]).alias("hi"),
         ) for i, p in enumerate(probs)
     ]).alias("_brackets"))
     if by:
@@ -119,6 +107,9 @@ def exact_percentiles(
         F.max(F.when(covers(F.floor("_h")), F.col("_v"))).alias("_lo"),
         F.max(F.when(covers(F.ceil("_h")), F.col("_v"))).alias("_hi"),
     )
+    # the bracket must cover the rank; if it ever did not, that is an error and no missing number
+    missed = F.raise_error(F.lit("exact_percentiles: the bracket does not cover the rank")).cast("double")
+    picked = picked.withColumn("_lo", F.coalesce("_lo", missed)).withColumn("_hi", F.coalesce("_hi", missed))
     frac = F.col("_h") - F.floor("_h")
     each = picked.select(*by, "n", "i", (F.col("_lo") + frac * (F.col("_hi") - F.col("_lo"))).alias("_p"))
     wide = each.groupBy(*by, "n").agg(*[F.max(F.when(F.col("i") == i, F.col("_p"))).alias(f"_p{i}") for i in range(k)])

@@ -432,9 +432,8 @@ add("profile_long", PROFILE, " union all ".join(
     for n, v in {"mean": "mean", "std": "std", "min": "min", "max": "max", "sparsity_pct": "100 * sparsity"}.items()))
 add("top_variable_features", PROFILE, "select feature, round(std, 5) + 0.0 as std from (from p order by p.std desc, feature limit 12)")
 EMB = lambda k: ", ".join(f"cast(embedding[{i + 1}] as double) as f{i}" for i in range(k))
-_PAIRS = [(i, j) for i in range(12) for j in range(i + 1, 12)]
-add("feature_correlation", f"m as (select {EMB(12)} from embeddings), c as (" + " union all ".join(
-    f"select 'f{i}' as feature_a, 'f{j}' as feature_b, corr(f{i}, f{j}) as corr from m" for i, j in _PAIRS) + ")",
+add("feature_correlation", """m as (select vec_id, unnest(range(0, 64)) as i, cast(unnest(embedding) as double) as v from embeddings),
+c as (select concat('f', a.i) as feature_a, concat('f', b.i) as feature_b, corr(a.v, b.v) as corr from m a join m b on a.vec_id = b.vec_id and a.i < b.i group by a.i, b.i)""",
     "select feature_a, feature_b, round(corr, 5) + 0.0 as corr, row_number() over (order by abs(corr) desc) = 1 as strongest from c")
 add("feature_boxplot", f"{SNAP_EDGES}, roles as (select snapshot_ts, src_ip as node from conns union all select snapshot_ts, dst_ip from conns)", """,
 dg as (select snapshot_ts, node, sum(i) as in_degree, sum(o) as out_degree, count(*) as degree from (
@@ -636,13 +635,12 @@ c as (select *, sum(case when m - p <= 3600000000 then 0 else 1 end) over (parti
   from (select *, lag(m) over (partition by uid order by m, event_id) as p from x)),
 g as (select uid, rec, max(m) as last_m, arg_max(event_id, m) as conn_event, arg_max(event_id, m) filter (where event_type = 'purchase') as ssl_event,
   arg_max(event_id, m) filter (where event_type = 'view') as http_event from c group by uid, rec)
-select uid, round(last_m / 1000000.0, 3) + 0.0 as last_ts, conn_event, ssl_event, http_event from g where last_m + 3600000001 <= (select max(m) from x) - 60000000""")
+select uid, round(last_m / 1000000.0, 3) + 0.0 as last_ts, conn_event, ssl_event, http_event from g""")
 EVC = """ec as (select epoch_us(ts) as m, concat('u', user_id) as src, concat('s-', event_type) as dst, 'tcp' as protocol,
   unnest(case when event_type = 'view' then ['http', 'ssl'] else ['-'] end) as service, 443 as dst_port, cast(floor(value) as bigint) as b from events)"""
 _EVSUMS = """count(*) as connection_count, cast(sum(b) as bigint) as total_orig_bytes, count(*) as total_resp_bytes, count(*) as total_orig_pkts,
   count(*) as total_resp_pkts, count(*) as total_orig_ip_bytes, count(*) as total_resp_ip_bytes"""
-add("snapshot_tumbling", EVC, f"""select (m // 3600000000) * 3600 as snapshot_ts, {KEYS}, {_EVSUMS} from ec
-where ((m // 3600000000) + 1) * 3600000000 <= (select max(m) from ec) - 60000000 group by all""")
+add("snapshot_tumbling", EVC, f"""select (m // 3600000000) * 3600 as snapshot_ts, {KEYS}, {_EVSUMS} from ec group by all""")
 add("snapshot_cumulative_stream", EVC, f"select {KEYS}, {_EVSUMS} from ec group by all")
 add("snapshot_cumulative", SNAP_EDGES, f"""select {KEYS}, snapshot_ts, lead(snapshot_ts) over k as valid_to, {', '.join(f'cast(sum({c}) over w as bigint) as {c}' for c in ['connection_count', *S.EDGE_SUMS])},
   min(first_seen) over w as first_seen, max(last_seen) over w as last_seen from e
@@ -654,7 +652,6 @@ add("stats_merge", EVL, STATS)
 add("rolling_activity_stream", "", """with x as (select epoch_us(ts) // 1000000 as t, epoch_us(ts) as m, concat('u', user_id) as u, concat('s-', event_type) as s from events),
 r as (select t, u as node from x union all select t, s from x),
 w as (select (t // 1200 - k) * 1200 as window_start, node from r, (select unnest(range(0, 3)) as k))
-select window_start, window_start + 3600 as window_end, node, count(*) as connections from w
-where (window_start + 3600) * 1000000 <= (select max(m) from x) - 60000000 group by all""")
+select window_start, window_start + 3600 as window_end, node, count(*) as connections from w group by all""")
 add("monitor_snapshots", SNAP_EDGES, """, c as (select snapshot_ts, count(distinct node) as nodes_in_graph from (select snapshot_ts, src as node from e union select snapshot_ts, dst from e) group by all)
 select snapshot_ts, strftime(make_timestamp(snapshot_ts * 1000000), '%Y%m%d_%H%M%S') as timestamp, row_number() over (order by snapshot_ts) as update_count, nodes_in_graph from c""")

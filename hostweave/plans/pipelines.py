@@ -19,7 +19,7 @@ from hostweave.operators.stats import reconstruction_by_feature, stats_update
 from hostweave.operators.topology import node_rollup
 from hostweave.session import prepare_session
 from hostweave.sources import logs
-from hostweave.sources.snapshots import encoded_node_columns, latest_snapshot, write_snapshot
+from hostweave.sources.snapshots import encoded_node_columns, latest_snapshot, write_partitions, write_snapshot
 
 SNAPSHOT = ("snapshot_ts",)
 
@@ -38,13 +38,20 @@ def snapshot_tables(connections: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def logs_to_snapshots(spark: SparkSession, in_dir: str, out_dir: str, seconds: int = 60) -> None:
-    """Read the three logs, merge them, and write one graph per time window."""
+    """Read the three logs, merge them, and write one graph per time window.
+
+    A window of this run replaces the same window of an earlier one; all other snapshots stay.
+    """
     prepare_session(spark)
     raw = {k: logs.scan_logs(spark, in_dir, k) for k in S.LOG_FIELDS}
     # Landed once: hosts and edges both start from it, and its columns are pruned on each read.
     landed = f"{out_dir.rstrip('/')}/connections"
-    with_snapshot(connections_from_logs(**raw), seconds).write.mode("overwrite").parquet(landed)
-    nodes, edges = snapshot_tables(spark.read.parquet(landed))
+    rows = with_snapshot(connections_from_logs(**raw), seconds)
+    write_partitions(rows, landed)
+    # only the times of this run: earlier snapshots stay as they are
+    times = rows.select("snapshot_ts").distinct()
+    here = spark.read.parquet(landed).withColumn("snapshot_ts", F.col("snapshot_ts").cast("bigint"))
+    nodes, edges = snapshot_tables(here.join(times, "snapshot_ts", "left_semi"))
     write_snapshot(nodes, edges, out_dir, "overwrite")
 
 

@@ -15,6 +15,10 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split the rows of a hot key in a join even where a later step then needs one more shuffle
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # the JVM does not compile longer methods; such a stage runs faster when it is not fused
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # merge the sessions of a hot uid before the shuffle, not only after it
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # keep the hash path for grouped vector summaries (default gives up at 128 groups per task)

@@ -192,9 +192,25 @@ def write_dot(nodes: DataFrame, edges: DataFrame, path: str, epoch: int, feature
 
 
 def write_snapshot(nodes: DataFrame, edges: DataFrame, path: str, mode: str = "append") -> None:
-    """Append snapshots to the Parquet tables ``nodes`` and ``edges``, split by ``snapshot_ts``."""
+    """Write snapshots to the Parquet tables ``nodes`` and ``edges``, split by ``snapshot_ts``, and then
+    their times to ``finished``, the table that says which snapshots are whole.
+
+    ``overwrite`` replaces the snapshots that are written and leaves all others alone.
+    """
+    root = path.rstrip("/")
     for name, df in (("nodes", nodes), ("edges", edges)):
-        df.write.mode(mode).partitionBy("snapshot_ts").parquet(f"{path.rstrip('/')}/{name}")
+        write_partitions(df, f"{root}/{name}", mode)
+    mark_finished(edges.select("snapshot_ts").distinct(), root)
+
+
+def write_partitions(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write a table split by ``snapshot_ts``; ``overwrite`` replaces only the times it holds."""
+    df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_ts").parquet(path)
+
+
+def mark_finished(times: DataFrame, path: str) -> None:
+    """Append the times of snapshots whose tables are whole; a repeated time does no harm."""
+    times.select(F.col("snapshot_ts").cast("bigint").alias("snapshot_ts")).coalesce(1).write.mode("append").parquet(f"{path.rstrip('/')}/finished")
 
 
 def read_snapshots(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

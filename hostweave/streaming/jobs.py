@@ -16,7 +16,8 @@ from hostweave.operators.edges import _SUM_SOURCES, _edge_keys
 from hostweave.operators.hosts import host_roles
 from hostweave.operators.stats import load_stats, save_stats, stats_combine, stats_update
 from hostweave.plans import pipelines
-from hostweave.session import prepare_session
+from hostweave.session import cut, prepare_session
+from hostweave.sources.snapshots import mark_finished, write_partitions
 
 DELAY = "1 minute"
 
@@ -70,17 +71,75 @@ def rolling_activity_stream(connections: DataFrame, seconds: int = 60, slide: in
     )
 
 
+def watermark(rows: DataFrame, delay: str = DELAY) -> DataFrame:
+    """One row: where the watermark of a finished stream over ``rows`` (with event_time) ends.
+
+    Streams keep milliseconds, so the newest time is cut to them.
+    """
+    newest = F.timestamp_millis(F.unix_millis(F.max("event_time")))
+    return rows.agg((newest - F.expr(f"interval {delay}")).alias("_mark"))
+
+
+def open_snapshots(connections: DataFrame, seconds: int = 60, delay: str = DELAY) -> DataFrame:
+    """Closing step of :func:`snapshot_tumbling` over the same, now complete, input: the windows that
+    the watermark has not passed and that the stream therefore never wrote."""
+    rows = with_event_time(_edge_keys(connections), "timestamp")
+    ends = F.timestamp_seconds(F.floor(F.unix_micros("event_time") / (seconds * 1000000)) * seconds + seconds)
+    late = rows.withColumn("_end", ends).crossJoin(F.broadcast(watermark(rows, delay))).filter("_end > _mark")  # one row
+    grouped = late.groupBy(F.window("event_time", f"{seconds} seconds").alias("w"), *S.EDGE_KEYS).agg(
+        F.count(F.lit(1)).alias("connection_count"), *[F.sum(c).alias(n) for n, c in _SUM_SOURCES.items()],
+        F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"),
+    )
+    return grouped.select(F.unix_seconds("w.start").alias("snapshot_ts"), *[c for c in grouped.columns if c != "w"])
+
+
+def open_activity(connections: DataFrame, seconds: int = 60, slide: int = 10, delay: str = DELAY) -> DataFrame:
+    """Closing step of :func:`rolling_activity_stream`: the windows that were still open."""
+    rows = with_event_time(host_roles(connections), "timestamp")
+    w = F.window("event_time", f"{seconds} seconds", f"{slide} seconds")
+    mark = watermark(rows, delay)
+    # a row older than the longest open window cannot be in one
+    near = rows.crossJoin(F.broadcast(mark)).filter(F.col("event_time") > F.col("_mark") - F.expr(f"interval {seconds} seconds"))
+    counted = near.groupBy(w.alias("w"), "node", "_mark").agg(F.count(F.lit(1)).alias("connections")).filter("w.end > _mark")
+    return counted.select(F.unix_seconds("w.start").alias("window_start"), F.unix_seconds("w.end").alias("window_end"), "node", "connections")
+
+
+def open_records(conn: DataFrame, ssl: DataFrame, http: DataFrame, gap_seconds: int = 5, delay: str = DELAY) -> DataFrame:
+    """Closing step of :func:`correlate_uid_stream`: the records that still waited for their gap.
+
+    Only uids with a row near the end can have one; their records are merged again from all their rows.
+    """
+    parts = tag_parts(*[with_event_time(d) for d in (conn, ssl, http)], keep=("event_time",))
+    gap = f"{gap_seconds} seconds 1 microsecond"
+    mark = watermark(parts, delay)
+    recent = parts.crossJoin(F.broadcast(mark)).filter(F.col("event_time") + F.expr(f"interval {gap}") > F.col("_mark"))
+    mine = parts.join(recent.select("uid").distinct(), "uid", "left_semi")
+    session = F.session_window("event_time", gap)
+    merged = mine.groupBy("uid", session).agg(*last_parts()).crossJoin(F.broadcast(mark))
+    return merged.filter(F.col("conn").isNotNull() & (F.col("session_window.end") > F.col("_mark"))).drop("session_window", "_mark")
+
+
 def start_snapshots(edges: DataFrame, out_dir: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Write windowed edges to the snapshot table, exactly once per window.
+    """Write windowed edges to the snapshot table ``edges`` and mark each window as finished.
 
-    ``interval`` (such as ``60 seconds``) runs until stopped; without it the data at hand is
-    processed and the query ends.
+    A window comes out once; a repeated batch replaces its windows. ``interval`` (such as
+    ``60 seconds``) runs until stopped; without it the data at hand is processed and the query ends,
+    and :func:`close_snapshots` then writes the windows that were still open.
     """
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
-    return (
-        edges.writeStream.outputMode("append").format("parquet").partitionBy("snapshot_ts")
-        .option("checkpointLocation", checkpoint).option("path", out_dir).trigger(**trigger).start()
-    )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        close_snapshots(batch, out_dir)
+
+    return edges.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def close_snapshots(edges: DataFrame, out_dir: str) -> None:
+    """Write whole windows of edges (of a batch, or of :func:`open_snapshots`) and mark them finished."""
+    root = out_dir.rstrip("/")
+    rows = cut(edges, "windows")
+    write_partitions(rows, f"{root}/edges")
+    mark_finished(rows.select("snapshot_ts").distinct(), root)
 
 
 def start_cumulative(edges: DataFrame, out_dir: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
