@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-KEPT = 400_000  # cached words of a worker; the cache starts anew beyond that
+KEPT = 800_000  # cached words of a worker; the cache starts anew beyond that
 LONG = 64  # longer words are not cached
 # Printable ASCII and Latin-1 letters: NFC leaves them alone and lower case works letter by letter.
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
@@ -27,20 +27,50 @@ def load(path: str):
     return tokenizer
 
 
-def whole_tokens(tokenizer) -> frozenset[str]:
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 characters
+    stand for themselves, the other bytes in order for the characters from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in shown else next(rest)) for b in range(256)]
+
+
+_LETTERS = byte_letters()
+
+
+class PartEncoder:
+    """Token numbers of pre-tokens that are plain, straight from the merges of the tokenizer's model."""
+
+    def __init__(self, path: str):
+        self.tokenizer = load(path)
+        self.model = self.tokenizer.model
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+
+    def parts(self, word: str) -> list[str] | None:
+        """The pre-tokens of a word without white space; None if only the tokenizer itself knows."""
+        if not _PLAIN.fullmatch(word) or ("<|" in word and any(s in word for s in self.special)):
+            return None
+        return _PARTS.findall(word.lower())
+
+    def merge(self, part: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(part if part.isascii() else "".join(map(_LETTERS.__getitem__, part.encode())))]
+
+    def encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def whole_tokens(encoder: PartEncoder) -> frozenset[str]:
     """The vocabulary strings that are proved to encode alone as exactly one token.
 
-    Each string that ends a word is decoded and encoded by itself; it is taken only if it is one
-    pre-token and comes back as one token with the same number.
+    Each string that ends a word is written out and encoded by the tokenizer itself; it is taken only
+    if it is one pre-token and comes back as one token with the same number.
     """
-    vocabulary = tokenizer.get_vocab(with_added_tokens=False)
-    numbers = [n for s, n in vocabulary.items() if s.endswith("</w>")]
-    strings = [tokenizer.decode([n]).strip() for n in numbers]
-    good = set()
-    for number, s, e in zip(numbers, strings, tokenizer.encode_batch(strings, add_special_tokens=False)):
-        if _PLAIN.fullmatch(s) and s == s.lower() and _PARTS.findall(s) == [s] and e.ids == [number]:
-            good.add(s)
-    return frozenset(good)
+    back = {c: b for b, c in enumerate(_LETTERS)}
+    vocabulary = encoder.tokenizer.get_vocab(with_added_tokens=False)
+    ends = [(n, bytes(map(back.__getitem__, s[:-4])).decode(errors="ignore")) for s, n in vocabulary.items() if s.endswith("</w>") and len(s) > 4]
+    ends = [(n, s) for n, s in ends if _PLAIN.fullmatch(s) and s == s.lower() and _PARTS.findall(s) == [s]]
+    found = encoder.tokenizer.encode_batch([s for _, s in ends], add_special_tokens=False)
+    return frozenset(s for (n, s), e in zip(ends, found) if e.ids == [n])
 
 
 class WordCounts(dict):
@@ -51,18 +81,18 @@ class WordCounts(dict):
 
     def __init__(self, path: str):
         super().__init__()
-        self.tokenizer = load(path)
-        self.whole = whole_tokens(self.tokenizer)
-        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.encoder = PartEncoder(path)
+        self.whole = whole_tokens(self.encoder)
         self.merged: dict[str, int] = {}
 
     def __missing__(self, word: bytes) -> int:
         text = word.decode()
-        if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            n = self._encode(text)
+        parts = self.encoder.parts(text)
+        if parts is None:
+            n = len(self.encoder.encode(text))
         else:
             n = 0
-            for part in _PARTS.findall(text.lower()):
+            for part in parts:
                 n += 1 if part in self.whole else self._merge(part)
         if len(word) <= LONG:
             if len(self) >= KEPT:
@@ -73,16 +103,13 @@ class WordCounts(dict):
     def _merge(self, part: str) -> int:
         n = self.merged.get(part)
         if n is None:
-            n = self._encode(part)
+            n = len(self.encoder.merge(part))
             if len(part) <= LONG:
-                if len(self.merged) >= KEPT:
+                if len(self.merged) >= KEPT // 2:
                     self.merged.clear()
                 self.merged[part] = n
         return n
 
-    def _encode(self, text: str) -> int:
-        return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
 
 _counters: dict[str, WordCounts] = {}
 
