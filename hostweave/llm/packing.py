@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -9,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from hostweave.llm.token_count import KEPT, LONG, load
+from hostweave.llm.token_count import KEPT, LONG, PartEncoder
 from hostweave.session import cut
 
 END_ID = b"\0\0\0\0"
@@ -22,16 +23,32 @@ class WordIds(dict):
 
     def __init__(self, path: str):
         super().__init__()
-        self.tokenizer = load(path)
+        self.encoder = PartEncoder(path)
+        self.merged: dict[str, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        packed = np.array(ids, "<u4").tobytes()
+        text = word.decode()
+        parts = self.encoder.parts(text)
+        if parts is None:
+            ids = np.array(self.encoder.encode(text), "<u4").tobytes()
+        else:
+            ids = b"".join(map(self._merge, parts))
         if len(word) <= LONG:
             if len(self) >= KEPT:
                 self.clear()
-            self[word] = packed
-        return packed
+            self[word] = ids
+        return ids
+
+    def _merge(self, part: str) -> bytes:
+        ids = self.merged.get(part)
+        if ids is None:
+            numbers = self.encoder.merge(part)
+            ids = struct.pack(f"<{len(numbers)}I", *numbers)
+            if len(part) <= LONG:
+                if len(self.merged) >= KEPT // 2:
+                    self.merged.clear()
+                self.merged[part] = ids
+        return ids
 
 
 _encoders: dict[str, WordIds] = {}
