@@ -13,7 +13,7 @@ from hostweave.operators import (
 from hostweave.plans import pipelines
 from hostweave.session import cut, prepare_session, work_path
 from hostweave.sources import flows as fl, logs, snapshots as sn
-from hostweave.streaming import jobs
+from hostweave.streaming import jobs, monitor
 
 QUERIES: dict = {}
 SNAP = ("snapshot_ts",)
@@ -243,17 +243,10 @@ def node_report_full(spark, d):
 @query("write_anomaly_report")
 def write_anomaly_report(spark, d):
     scored = toy_scored(spark, d)
-    _, documents = pipelines.reports(scored)
+    _, rows = pipelines.reports(scored)
     path = work_path(spark, "reports")
-    detect.write_anomaly_report(documents, path)
-    back = spark.read.schema(S.ANOMALY_REPORT_SCHEMA + ", part int, snapshot_ts bigint").json(path)
-    a = F.explode_outer("node_anomalies").alias("a")
-    flat = back.select("snapshot_ts", "timestamp", "update_count", "nodes_in_graph", a)
-    return tidy(flat.select(
-        "snapshot_ts", "timestamp", "update_count", "nodes_in_graph", F.col("a.node_id").alias("node_id"),
-        F.col("a.ip").alias("ip"), F.col("a.detected_by").alias("detected_by"), F.col("a.recon_error").alias("recon_error"),
-        F.col("a.mlp_score").alias("mlp_score"),
-    ))
+    detect.write_report_rows(rows, path)
+    return tidy(detect.read_reports(spark, path))
 
 
 @query("save_stats")
@@ -956,12 +949,23 @@ def drift_monitor(spark, d):
 
 @query("monitor_snapshots")
 def monitor_snapshots(spark, d):
-    """The whole chain on a snapshot table: features, statistics, drift, model, detection, reports."""
+    """The whole chain in three batches: features, statistics, drift, buffer, model, detection, reports.
+
+    Every snapshot lies in several files. The model has no component (it expects the mean of the
+    buffer), so that SQL can follow every finding; ``reconstruct_fit`` checks components.
+    """
     src, out = work_path(spark, "monitor-in"), work_path(spark, "monitor-out")
-    edges(spark, d, SNAP).write.parquet(src)
-    jobs.monitor_snapshots(spark, src, out, "train").awaitTermination(1800)
-    back = spark.read.schema(S.ANOMALY_REPORT_SCHEMA + ", part int, snapshot_ts bigint, batch int").json(f"{out}/reports")
-    return tidy(back.select("snapshot_ts", "timestamp", "update_count", "nodes_in_graph").distinct())
+    e = edges(spark, d, SNAP).repartition(3, "src")
+    sn.write_partitions(e, f"{src}/edges")
+    times = cut(spark.read.parquet(f"{src}/edges").select(F.col("snapshot_ts").cast("bigint").alias("snapshot_ts")).distinct(), "times")
+    ends = times.agg(F.percentile_approx("snapshot_ts", [0.3, 0.6]).alias("p")).head()["p"]
+    parts = [F.col("snapshot_ts") <= ends[0], (F.col("snapshot_ts") > ends[0]) & (F.col("snapshot_ts") <= ends[1]), F.col("snapshot_ts") > ends[1]]
+    for part in parts:
+        sn.mark_finished(times.filter(part), src)
+        monitor.monitor_snapshots(spark, src, out, "train", k=0, with_nodes=False).awaitTermination(1800)
+    found = detect.read_reports(spark, f"{out}/reports")
+    drifts = spark.read.parquet(f"{out}/state/drift").select("snapshot_ts", "drift", "streak", "triggered", "buffered")
+    return tidy(found.join(drifts, "snapshot_ts").drop("mlp_score"), 4)
 
 
 @query("rolling_activity_stream")

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
 from hostweave.functions import log_cosh
@@ -210,38 +210,51 @@ def anomaly_preview(flagged: DataFrame, k: int = 5, snapshot: str = "snapshot_ts
 # --- reports ---------------------------------------------------------------------------------
 
 
-def anomaly_report(
-    detections: DataFrame, node_counts: DataFrame, snapshot: str = "snapshot_ts", per_document: int = 10000,
-) -> DataFrame:
-    """One document per snapshot: time, running number, hosts in the graph, flagged hosts by id.
+REPORT_ROW = (
+    "snapshot_ts bigint, kind string, timestamp string, update_count bigint, nodes_in_graph bigint, "
+    "node_id bigint, ip string, detected_by string, recon_error double, mlp_score double"
+)
+
+
+def report_rows(detections: DataFrame, snapshots: DataFrame, snapshot: str = "snapshot_ts") -> DataFrame:
+    """A report of any size in one shape: a row of kind ``snapshot`` for each snapshot (time, running
+    number, hosts in the graph), also for one without findings, and a row of kind ``finding`` for each
+    flagged host.
 
-    ``node_counts`` has one row per snapshot (snapshot, nodes_in_graph), so a snapshot without
-    findings gets a document too. A document holds about ``per_document`` hosts; a snapshot with
-    more gets several, told apart by ``part``, so no task has to hold an unbounded list.
-    ``detections`` needs node_id, node, detected_by, recon_error, mlp_score.
+    ``snapshots`` has one row per snapshot: snapshot, nodes_in_graph and update_count; without the
+    last the snapshots are numbered by time. ``detections`` needs node_id, node, detected_by,
+    recon_error and mlp_score.
     """
-    sizes = detections.groupBy(snapshot).agg(F.count(F.lit(1)).alias("_n"))
-    parts = sizes.select(snapshot, F.ceil(F.col("_n") / per_document).alias("_parts"))
-    placed = lookup_join(detections, parts, [snapshot]).withColumn(
-        "part", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int")
+    if "update_count" not in snapshots.columns:
+        # over one row per snapshot
+        snapshots = snapshots.withColumn("update_count", F.row_number().over(Window.orderBy(snapshot)))
+    none = lambda t: F.lit(None).cast(t)
+    heads = snapshots.select(
+        F.col(snapshot).cast("bigint").alias("snapshot_ts"), F.lit("snapshot").alias("kind"),
+        F.date_format(F.timestamp_seconds(snapshot), "yyyyMMdd_HHmmss").alias("timestamp"), F.col("update_count").cast("bigint").alias("update_count"),
+        F.col("nodes_in_graph").cast("bigint").alias("nodes_in_graph"), none("bigint").alias("node_id"), none("string").alias("ip"),
+        none("string").alias("detected_by"), none("double").alias("recon_error"), none("double").alias("mlp_score"),
     )
-    entry = F.struct(
-        F.col("node_id").cast("bigint").alias("node_id"), "detected_by", "recon_error", "mlp_score", F.col("node").alias("ip")
-    )
-    documents = placed.groupBy(snapshot, "part").agg(F.sort_array(F.collect_list(entry)).alias("node_anomalies"))
-    # running number over one row per snapshot
-    numbered = node_counts.withColumn("update_count", F.row_number().over(Window.orderBy(snapshot)))
-    empty = F.from_json(F.lit("[]"), "array<struct<node_id:bigint,detected_by:string,recon_error:double,mlp_score:double,ip:string>>")
-    return numbered.join(documents, snapshot, "left").select(
-        snapshot, F.date_format(F.timestamp_seconds(snapshot), "yyyyMMdd_HHmmss").alias("timestamp"),
-        "update_count", F.col("nodes_in_graph").cast("bigint").alias("nodes_in_graph"),
-        F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("node_anomalies", empty).alias("node_anomalies"),
+    found = detections.select(
+        F.col(snapshot).cast("bigint").alias("snapshot_ts"), F.lit("finding").alias("kind"), none("string").alias("timestamp"),
+        none("bigint").alias("update_count"), none("bigint").alias("nodes_in_graph"), F.col("node_id").cast("bigint").alias("node_id"),
+        F.col("node").alias("ip"), "detected_by", "recon_error", F.col("mlp_score").cast("double").alias("mlp_score"),
     )
+    return heads.unionByName(found)
+
+
+def write_report_rows(report: DataFrame, path: str, mode: str = "append") -> None:
+    """Write report rows as JSON lines, one folder per snapshot."""
+    report.write.mode(mode).partitionBy("snapshot_ts").json(path)
 
 
-def write_anomaly_report(report: DataFrame, path: str, mode: str = "append", snapshot: str = "snapshot_ts") -> None:
-    """Write report documents as JSON, one folder per snapshot."""
-    report.write.mode(mode).partitionBy(snapshot).json(path)
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """Written reports, one row per finding with the facts of its snapshot, or one row of a snapshot
+    without findings."""
+    rows = spark.read.schema(REPORT_ROW).json(path)
+    heads = rows.filter("kind = 'snapshot'").select("snapshot_ts", "timestamp", "update_count", "nodes_in_graph")
+    found = rows.filter("kind = 'finding'").select("snapshot_ts", "node_id", "ip", "detected_by", "recon_error", "mlp_score")
+    return lookup_join(found, heads, ["snapshot_ts"], "right")
 
 
 def export_embeddings(scored: DataFrame, path: str, keys: list[str], column: str = "embedding", mode: str = "append") -> None:

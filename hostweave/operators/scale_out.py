@@ -90,26 +90,28 @@ def exact_percentiles(
         joined = lookup_join(rows, sketch, by)
     else:
         joined = rows.crossJoin(F.broadcast(sketch))  # one row: a global aggregate
-    pieces = joined.select(*by, "n", "_v", F.explode_outer("_brackets").alias("_b")).filter("_v <= _b.hi")
     keys = [*by, "n", "i", "p"]
-    pieces = pieces.select(
-        *by, "n", F.col("_b.i").alias("i"), F.col("_b.p").alias("p"),
-        F.when(F.col("_v") >= F.col("_b.lo"), F.col("_v")).alias("_v"),  # null: below the bracket
+    pieces = joined.select(*by, "n", "_v", F.explode_outer("_brackets").alias("_b"))
+    pieces = pieces.select(*by, "n", F.col("_b.i").alias("i"), F.col("_b.p").alias("p"), F.col("_b.lo").alias("lo"), F.col("_b.hi").alias("hi"), "_v")
+    # outside the bracket rows are only counted; the nearest value on either side is known as well
+    sides = pieces.groupBy(*keys).agg(
+        F.count_if(F.col("_v") < F.col("lo")).alias("_under"), F.count_if(F.col("_v").between(F.col("lo"), F.col("hi"))).alias("_within"),
+        F.max(F.when(F.col("_v") < F.col("lo"), F.col("_v"))).alias("_below"), F.min(F.when(F.col("_v") > F.col("hi"), F.col("_v"))).alias("_above"),
     )
-    counted = pieces.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    run = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    ranked = counted.withColumn("_upto", F.sum("_c").over(run)).withColumn("_h", (F.col("n") - 1) * F.col("p"))
+    counted = pieces.filter(F.col("_v").between(F.col("lo"), F.col("hi"))).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    run = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumn("_upto", F.sum("_c").over(run)).join(sides, keys)
+    ranked = ranked.withColumn("_h", (F.col("n") - 1) * F.col("p")).withColumn("_upto", F.col("_upto") + F.col("_under"))
     covers = lambda r: (F.col("_upto") > r) & (F.col("_upto") - F.col("_c") <= r)
-    picked = ranked.groupBy(*keys).agg(
+    picked = ranked.groupBy(*keys, "_under", "_within", "_below", "_above").agg(
         F.max("_h").alias("_h"),
         F.max(F.when(covers(F.floor("_h")), F.col("_v"))).alias("_lo"),
         F.max(F.when(covers(F.ceil("_h")), F.col("_v"))).alias("_hi"),
     )
-    # the bracket must cover the rank; if it ever did not, that is an error and no missing number
+    # a rank next to the bracket has the nearest value; anything else is an error, not a missing number
     missed = F.raise_error(F.lit("exact_percentiles: the bracket does not cover the rank")).cast("double")
-    picked = picked.withColumn("_lo", F.coalesce("_lo", missed)).withColumn("_hi", F.coalesce("_hi", missed))
+    beside = lambda r: F.when(r == F.col("_under") - 1, F.col("_below")).when(r == F.col("_under") + F.col("_within"), F.col("_above"))
+    picked = picked.withColumn("_lo", F.coalesce("_lo", beside(F.floor("_h")), missed)).withColumn("_hi", F.coalesce("_hi", beside(F.ceil("_h")), missed))
     frac = F.col("_h") - F.floor("_h")
     each = picked.select(*by, "n", "i", (F.col("_lo") + frac * (F.col("_hi") - F.col("_lo"))).alias("_p"))
     wide = each.groupBy(*by, "n").agg(*[F.max(F.when(F.col("i") == i, F.col("_p"))).alias(f"_p{i}") for i in range(k)])

@@ -653,5 +653,22 @@ add("rolling_activity_stream", "", """with x as (select epoch_us(ts) // 1000000
 r as (select t, u as node from x union all select t, s from x),
 w as (select (t // 1200 - k) * 1200 as window_start, node from r, (select unnest(range(0, 3)) as k))
 select window_start, window_start + 3600 as window_end, node, count(*) as connections from w group by all""")
-add("monitor_snapshots", SNAP_EDGES, """, c as (select snapshot_ts, count(distinct node) as nodes_in_graph from (select snapshot_ts, src as node from e union select snapshot_ts, dst from e) group by all)
-select snapshot_ts, strftime(make_timestamp(snapshot_ts * 1000000), '%Y%m%d_%H%M%S') as timestamp, row_number() over (order by snapshot_ts) as update_count, nodes_in_graph from c""")
+_FEATS = S.NODE_FEATURES
+add("monitor_snapshots", f"{N19}{INDEX}", ", ml as (" + " union all ".join(f"select snapshot_ts, node, '{c}' as feature, {c} as v from n19" for c in _FEATS) + """),
+ss as (select snapshot_ts, row_number() over (order by snapshot_ts) as i from (select distinct snapshot_ts from n19)),
+mi as (select ss.i, feature, count(*) as n, avg(v) as mean from ml join ss using (snapshot_ts) group by ss.i, feature),
+prior as (select ss.i, feature, avg(v) as mean, greatest(stddev_pop(v), 1e-6) as std from ss join (select ss.i as j, feature, v from ml join ss using (snapshot_ts)) b on b.j < ss.i group by ss.i, feature),
+dm as (select ss.i, coalesce(max(abs(mi.mean - p.mean) / (p.std + 1e-6)), 0) > 0.15 as drift from ss join mi using (i) left join prior p on p.i = ss.i and p.feature = mi.feature group by ss.i),
+wk as (with recursive w as (
+  select i, drift, drift::int as raw, 1 as begin, false as hit from dm where i = 1
+  union all select o.i, o.drift, case when o.drift then (w.raw % 3) + 1 else 0 end,
+    case when o.drift and w.raw % 3 = 2 then o.i - (o.i - w.begin + 1) // 2 + 1 else w.begin end, o.drift and w.raw % 3 = 2
+  from w join dm o on o.i = w.i + 1) select i, drift, raw % 3 as streak, hit, begin from w),
+bm as (select wk.i, feature, avg(v) as mean, greatest(stddev_pop(v), 1e-6) as std from wk join (select ss.i as j, feature, v from ml join ss using (snapshot_ts)) b on b.j between wk.begin and wk.i group by wk.i, feature),
+er as (select ss.i, snapshot_ts, node, avg(((v - mean) / (std + 1e-6)) * ((v - mean) / (std + 1e-6))) as recon_error
+  from ml join ss using (snapshot_ts) join bm on bm.i = ss.i and bm.feature = ml.feature group by ss.i, snapshot_ts, node),
+th as (select ss.i, avg(recon_error) + 2 * greatest(stddev_pop(recon_error), 1e-6) as t from ss join (select i as j, recon_error from er) b on b.j <= ss.i group by ss.i),
+fd as (select er.snapshot_ts, idx as node_id, node as ip, 'reconstruction' as detected_by, recon_error from er join th using (i) join ix using (snapshot_ts, node) where recon_error > t)
+select ss.snapshot_ts, strftime(make_timestamp(ss.snapshot_ts * 1000000), '%Y%m%d_%H%M%S') as timestamp, ss.i as update_count, c.n as nodes_in_graph,
+  node_id, ip, detected_by, round(recon_error, 4) + 0.0 as recon_error, drift, cast(streak as bigint) as streak, hit as triggered, cast(wk.i - begin + 1 as bigint) as buffered
+from ss join wk using (i) join (select snapshot_ts, count(*) as n from n19 group by snapshot_ts) c on c.snapshot_ts = ss.snapshot_ts left join fd on fd.snapshot_ts = ss.snapshot_ts""")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.pandas.functions import pandas_udf
 
 from hostweave import schemas as S
 from hostweave.operators.connections import connections_from_logs
 from hostweave.operators.detect import (
-    Reconstruction, anomaly_report, detect_anomalies, project_pca, reconstruct_fit, reconstruct_score,
+    Reconstruction, detect_anomalies, project_pca, reconstruct_fit, reconstruct_score, report_rows,
 )
 from hostweave.operators.edges import edge_aggregate
 from hostweave.operators.features import node_features_19, node_one_hot
@@ -113,38 +116,48 @@ def load_model(spark: SparkSession, path: str) -> Reconstruction:
 # --- snapshots to reports ----------------------------------------------------------------------
 
 
-def error_score(scored: DataFrame, errors: DataFrame | None) -> DataFrame:
-    """A 0..1 score in the place of the supplied head, when there is none: the logistic of the
-    error in deviations above its reference mean."""
-    if errors is None:
-        return scored.withColumn("mlp_score", F.lit(0.0))
-    one = errors.agg(F.max("mean").alias("_m"), F.max(F.sqrt(F.col("m2") / F.col("n"))).alias("_s"))  # one row
-    z = (F.col("recon_error") - F.col("_m")) / (F.col("_s") + 1e-6)
-    return scored.crossJoin(F.broadcast(one)).withColumn("mlp_score", 1.0 / (1.0 + F.exp(-(z - 3.0)))).drop("_m", "_s")
+def score_by_snapshot(features: DataFrame, models: dict[int, Reconstruction]) -> DataFrame:
+    """Score each row by the model of its own snapshot; the models of a batch travel with the function."""
+    packed = {t: (np.array(m.mean), np.array(m.std), np.array(m.components).reshape(len(m.components), len(m.mean))) for t, m in models.items()}
 
+    @pandas_udf("embedding array<double>, recon_error double")
+    def score(times: pd.Series, rows: pd.Series) -> pd.DataFrame:
+        values, error, embedding = np.array(rows.tolist(), dtype=float), np.zeros(len(rows)), [None] * len(rows)
+        for t in times.unique():
+            at = np.flatnonzero(times.to_numpy() == t)
+            mean, std, components = packed[int(t)]
+            x = (values[at] - mean) / (std + 1e-6)
+            e = x @ components.T
+            error[at] = ((x - e @ components) ** 2).mean(axis=1)
+            for i, v in zip(at.tolist(), e):
+                embedding[i] = v
+        return pd.DataFrame({"embedding": embedding, "recon_error": error})
 
-def score_snapshots(
-    nodes: DataFrame | None, edges: DataFrame, model: Reconstruction, errors: DataFrame | None = None, head=None,
-) -> DataFrame:
+    raw = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in S.NODE_FEATURES])
+    return features.withColumn("_s", score("snapshot_ts", raw)).select(*features.columns, "_s.embedding", "_s.recon_error")
+
+
+def score_snapshots(nodes: DataFrame | None, edges: DataFrame, model: Reconstruction, head=None) -> DataFrame:
     """Every host of every snapshot with reconstruction error and score. ``head`` maps the scored
-    frame to one with ``mlp_score``; see ``detect.dense_score``."""
+    frame to one with ``mlp_score`` (see ``detect.dense_score``); without one the score is null and
+    only the reconstruction can flag."""
     scored = reconstruct_score(host_features(nodes, edges), model)
-    return head(scored) if head else error_score(scored, errors)
+    return head(scored) if head else scored.withColumn("mlp_score", F.lit(None).cast("double"))
 
 
 def reports(scored: DataFrame, errors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Scored hosts to (flagged hosts with their position, report documents)."""
+    """Scored hosts to (flagged hosts with their position, report rows)."""
     index = dense_index(scored.select(*SNAPSHOT, "node"), "node", list(SNAPSHOT))
     flagged = detect_anomalies(scored, errors).join(index, ["snapshot_ts", "node"]).withColumnRenamed("idx", "node_id")
     counts = scored.groupBy("snapshot_ts").agg(F.count(F.lit(1)).alias("nodes_in_graph"))
-    return flagged, anomaly_report(flagged, counts)
+    return flagged, report_rows(flagged, counts)
 
 
 def evaluate_latest(nodes: DataFrame, edges: DataFrame, model: Reconstruction, errors: DataFrame | None = None, head=None) -> dict[str, DataFrame]:
     """Newest snapshot: flagged hosts, mean error of each feature, and a 3-D projection of the
     embeddings."""
     n, e = latest_snapshot(nodes), latest_snapshot(edges)
-    scored = score_snapshots(n, e, model, errors, head)
+    scored = score_snapshots(n, e, model, head)
     k = len(model.components)
     wide = scored.select("snapshot_ts", "node", *[F.col("embedding")[i].alias(f"e{i}") for i in range(k)])
     projected, _ = project_pca(wide, [f"e{i}" for i in range(k)], min(3, k))

@@ -159,8 +159,3 @@ EDGE_ORIGINAL_NUMERIC = ["dst_port", "total_orig_ip_bytes", "total_resp_ip_bytes
 EDGE_CATEGORICAL = ["protocol", "service"]
 WEB_SERVICES = ["http", "https"]
 WEB_PORTS = [80, 443, 8080, 8443]
-
-ANOMALY_REPORT_SCHEMA = (
-    "timestamp string, update_count int, nodes_in_graph int, node_anomalies "
-    "array<struct<node_id:int,detected_by:string,recon_error:double,mlp_score:double,ip:string>>"
-)

@@ -1,4 +1,4 @@
-"""Structured Streaming jobs: merging, snapshots, rolling activity, statistics, drift, reports.
+"""Structured Streaming jobs: merging, snapshots, rolling activity, statistics, drift.
 
 All jobs work on event time. A watermark bounds their state; its delay is a parameter.
 """
@@ -11,12 +11,10 @@ from pyspark.sql.streaming import StreamingQuery
 from hostweave import schemas as S
 from hostweave.operators import drift as drift_ops
 from hostweave.operators.connections import flatten_connection, last_parts, tag_parts, valid_endpoints
-from hostweave.operators.detect import write_anomaly_report
 from hostweave.operators.edges import _SUM_SOURCES, _edge_keys
 from hostweave.operators.hosts import host_roles
-from hostweave.operators.stats import load_stats, save_stats, stats_combine, stats_update
-from hostweave.plans import pipelines
-from hostweave.session import cut, prepare_session
+from hostweave.operators.stats import save_stats, stats_combine
+from hostweave.session import cut
 from hostweave.sources.snapshots import mark_finished, write_partitions
 
 DELAY = "1 minute"
@@ -174,7 +172,11 @@ def update_state(spark: SparkSession, parts: DataFrame, root: str, batch_id: int
     from the one before it, so a repeated batch gives the same version and counts nothing twice.
     The state is one row per feature, however long the stream runs.
     """
-    before = spark.read.parquet(_version(root, "node_stats", batch_id - 1)) if batch_id > 0 else None
+    before = None
+    if batch_id > 0:
+        older = spark.read.parquet(f"{root.rstrip('/')}/state/node_stats").filter(F.col("version") < batch_id)
+        newest = older.agg(F.max("version").alias("version"))  # one row
+        before = older.join(F.broadcast(newest), "version", "left_semi").drop("version")
     batch = parts.drop("snapshot_ts")
     merged = stats_combine(batch if before is None else before.unionByName(batch))
     save_stats(merged, f"{root.rstrip('/')}/state/node_stats", batch_id)
@@ -194,7 +196,9 @@ def drift_monitor(
     drift = drift_ops.feature_drift(rows, reference=reference).filter(F.col("snapshot_ts") > ahead)
     carried = 0
     if batch_id > 0:
-        last = spark.read.parquet(_version(root, "drift", batch_id - 1)).agg(F.max_by("streak", "snapshot_ts").alias("s")).head()
+        # a batch without snapshots leaves the streak of the one before it
+        older = spark.read.parquet(f"{root.rstrip('/')}/state/drift").filter(F.col("version") < batch_id)
+        last = older.agg(F.max_by("streak", F.struct("version", "snapshot_ts")).alias("s")).head()
         carried = int(last["s"] or 0)
     if carried:
         open_streak = spark.range(carried).select(
@@ -205,73 +209,3 @@ def drift_monitor(
     path = _version(root, "drift", batch_id)
     streak.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
-
-
-def process_snapshots(
-    spark: SparkSession, edges: DataFrame, out_dir: str, batch_id: int, mode: str, model_path: str, k: int = 8,
-    nodes: DataFrame | None = None, head=None, errors_path: str | None = None,
-) -> None:
-    """One batch of snapshots: features, statistics and model when training, detection, reports."""
-    root = out_dir.rstrip("/")
-    features_path = f"{root}/features/batch={batch_id}"
-    # Features are read by statistics, fit and scoring, so they are written once.
-    pipelines.host_features(nodes, edges).write.mode("overwrite").parquet(features_path)
-    features = spark.read.parquet(features_path)
-    if mode == "train":
-        parts_path = f"{root}/state/parts/version={batch_id}"
-        stats_update(features, S.NODE_FEATURES, ("snapshot_ts",)).write.mode("overwrite").parquet(parts_path)
-        parts = spark.read.parquet(parts_path)
-        before = update_state(spark, parts, root, batch_id)
-        drift_monitor(spark, parts, before, root, batch_id)
-        # a batch holds at least one snapshot, so the buffer lies within as many batches
-        recent = (F.col("batch") <= batch_id) & (F.col("batch") > batch_id - drift_ops.BUFFER)
-        seen = spark.read.parquet(f"{root}/features").filter(recent)
-        streaks = spark.read.parquet(f"{root}/state/drift").filter(
-            (F.col("version") <= batch_id) & (F.col("version") > batch_id - drift_ops.BUFFER)
-        )
-        cuts = drift_ops.adapt_window(seen, streaks)
-        buffer = drift_ops.buffer_snapshots(seen, cut=cuts)
-        model, errors = pipelines.fit_model(seen.join(buffer, "snapshot_ts", "left_semi"), k)
-        pipelines.save_model(spark, model, model_path)
-        save_stats(errors, f"{root}/state/error_stats", batch_id)
-    elif mode != "detect":
-        raise ValueError(f"unknown mode: {mode}")
-    model = pipelines.load_model(spark, model_path)
-    errors = load_stats(spark, errors_path or f"{root}/state/error_stats")
-    scored = pipelines.reconstruct_score(features, model)
-    scored = head(scored) if head else pipelines.error_score(scored, errors)
-    _, documents = pipelines.reports(scored, errors)
-    write_anomaly_report(documents, f"{root}/reports/batch={batch_id}", mode="overwrite")
-
-
-def monitor_snapshots(
-    spark: SparkSession, in_dir: str, out_dir: str, mode: str = "detect", model_path: str | None = None,
-    interval: str | None = None, k: int = 8, max_files: int | None = None, head=None, errors_path: str | None = None,
-    nodes_dir: str | None = None,
-) -> StreamingQuery:
-    """Follow a snapshot edge table and write anomaly reports for each new snapshot.
-
-    ``train`` also updates statistics, drift and the model; ``detect`` needs a stored model and its
-    error statistics (``errors_path``) and fails without them. ``nodes_dir`` names the host table of
-    the same snapshots; without it the time-of-day features are 0. Without ``interval`` the data at
-    hand is processed.
-    """
-    prepare_session(spark)
-    model_path = model_path or f"{out_dir.rstrip('/')}/state/model"
-    schema = spark.read.parquet(in_dir).schema
-    reader = spark.readStream.schema(schema)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    trigger = {"processingTime": interval} if interval else {"availableNow": True}
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        session, nodes = batch.sparkSession, None
-        if nodes_dir:
-            here = batch.select("snapshot_ts").distinct()
-            nodes = session.read.parquet(nodes_dir).join(here, "snapshot_ts", "left_semi")
-        process_snapshots(session, batch, out_dir, batch_id, mode, model_path, k, nodes, head, errors_path)
-
-    return (
-        reader.parquet(in_dir).writeStream.foreachBatch(run)
-        .option("checkpointLocation", f"{out_dir.rstrip('/')}/checkpoint").trigger(**trigger).start()
-    )

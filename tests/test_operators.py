@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hostweave import schemas as S
+from hostweave import functions as fn
 from hostweave.operators import attention, detect, drift, features as ft, hosts as ho, scale_out, scaling, stats, topology as tp
 
 
@@ -148,18 +149,66 @@ def test_attention_layer_matches_numpy(spark):
         assert np.allclose(got[str(t)], y), t
 
 
-def test_report_splits_and_keeps_every_host(spark):
+def test_report_has_one_shape_and_keeps_every_host(spark, tmp_path):
     found = spark.range(95).select(
         F.lit(60).cast("bigint").alias("snapshot_ts"), F.concat(F.lit("h"), "id").alias("node"), F.col("id").alias("node_id"),
         F.lit("mlp").alias("detected_by"), F.lit(0.5).alias("recon_error"), F.lit(0.9).alias("mlp_score"),
     )
     counts = spark.createDataFrame([(60, 200), (120, 10)], "snapshot_ts bigint, nodes_in_graph bigint")
-    docs = detect.anomaly_report(found, counts, per_document=10).collect()
-    assert sum(len(r.node_anomalies) for r in docs) == 95 and len(docs) > 5
-    quiet = [r for r in docs if r.snapshot_ts == 120]
-    assert len(quiet) == 1 and quiet[0].node_anomalies == [] and quiet[0].update_count == 2
-    one = detect.anomaly_report(found, counts).filter("snapshot_ts = 60").collect()
-    assert len(one) == 1 and [a.node_id for a in one[0].node_anomalies] == list(range(95))
+    rows = detect.report_rows(found, counts)
+    assert sorted((r.kind, r["count"]) for r in rows.groupBy("kind").count().collect()) == [("finding", 95), ("snapshot", 2)]
+    detect.write_report_rows(rows, str(tmp_path / "r"))
+    back = detect.read_reports(spark, str(tmp_path / "r")).collect()
+    assert sorted(r.node_id for r in back if r.snapshot_ts == 60) == list(range(95)) and {r.nodes_in_graph for r in back if r.snapshot_ts == 60} == {200}
+    assert [(r.node_id, r.update_count) for r in back if r.snapshot_ts == 120] == [(None, 2)]
+
+
+def test_lookup_join_spreads_a_hot_key(spark):
+    """A key with 90 % of the rows is read by many tasks."""
+    keys = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "40k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 60000, 1, 8).select(F.when(F.col("id") % 10 > 0, 0).otherwise(F.col("id")).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+        table = spark.range(60000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+        out = scale_out.lookup_join(rows, table, ["k"]).withColumn("task", F.spark_partition_id())
+        hot = out.filter("k = 0").groupBy("task").count().collect()
+        assert sum(r["count"] for r in hot) == 54001 and len(hot) >= 8
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_percentiles_use_one_rule_for_all_sizes(spark):
+    import numpy as np
+
+    data = [("a", float(v)) for v in range(7)] + [("b", float((v * 37) % 1009)) for v in range(1009)]
+    got = {r.g: r.p for r in scale_out.exact_percentiles(spark.createDataFrame(data, "g string, v double"), "v", [0.0, 0.25, 0.95, 1.0], ["g"]).collect()}
+    for g in ("a", "b"):
+        assert np.allclose(got[g], np.quantile([v for k, v in data if k == g], [0.0, 0.25, 0.95, 1.0]))
+
+
+def test_long_status_numbers_are_ignored(spark):
+    rows = spark.createDataFrame([("404",), ("12345678901",), ("99999999999999999999",), (" 200 OK",), ("x",), ("",), (None,)], "s string")
+    assert [r[0] for r in rows.select(fn.status_number("s")).collect()] == [404, None, None, 200, None, None, None]
+
+
+def test_moments_give_the_fitted_model(spark):
+    import numpy as np
+
+    from hostweave.operators import moments
+
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=(300, 4)) @ rng.normal(size=(4, 4)) + 5
+    df = spark.createDataFrame([(i % 3, *map(float, v)) for i, v in enumerate(values)], "snapshot_ts bigint, a double, b double, c double, d double")
+    joint = moments.no_moments(4)
+    for m in moments.snapshot_moments(df, list("abcd")).values():
+        joint = joint.merge(moments.Moments.unpacked(m.packed()))
+    ours, fitted = moments.model_of(joint, list("abcd"), 2), detect.reconstruct_fit(df, list("abcd"), 2)
+    assert joint.n == 300 and np.allclose(ours.mean, fitted.mean) and np.allclose(ours.std, fitted.std)
+    assert np.allclose(np.abs(ours.components), np.abs(fitted.components)) and np.allclose(ours.explained, fitted.explained)
 
 
 def test_node_vector_blocks_sum_to_one(spark):

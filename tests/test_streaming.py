@@ -4,7 +4,8 @@ from hostweave import schemas as S
 from hostweave.operators.connections import connections_from_logs
 from hostweave.plans import pipelines
 from hostweave.sources import logs, snapshots as sn
-from hostweave.streaming import jobs
+from hostweave.operators import detect
+from hostweave.streaming import jobs, monitor
 from test_logs import conn_line
 
 
@@ -24,16 +25,26 @@ def test_logs_to_reports(spark, tmp_path):
     pipelines.logs_to_snapshots(spark, str(tmp_path / "logs"), graph, seconds=120)
     nodes, edges = sn.read_snapshots(spark, graph)
     assert edges.agg(F.sum("connection_count")).head()[0] == 60 and nodes.filter("most_freq_ssl_version <> 3").count() == 0
-    jobs.monitor_snapshots(spark, f"{graph}/edges", out, "train", nodes_dir=f"{graph}/nodes").awaitTermination(600)
+    monitor.monitor_snapshots(spark, graph, out, "train", export_every=2).awaitTermination(600)
     drift = spark.read.parquet(f"{out}/state/drift")
     assert drift.count() == edges.select("snapshot_ts").distinct().count()
     again = str(tmp_path / "again")
-    jobs.monitor_snapshots(
-        spark, f"{graph}/edges", again, "detect", model_path=f"{out}/state/model", errors_path=f"{out}/state/error_stats",
-        nodes_dir=f"{graph}/nodes",
+    monitor.monitor_snapshots(
+        spark, graph, again, "detect", model_path=f"{out}/state/model", errors_path=f"{out}/state/error_stats",
     ).awaitTermination(600)
-    docs = spark.read.schema(S.ANOMALY_REPORT_SCHEMA).json(f"{again}/reports/*/*")
+    docs = detect.read_reports(spark, f"{again}/reports")
     assert docs.count() >= drift.count() and docs.agg(F.min("nodes_in_graph")).head()[0] > 0
+    assert spark.read.parquet(f"{out}/embeddings").select("snapshot_ts").distinct().count() == drift.count() // 2
+    assert spark.read.parquet(f"{out}/state/edge_stats").count() == len(S.EDGE_DERIVED)
+    # a later run on other windows keeps the earlier snapshots, and the monitor takes the new ones only
+    before = edges.select("snapshot_ts").distinct().count()
+    write_logs(tmp_path / "more" / "a", [f"v{i}" for i in range(30)], 9000.0)
+    pipelines.logs_to_snapshots(spark, str(tmp_path / "more"), graph, seconds=120)
+    _, edges = sn.read_snapshots(spark, graph)
+    assert edges.select("snapshot_ts").distinct().count() > before
+    monitor.monitor_snapshots(spark, graph, out, "train").awaitTermination(600)
+    numbers = sorted(r[0] for r in spark.read.parquet(f"{out}/state/drift").select("update_count").collect())
+    assert numbers == list(range(1, edges.select("snapshot_ts").distinct().count() + 1))
 
 
 def test_stream_merge_equals_batch(spark, tmp_path):
@@ -51,3 +62,45 @@ def test_stream_merge_equals_batch(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "o")).filter("uid <> 'closing'").orderBy("uid").collect()
     want = connections_from_logs(*[logs.scan_logs(spark, str(root), k) for k in S.LOG_FIELDS]).filter("uid <> 'closing'").orderBy("uid").collect()
     assert len(got) == 20 and got == want
+
+
+def test_monitor_does_not_depend_on_batches(spark, tmp_path):
+    """One batch, one batch per snapshot, and a repeated and an empty batch give the same reports."""
+    graph = str(tmp_path / "graph")
+    write_logs(tmp_path / "logs" / "a", [f"u{i}" for i in range(60)], 1000.0)
+    pipelines.logs_to_snapshots(spark, str(tmp_path / "logs"), graph, seconds=120)
+    nodes, edges = sn.read_snapshots(spark, graph)
+    times = sorted(r[0] for r in edges.select("snapshot_ts").distinct().collect())
+
+    def reports(out):
+        rows = detect.read_reports(spark, f"{out}/reports").select("snapshot_ts", "update_count", "ip", "detected_by", F.round("recon_error", 6)).collect()
+        return sorted(map(str, rows)), sorted(map(str, spark.read.parquet(f"{out}/state/drift").drop("version").collect()))
+
+    whole = str(tmp_path / "whole")
+    monitor.monitor_snapshots(spark, graph, whole, "train", k=3).awaitTermination(600)
+    single = str(tmp_path / "single")
+    for i, t in enumerate(times):
+        part = F.col("snapshot_ts") == t
+        args = (spark, nodes.filter(part), edges.filter(part), single, i, "train", f"{single}/state/model", 3)
+        monitor.process_snapshots(*args)
+        if i == 1:
+            monitor.process_snapshots(*args)  # a failed batch is run again
+    monitor.process_snapshots(spark, nodes.limit(0), edges.limit(0), single, len(times), "train", f"{single}/state/model", 3)
+    assert reports(single) == reports(whole)
+    state = monitor._read_state(spark, single, len(times) + 1)
+    assert state.updates == len(times) and len(state.buffer) <= len(times)
+
+
+def test_closing_step_completes_a_bounded_stream(spark, tmp_path):
+    """Stream and closing step together give the batch result: windows and records, each once."""
+    root = tmp_path / "logs"
+    write_logs(root / "a", [f"u{i}" for i in range(40)], 1000.0)
+    streams = [logs.stream_logs(spark, str(root), k) for k in S.LOG_FIELDS]
+    tables = [logs.scan_logs(spark, str(root), k) for k in S.LOG_FIELDS]
+    q = jobs.correlate_uid_stream(*streams).writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(600)
+    emitted = spark.read.parquet(str(tmp_path / "o"))
+    still = jobs.open_records(*tables)
+    assert 0 < emitted.count() < 40 and still.count() > 0
+    uids = [r[0] for r in emitted.select("uid").union(still.select("uid")).collect()]
+    assert sorted(uids) == sorted(f"u{i}" for i in range(40))
