@@ -80,6 +80,17 @@ def toy_scored(spark, d):
     return cut(z.select("snapshot_ts", "node", error.alias("recon_error"), "mlp_score"), "scored")
 
 
+def toy_model(names, k=8):
+    """A linear autoencoder with numbers from a rule."""
+    n = len(names)
+    i, j = np.meshgrid(np.arange(1, k + 1), np.arange(1, n + 1), indexing="ij")
+    components = 0.2 * np.sin(0.31 * i + 0.17 * j)
+    return detect.Reconstruction(
+        tuple(names), tuple((0.001 * np.arange(1, n + 1)).tolist()), tuple((0.1 + 0.002 * np.arange(1, n + 1)).tolist()),
+        tuple(map(tuple, components.tolist())), (0.0,) * k,
+    )
+
+
 def toy_head(sizes=(64, 16, 1)):
     """A dense head with weights from a rule."""
     layers = []
@@ -552,7 +563,7 @@ def feature_density(spark, d):
 @query("reconstruction_by_feature")
 def reconstruction_by_feature(spark, d):
     df, names = _embedding_columns(spark, d, 64)
-    return tidy(stats.reconstruction_by_feature(detect.reconstruct_score(df, detect.reconstruct_fit(df, names, 16)), names))
+    return tidy(stats.reconstruction_by_feature(detect.reconstruct_score(df, toy_model(names)), names))
 
 
 @query("graph_counts")
@@ -741,14 +752,26 @@ def mean_neighbor_features(spark, d):
 @query("reconstruct_score")
 def reconstruct_score(spark, d):
     df, names = _embedding_columns(spark, d, 64)
-    return tidy(detect.reconstruct_score(df, detect.reconstruct_fit(df, names, 16)).select("vec_id", "recon_error"))
+    return tidy(detect.reconstruct_score(df, toy_model(names)).select("vec_id", "recon_error"))
 
 
 @query("reconstruct_fit")
 def reconstruct_fit(spark, d):
-    rows = hosts19(spark, d)
-    model, errors = pipelines.fit_model(rows, 8)
-    return tidy(errors.withColumn("explained", F.lit(float(sum(model.explained)))))
+    """What must hold of a fit: components are orthonormal, the mean error is the share of variance
+    that they leave out, and all components leave no error."""
+    df, names = _embedding_columns(spark, d, 64)
+    model, whole = detect.reconstruct_fit(df, names, 16), detect.reconstruct_fit(df, names, 64)
+    c = np.array(model.components)
+    facts = detect.reconstruct_score(df, model).agg(F.count(F.lit(1)).alias("n"), F.avg("recon_error").alias("error"))
+    none_left = detect.reconstruct_score(df, whole).agg(F.max("recon_error").alias("rest"))
+    moments = df.agg(*[F.avg(n).alias(n) for n in names]).head()
+    return tidy(facts.crossJoin(none_left).select(
+        "n", F.lit(float(np.abs(c @ c.T - np.eye(16)).max()) < 1e-8).alias("orthonormal"),
+        (F.abs(F.col("error") - (1 - sum(model.explained))) < 1e-3).alias("error_is_left_out_share"), (F.col("rest") < 1e-9).alias("all_components_leave_none"),
+        F.lit(all(x >= y for x, y in zip(model.explained, model.explained[1:]))).alias("falling"),
+        F.lit(float(sum(model.mean))).alias("mean_sum"), F.lit(float(sum(model.std))).alias("std_sum"),
+        F.lit(float(max(abs(moments[n] - m) for n, m in zip(names, model.mean))) < 1e-9).alias("means_match"),
+    ), 4)
 
 
 @query("dense_score")
@@ -796,10 +819,21 @@ def detect_anomalies(spark, d):
 
 @query("project_pca")
 def project_pca(spark, d):
+    """Facts that hold of principal components whatever their sign: centred, uncorrelated, and with
+    the variance that they explain."""
     df, names = _embedding_columns(spark, d, 64)
-    out, _ = detect.project_pca(df, names, 3)
-    # the sign of a component is arbitrary
-    return tidy(out.select("vec_id", *[F.abs(f"pc{i}").alias(f"abs_pc{i}") for i in (1, 2, 3)]), 4)
+    out, explained = detect.project_pca(df, names, 3)
+    pairs = [(1, 2), (1, 3), (2, 3)]
+    facts = out.agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(f"pc{i}").alias(f"m{i}") for i in (1, 2, 3)],
+        *[F.corr(f"pc{i}", f"pc{j}").alias(f"r{i}{j}") for i, j in pairs], *[F.var_pop(f"pc{i}").alias(f"v{i}") for i in (1, 2, 3)],
+    )
+    small = lambda cols: F.greatest(*[F.abs(c) for c in cols]) < 1e-6
+    matches = F.greatest(*[F.abs(F.col(f"v{i}") / 64 - explained[i - 1]) for i in (1, 2, 3)]) < 1e-3
+    return tidy(facts.select(
+        "n", small([F.col(f"m{i}") for i in (1, 2, 3)]).alias("centred"), small([F.col(f"r{i}{j}") for i, j in pairs]).alias("uncorrelated"),
+        matches.alias("variances_explained"), ((F.col("v1") >= F.col("v2")) & (F.col("v2") >= F.col("v3"))).alias("falling"),
+    ))
 
 
 @query("model_statistics")

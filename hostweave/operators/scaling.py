@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from hostweave.session import cut
 
 METHODS = ("none", "standard", "minmax")
 
@@ -63,22 +64,39 @@ def scale_policy(snapshots: DataFrame, max_age: int = 3600, fit_always: bool = F
     """For each snapshot the time of the scaler to use: ``fit_ts`` and whether it is fitted here.
 
     A scaler is fitted at the first snapshot, and again at the first one more than ``max_age``
-    seconds after the last fit. That rule is serial, so it runs over the list of snapshot times,
-    in order and in batches; the rows of the snapshots are not touched.
+    seconds after the last fit (times are whole seconds). Time is cut into intervals that hold at
+    most one fit; inside an interval every time finds the fit that would follow it, and the fits that
+    really happen are followed from the first one by doubling: each round joins twice as many steps.
+    Only one row per interval is ever put in order as a whole.
     """
-    times = snapshots.select(F.col(ts).cast("bigint").alias(ts)).distinct()
+    times = snapshots.select(F.col(ts).cast("bigint").alias("t")).distinct()
     if fit_always:
-        return times.select(ts, F.col(ts).alias("fit_ts"), F.lit(True).alias("refit"))
-    ordered = times.repartition(1).sortWithinPartitions(ts)
-
-    def walk(batches):
-        last = None
-        for pdf in batches:
-            fits = []
-            for t in pdf[ts]:
-                if last is None or t - last > max_age:
-                    last = int(t)
-                fits.append(last)
-            yield pd.DataFrame({ts: pdf[ts], "fit_ts": fits, "refit": pdf[ts] == fits})
-
-    return ordered.mapInPandas(walk, f"{ts} bigint, fit_ts bigint, refit boolean")
+        return times.select(F.col("t").alias(ts), F.col("t").alias("fit_ts"), F.lit(True).alias("refit"))
+    width = max_age + 1
+    times = cut(times.withColumn("b", F.floor(F.col("t") / width).cast("bigint")), "times")
+    # the first time at or after t + width: in the interval after t's, or the first of a later one
+    asked = times.select((F.col("b") + 1).alias("b"), (F.col("t") + width).alias("at"), F.col("t").alias("asker"), F.lit(None).cast("bigint").alias("t"))
+    given = times.select("b", F.col("t").alias("at"), F.lit(None).cast("bigint").alias("asker"), "t")
+    here = Window.partitionBy("b").orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    found = given.unionByName(asked).withColumn("next", F.min("t").over(here)).filter("asker is not null")
+    firsts = times.groupBy("b").agg(F.min("t").alias("first")).unionByName(found.filter("next is null").select("b", F.lit(None).cast("bigint").alias("first")).distinct())
+    firsts = firsts.groupBy("b").agg(F.min("first").alias("first"))
+    later = Window.orderBy("b").rowsBetween(1, Window.unboundedFollowing)  # one row per interval
+    firsts = firsts.select("b", F.min("first").over(later).alias("later"))
+    jumps = found.join(firsts, "b", "left").select(F.col("asker").alias("t"), F.coalesce("next", "later").alias("next")).filter("next is not null")
+    jumps = cut(jumps, "fit-jumps")
+    fits = cut(times.agg(F.min("t").alias("t")).filter("t is not null"), "fits")
+    known = fits.count()
+    while known:
+        fits = cut(fits.unionByName(fits.join(jumps, "t").select(F.col("next").alias("t"))).distinct(), "fits")
+        before, known = known, fits.count()
+        if known == before:
+            break
+        onward = jumps.select(F.col("t").alias("next"), F.col("next").alias("then"))
+        jumps = cut(jumps.join(onward, "next").select("t", F.col("then").alias("next")), "fit-jumps")
+    fitted = fits.select(F.floor(F.col("t") / width).cast("bigint").alias("b"), F.col("t").alias("fit"))
+    spans = times.select("b").distinct().join(fitted, "b", "left")
+    earlier = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # one row per interval
+    spans = spans.select("b", "fit", F.max("fit").over(earlier).alias("last"))
+    out = times.join(spans, "b").select(F.col("t").alias(ts), F.when(F.col("fit") <= F.col("t"), F.col("fit")).otherwise(F.col("last")).alias("fit_ts"))
+    return out.withColumn("refit", F.col(ts) == F.col("fit_ts"))

