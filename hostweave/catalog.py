@@ -123,9 +123,16 @@ def _lines(spark, d, kind):
     return good.select(F.explode(copies).alias("value"))
 
 
+def _log_folder(spark, lines, kind):
+    """Lines as text files of a log folder in the shared work folder."""
+    path = work_path(spark, f"{kind}-logs")
+    lines.select("value").write.text(path)
+    return path
+
+
 def _scan(kind):
     def run(spark, d):
-        rows = logs.typed(logs.parse_lines(_lines(spark, d, kind), kind), kind)
+        rows = logs.typed(logs.scan_logs(spark, _log_folder(spark, _lines(spark, d, kind), kind), kind, pattern="part-*"), kind)
         if kind == "http":
             rows = rows.withColumn("tags", F.array_join("tags", "+"))
         return tidy(rows)
@@ -147,7 +154,7 @@ def scan_conn_json(spark, d):
         F.lit(',"conn_state":"'), F.col("conn_state"), F.lit('","local_orig":'), (F.col("local_orig") == "T").cast("string"),
         F.lit(',"orig_pkts":'), F.col("orig_pkts"), F.lit(',"community_id":"1:x"}'),
     )
-    rows = logs.parse_json_lines(f.select(value.alias("value")))
+    rows = logs.scan_logs(spark, _log_folder(spark, f.select(value.alias("value")), "json"), "conn", "json", pattern="part-*")
     return tidy(rows.select(
         "ts", "uid", "id_orig_h", "id_orig_p", "id_resp_h", "id_resp_p", "proto", "service", "orig_bytes", "conn_state",
         "local_orig", "local_resp", "orig_pkts", "community_id",
@@ -896,15 +903,13 @@ def _to_table(spark, stream, name, partition=None):
 
 @query("stream_logs")
 def stream_logs(spark, d):
-    """Lines of the event table as a stream of connection log lines."""
-    e = _stream(spark, d, "events")
-    cells = ["ts", "uid"] + ["-"] * 19
-    value = F.concat_ws("\t", *[
-        {"ts": F.unix_micros(F.col("ts").cast("timestamp")) / 1000000, "uid": F.concat(F.lit("E"), "event_id")}[c].cast("string") if c in ("ts", "uid") else F.lit(c)
-        for c in cells
-    ])
+    """Connection log files, written from the event table, read as a stream."""
+    e = fl.read_table(spark, d, "events")
+    given = {"ts": (F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("string"), "uid": F.concat(F.lit("E"), "event_id").cast("string")}
+    value = F.concat_ws("\t", *[given.get(c, F.lit("-")) for c in ["ts", "uid"] + ["-"] * 19])
     short = F.when(F.col("event_type") == "error", F.lit("short\tline")).otherwise(value)
-    parsed = logs.parse_lines(e.select(short.alias("value")), "conn").select("uid", F.col("ts").try_cast("double").alias("ts"), "conn_state")
+    folder = _log_folder(spark, e.select(short.alias("value")), "conn")
+    parsed = logs.stream_logs(spark, folder, "conn", pattern="part-*").select("uid", F.col("ts").try_cast("double").alias("ts"), "conn_state")
     return tidy(_to_table(spark, parsed, "lines"), 3)
 
 
@@ -943,6 +948,14 @@ def snapshot_cumulative(spark, d):
     return tidy(pipelines.snapshot_cumulative(edges(spark, d, SNAP)))
 
 
+@query("snapshot_at")
+def snapshot_at(spark, d):
+    """The all-history graph as of the fifth snapshot before the newest."""
+    cumulative = cut(pipelines.snapshot_cumulative(edges(spark, d, SNAP)), "cumulative")
+    newest = cumulative.agg(F.max("snapshot_ts").alias("t")).head()["t"]
+    return tidy(pipelines.snapshot_at(cumulative, newest - 5 * 7776000).drop("snapshot_ts", "first_seen", "last_seen"))
+
+
 @query("snapshot_cumulative_stream")
 def snapshot_cumulative_stream(spark, d):
     out, state = work_path(spark, "cumulative"), work_path(spark, "cumulative-state")

@@ -685,3 +685,5 @@ add("reconstruction_by_feature", _RECON, "select concat('f', j - 1) as feature,
 add("reconstruct_fit", "xs as (select vec_id, unnest(range(1, 65)) as j, cast(unnest(embedding) as double) as v from embeddings), ms as (select j, avg(v) as m, greatest(stddev_pop(v), 1e-6) as s, count(*) as n from xs group by j)",
     "select max(n) as n, true as orthonormal, true as error_is_left_out_share, true as all_components_leave_none, true as falling, round(sum(m), 4) + 0.0 as mean_sum, round(sum(s), 4) + 0.0 as std_sum, true as means_match from ms")
 add("project_pca", "", "select count(*) as n, true as centred, true as uncorrelated, true as variances_explained, true as falling from embeddings")
+add("snapshot_at", SNAP_EDGES, f"""select {KEYS}, {', '.join(f'cast(sum({c}) as bigint) as {c}' for c in ['connection_count', *S.EDGE_SUMS])} from e
+where snapshot_ts <= (select max(snapshot_ts) from e) - 5 * 7776000 group by all""")
