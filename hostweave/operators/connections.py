@@ -48,8 +48,11 @@ def flatten_connection(merged: DataFrame, keep: tuple[str, ...] = ()) -> DataFra
     return _flat(merged, F.col, F.col("http").isNotNull(), F.coalesce(F.col("conn.at"), F.lit(0.0)), keep)
 
 
-def _flat(df: DataFrame, part, has_http: Column, timestamp: Column, keep: tuple[str, ...]) -> DataFrame:
-    """The record over ``part(kind)[field]``, a column for each raw field."""
+def _flat(
+    df: DataFrame, part, has_http: Column, timestamp: Column, keep: tuple[str, ...], given: dict[str, Column] | None = None,
+) -> DataFrame:
+    """The record over ``part(kind)[field]``, a column for each raw field. ``given`` has columns of the
+    record that need no parsing."""
     conn, ssl, http = part("conn"), part("ssl"), part("http")
     text = lambda c, d="": F.coalesce(dash_to_null(c), F.lit(d))
     number = lambda c: lenient_long(dash_to_default(c, "0"))
@@ -93,6 +96,7 @@ def _flat(df: DataFrame, part, has_http: Column, timestamp: Column, keep: tuple[
         "http_status_code": text(http["status_code"]),
         "username": text(http["username"]),
     }
+    columns |= given or {}
     return df.select("uid", *keep, *[columns[n].alias(n) for n in S.CONNECTION_COLUMNS])
 
 
@@ -192,4 +196,9 @@ def from_flows(flows: DataFrame) -> DataFrame:
             value = F.col(source).cast("string") if source else F.lit("-")
             return value if self.kind == "conn" else F.when(present[self.kind], value)
 
-    return _flat(flows, Fields, has_http, F.col("epoch").cast("double"), ("epoch", "snapshot_ts"))
+    # numbers stay numbers: only what a flow spells as text is parsed
+    types = dict(flows.dtypes)
+    numbers = {"src_port": "int", "dst_port": "int", "orig_bytes": "bigint", "resp_bytes": "bigint", "orig_pkts": "bigint",
+               "resp_pkts": "bigint", "orig_ip_bytes": "bigint", "resp_ip_bytes": "bigint"}
+    given = {c: F.coalesce(F.col(c).cast(t), F.lit(0).cast(t)) for c, t in numbers.items() if types[c] in ("int", "bigint")}
+    return _flat(flows, Fields, has_http, F.col("epoch").cast("double"), ("epoch", "snapshot_ts"), given)

@@ -61,16 +61,12 @@ def node_rollup(
         F.count(F.lit(1)).alias("_n"), F.sum("total_orig_bytes").alias("_ob"), F.sum("total_orig_pkts").alias("_op"),
         F.sum("total_resp_bytes").alias("_rb"), F.sum("total_resp_pkts").alias("_rp"),
     )
-    # Second step: still by protocol, so that entropy and top share come from sums.
     rows = _web_flags(collapsed, dedupe_ssl)
     n, privileged = F.col("_n"), privileged_port("dst_port")
     total = lambda cond, c, name: F.sum(F.when(cond, F.col(c)).otherwise(0)).alias(name)
     numbers = rows.groupBy(*keys).agg(
         F.sum("_n").alias("total_connections"),
         total(out, "_n", "outgoing_connections"), total(~out, "_n", "incoming_connections"),
-        F.count_distinct("service").alias("unique_services"),
-        F.count_distinct(F.when(out, F.col("dst_port"))).alias("unique_remote_ports"),
-        F.count_distinct(F.when(~out, F.col("dst_port"))).alias("unique_local_ports"),
         total(out & privileged, "_n", "privileged_remote_connections"),
         total(~out & privileged, "_n", "privileged_local_connections"),
         F.sum(F.col("_http") * n).alias("http_connections"), F.sum(F.col("_https") * n).alias("https_connections"),
@@ -78,28 +74,35 @@ def node_rollup(
         total(out, "_ob", "total_outgoing_bytes"), total(~out, "_rb", "total_incoming_bytes"),
         total(out, "_op", "total_outgoing_packets"), total(~out, "_rp", "total_incoming_packets"),
     )
-    per_protocol = protocol_histogram(edges, by)
-    c = F.col("n").cast("double")
-    shares = per_protocol.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("unique_protocols"), F.max("n").alias("top_protocol_connections"),
-        F.sum("n").alias("_all"), F.sum(c * F.log2(c)).alias("_nlogn"),
-    ).select(
-        *keys, "unique_protocols", "top_protocol_connections",
-        F.greatest(F.log2(F.col("_all")) - F.col("_nlogn") / F.col("_all"), F.lit(0.0)).alias("protocol_entropy"),
-    )
-    result = numbers.join(shares, keys)
+    # Distinct values: one row per (host, kind, value) first, then counts of those rows, so neither
+    # step needs a distinct aggregate and a host's edges combine before they are shuffled.
+    fact = lambda kind, value: F.struct(kind.alias("kind"), value.cast("string").alias("value"))
+    facts = rows.select(*keys, "_n", F.explode(F.array(
+        fact(F.lit("p"), F.col("protocol")), fact(F.lit("s"), F.col("service")),
+        fact(F.when(out, "r").otherwise("l"), F.col("dst_port")),
+    )).alias("f")).groupBy(*keys, "f.kind", "f.value").agg(F.sum("_n").alias("n"))
+    is_kind = lambda k: (F.col("kind") == k) & F.col("value").isNotNull()
+    protocol, c = F.col("kind") == "p", F.col("n").cast("double")
+    every = F.sum(F.when(protocol, F.col("n")))
+    measures = [
+        F.count_if(is_kind("s")).alias("unique_services"), F.count_if(is_kind("r")).alias("unique_remote_ports"),
+        F.count_if(is_kind("l")).alias("unique_local_ports"), F.count_if(protocol).alias("unique_protocols"),
+        F.max(F.when(protocol, F.col("n"))).alias("top_protocol_connections"),
+        F.greatest(F.log2(every) - F.sum(F.when(protocol, c * F.log2(c))) / every, F.lit(0.0)).alias("protocol_entropy"),
+    ]
     if with_sets:
-        sets = rows.groupBy(*keys).agg(
-            F.sort_array(F.collect_set("protocol")).alias("protocols_seen"),
-            F.sort_array(F.collect_set("service")).alias("services_seen"),
-            F.sort_array(F.collect_set(F.when(out, F.col("dst_port")))).alias("remote_ports_connected_to"),
-            F.sort_array(F.collect_set(F.when(~out, F.col("dst_port")))).alias("local_ports_used"),
-        )
-        counts = per_protocol.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("protocol", "n"))).alias("protocol_counts"))
-        services = protocol_histogram(edges, by, "service").groupBy(*keys).agg(
-            F.map_from_entries(F.collect_list(F.struct("service", "n"))).alias("service_counts")
-        )
-        result = result.join(sets, keys).join(counts, keys).join(services, keys)
+        values = lambda k: F.collect_list(F.when(is_kind(k), F.col("value")))
+        ports = lambda k: F.sort_array(F.transform(values(k), lambda v: v.cast("int")))
+        counts = lambda k: F.map_from_entries(F.collect_list(F.when(is_kind(k), F.struct("value", "n"))))
+        measures += [
+            F.sort_array(values("p")).alias("protocols_seen"), F.sort_array(values("s")).alias("services_seen"),
+            ports("r").alias("remote_ports_connected_to"), ports("l").alias("local_ports_used"),
+            counts("p").alias("protocol_counts"), counts("s").alias("service_counts"),
+        ]
+    distinct = facts.groupBy(*keys).agg(*measures)
+    first = ["total_connections", "outgoing_connections", "incoming_connections", "unique_services", "unique_remote_ports", "unique_local_ports"]
+    joined = numbers.join(distinct, keys)
+    result = joined.select(*keys, *first, *[c for c in joined.columns if c not in keys and c not in first])
     if nodes is not None:
         numeric = [c for c, t in result.dtypes if c not in keys and t in ("bigint", "int", "double")]
         result = nodes.join(result, keys, "full_outer").fillna(0, subset=numeric)
