@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hostweave.llm import (
@@ -20,6 +23,11 @@ def prepare(spark: SparkSession) -> None:
     prepare_session(spark)
     # texts may be long: Arrow batches of few rows keep a Python worker small
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    # workers import this package from where the driver has it, whatever folder the driver runs in
+    home, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if home not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([*paths, home])
 
 
 def query(name: str, sql: str | None = None):
