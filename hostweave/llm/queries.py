@@ -152,7 +152,19 @@ def op8_source_mixing(spark, d):
     return mx.mix_sources(table(spark, d, "documents"), target_entropy=0.95, most_repeats=4.0)
 
 
-@query("op10_ngram_jaccard_join")
+@query("op10_ngram_jaccard_join", r"""with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws
+  from documents),
+k as (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) as i from w where len(ws) > 0),
+s as (select distinct doc_id, array_to_string(ws[i : i + 4], ' ') as g from k),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as x, b.doc_id as y, count(*) as common from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+l as (select x, y from c join n p on p.doc_id = x join n q on q.doc_id = y where 100 * common >= 80 * (p.n + q.n - common)),
+e as (select x, y from l union all select y, x from l),
+r(doc_id, seen) as (select doc_id, doc_id from w union select r.doc_id, e.y from r join e on e.x = r.seen)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id from w left join n on n.doc_id = w.doc_id
+join (select doc_id, min(seen) as component_id from r group by doc_id) m on m.doc_id = w.doc_id
+""")
 def op10_ngram_jaccard_join(spark, d):
     return nj.ngram_jaccard_join(table(spark, d, "documents"))
 
