@@ -496,7 +496,8 @@ _host_query("node_traffic_sums_unswapped", lambda c: ho.node_traffic_sums(c, com
 _host_query("node_direction_ratio", ho.node_direction_ratio)
 _host_query("node_mode", ho.node_mode)
 _host_query("activity_score", lambda c: ho.node_activity_score(c, SNAP))
-_host_query("node_history", ho.node_history)
+_host_query("node_history", lambda c: ho.node_history(c).withColumn("protocol_counts", F.array_join(F.transform("protocol_counts", lambda x: F.concat(x["protocol"], F.lit("="), x["n"].cast("string"))), " ")))
+_host_query("node_history_unswapped", lambda c: ho.node_history(c, compat="unswapped").drop("protocol_counts"))
 _host_query("node_rollup_conn", lambda c: ho.node_rollup_conn(c, SNAP))
 _host_query("first_last_seen", ho.first_last_seen)
 _host_query("top_protocols", lambda c: ho.top_categories(c, "protocol"))

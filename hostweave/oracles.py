@@ -316,10 +316,18 @@ from (select distinct node from roles) left join (from hp where rk = 1) hp using
 left join (from hv where rk = 1) hv using (node) left join (from hsl where rk = 1) hsl using (node)""")
 add("activity_score", ROLES, """select snapshot_ts, node, count(*) as total_connections, round(1 - pow(0.9, count(*)), 6) + 0.0 as activity_score
 from roles group by snapshot_ts, node""")
-add("node_history", ROLES, """select snapshot_ts, node, cast(sum(o) over w as bigint) as historical_total_bytes_sent,
-  cast(sum(r) over w as bigint) as historical_total_bytes_received, cast(sum(n) over w as bigint) as historical_total_connections
-from (select snapshot_ts, node, sum(orig_bytes) as o, sum(resp_bytes) as r, count(*) as n from roles group by all)
-window w as (partition by node order by snapshot_ts rows unbounded preceding)""")
+def _history(sent: str, received: str, counts: str = "") -> str:
+    return f"""select snapshot_ts, node, cast(sum(o) over w as bigint) as historical_total_bytes_sent,
+  cast(sum(r) over w as bigint) as historical_total_bytes_received, cast(sum(n) over w as bigint) as historical_total_connections{counts}
+from (select snapshot_ts, node, sum({sent}) as o, sum({received}) as r, count(*) as n from roles group by all) t
+window w as (partition by node order by snapshot_ts rows unbounded preceding)"""
+
+
+add("node_history", ROLES, _history(
+    "case when outgoing then orig_bytes else resp_bytes end", "case when outgoing then resp_bytes else orig_bytes end",
+    """, (select string_agg(concat(protocol, '=', n), ' ' order by protocol) from (
+    select protocol, count(*) as n from roles r where r.node = t.node and r.snapshot_ts <= t.snapshot_ts group by protocol)) as protocol_counts"""))
+add("node_history_unswapped", ROLES, _history("orig_bytes", "resp_bytes"))
 add("first_last_seen", ROLES, "select node, min(timestamp) as first_seen, max(timestamp) as last_seen from roles group by node")
 add("top_protocols", f"{ROLES}{hist('protocol', 'h')}", "select node, v as value, n, rk as rank from h where rk <= 3")
 add("top_user_agents", f"{ROLES}{hist('http_user_agent', 'h')}", "select node, v as value, n, rk as rank from h where rk <= 3")
