@@ -70,14 +70,15 @@ def hosts19(spark, d):
 
 
 def toy_scored(spark, d):
-    """Scored hosts whose numbers SQL can follow: the error is the mean square of the z-scored
-    features (the reconstruction with no component), the score the outgoing ratio."""
+    """Hosts scored by a model with a head: mean and deviation of the rows themselves, four components
+    and a small dense head with weights from a rule, so that SQL can follow the numbers."""
     rows = hosts19(spark, d)
-    st = stats.stats_update(rows, S.NODE_FEATURES)
-    z = stats.zscore_columns(rows.withColumn("mlp_score", F.round("outgoing_ratio", 9)), S.NODE_FEATURES, st)
-    square = sum((F.col(c) * F.col(c) for c in S.NODE_FEATURES[1:]), F.col(S.NODE_FEATURES[0]) * F.col(S.NODE_FEATURES[0]))
-    error = F.round(square / len(S.NODE_FEATURES), 9)
-    return cut(z.select("snapshot_ts", "node", error.alias("recon_error"), "mlp_score"), "scored")
+    st = {r["feature"]: r for r in stats.with_std(stats.stats_update(rows, S.NODE_FEATURES)).collect()}  # 19 rows
+    rule = toy_model(S.NODE_FEATURES, 4)
+    mean, std = (tuple(st[c][v] for c in S.NODE_FEATURES) for v in ("mean", "std"))
+    scored = detect.reconstruct_score(rows, detect.Reconstruction(rule.cols, mean, std, rule.components, rule.explained))
+    scored = detect.dense_score(scored, "embedding", toy_head((4, 3, 1)))
+    return cut(scored.select("snapshot_ts", "node", F.round("recon_error", 9).alias("recon_error"), F.round("mlp_score", 9).alias("mlp_score")), "scored")
 
 
 def toy_model(names, k=8):

@@ -555,8 +555,14 @@ join n19 on n19.snapshot_ts = k.snapshot_ts and n19.node = src""")
 
 # --- scoring ---------------------------------------------------------------------------------
 
-SCORED = f"""{N19}, z as (select snapshot_ts, node, round(outgoing_ratio, 9) as mlp_score, {Z} from n19),
-sc as (select snapshot_ts, node, mlp_score, round(({' + '.join(f'{c} * {c}' for c in S.NODE_FEATURES)}) / 19, 9) as recon_error from z),
+_N = len(S.NODE_FEATURES)
+_W = lambda i, j: f"0.2 * sin(0.31 * {i} + 0.17 * {j})"
+_E = ", ".join("(" + " + ".join(f"{c} * {_W(i, j)}" for j, c in enumerate(S.NODE_FEATURES, 1)) + f") as e{i}" for i in range(1, 5))
+_R = " + ".join(f"pow({c} - (" + " + ".join(f"e{i} * {_W(i, j)}" for i in range(1, 5)) + "), 2)" for j, c in enumerate(S.NODE_FEATURES, 1))
+_H = ", ".join("greatest(" + " + ".join(f"e{i} * sin(0.37 * {o} + 0.11 * {i})" for i in range(1, 5)) + f" + 0.01 * {o - 1}, 0) as h{o}" for o in range(1, 4))
+_S = " + ".join(f"h{o} * sin(0.37 + 0.11 * {o})" for o in range(1, 4))
+SCORED = f"""{N19}, z as (select snapshot_ts, node, {Z} from n19), em as (select *, {_E} from z), hd as (select *, {_H} from em),
+sc as (select snapshot_ts, node, round(1 / (1 + exp(-({_S}))), 9) as mlp_score, round(({_R}) / {_N}, 9) as recon_error from hd),
 lim as (select snapshot_ts, quantile_cont(recon_error, 0.95) as t from sc group by snapshot_ts),
 fl as (select sc.*, t as recon_threshold, recon_error > t as recon_flag, mlp_score > 0.8 as mlp_flag from sc join lim using (snapshot_ts)),
 one as (select avg(recon_error) + 2 * greatest(stddev_pop(recon_error), 1e-6) as t from sc)"""
