@@ -845,6 +845,15 @@ def project_pca(spark, d):
     ))
 
 
+@query("evaluate_latest")
+def evaluate_latest(spark, d):
+    """Newest snapshot: flagged hosts with their error, and the mean error of each feature."""
+    found = pipelines.evaluate_latest(None, stored_edges(spark, d), toy_model(S.NODE_FEATURES, 4))
+    flagged = found["anomalies"].select(F.lit("host").alias("kind"), F.col("node").alias("name"), F.col("recon_error").alias("value"))
+    features = found["feature_errors"].select(F.lit("feature").alias("kind"), F.col("feature").alias("name"), F.col("mean_abs_error").alias("value"))
+    return tidy(flagged.unionByName(features), 5)
+
+
 @query("model_statistics")
 def model_statistics(spark, d):
     feats = _event_features(spark, d)

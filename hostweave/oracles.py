@@ -701,3 +701,9 @@ add("reconstruct_fit", "xs as (select vec_id, unnest(range(1, 65)) as j, cast(un
 add("project_pca", "", "select count(*) as n, true as centred, true as uncorrelated, true as variances_explained, true as falling from embeddings")
 add("snapshot_at", SNAP_EDGES, f"""select {KEYS}, {', '.join(f'cast(sum({c}) as bigint) as {c}' for c in ['connection_count', *S.EDGE_SUMS])} from e
 where snapshot_ts <= (select max(snapshot_ts) from e) - 5 * 7776000 group by all""")
+_ZR = ", ".join(f"({c} - {0.001 * j:.3f}) / (0.1 + {0.002 * j:.3f} + 1e-6) as {c}" for j, c in enumerate(S.NODE_FEATURES, 1))
+_D = {c: f"abs({c} - (" + " + ".join(f"e{i} * {_W(i, j)}" for i in range(1, 5)) + "))" for j, c in enumerate(S.NODE_FEATURES, 1)}
+add("evaluate_latest", N19, f""", z as (select node, {_ZR} from n19 where snapshot_ts = (select max(snapshot_ts) from n19)), em as (select *, {_E} from z),
+er as (select node, ({_R}) / {_N} as recon_error from em)
+select 'host' as kind, node as name, round(recon_error, 5) + 0.0 as value from er where recon_error > (select quantile_cont(recon_error, 0.95) from er)
+union all """ + " union all ".join(f"select 'feature', '{c}', round(avg({x}), 5) + 0.0 from em" for c, x in _D.items()))

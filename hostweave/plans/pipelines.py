@@ -153,10 +153,10 @@ def reports(scored: DataFrame, errors: DataFrame | None = None) -> tuple[DataFra
     return flagged, report_rows(flagged, counts)
 
 
-def evaluate_latest(nodes: DataFrame, edges: DataFrame, model: Reconstruction, errors: DataFrame | None = None, head=None) -> dict[str, DataFrame]:
+def evaluate_latest(nodes: DataFrame | None, edges: DataFrame, model: Reconstruction, errors: DataFrame | None = None, head=None) -> dict[str, DataFrame]:
     """Newest snapshot: flagged hosts, mean error of each feature, and a 3-D projection of the
     embeddings."""
-    n, e = latest_snapshot(nodes), latest_snapshot(edges)
+    n, e = None if nodes is None else latest_snapshot(nodes), latest_snapshot(edges)
     scored = score_snapshots(n, e, model, head)
     k = len(model.components)
     wide = scored.select("snapshot_ts", "node", *[F.col("embedding")[i].alias(f"e{i}") for i in range(k)])
