@@ -7,15 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from hostweave.llm.hashing import mix64, powers
+from hostweave.llm.hashing import mix64, powers, slices
 from hostweave.session import cut
 
 LENGTH = 100  # bytes of a passage
-GRAM = 24  # bytes of an anchor
-BATCH = 4 << 20  # bytes of text anchored at a time
-OFTEN = 8  # an anchor with so many different regions in a batch is dealt by region
+GRAM = 48  # bytes of an anchor, a multiple of 8
+BATCH = 4 << 20  # bytes of text posted together
+SLICE = 1 << 19  # bytes of text anchored at a time, so that the arrays stay in the cache
+OFTEN = 32  # an anchor with so many different regions in a batch is dealt by region
 PART = 4096  # regions of one anchor that are sorted together
 MARK_BITS = 1 << 24  # bits of the table of marked documents, whatever the input
 _U = np.uint64
@@ -216,7 +218,11 @@ def matched_regions(docs: DataFrame, buckets: int) -> DataFrame:
     passage that a third of all documents have is spread like any other.
     """
     def post(ids: list[int], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        text, start, windows, anchor, content = text_regions(texts)
+        found = []
+        for a, b in slices([len(t) for t in texts], SLICE):
+            text, *rest = text_regions(texts[a:b])
+            found.append((text + a, *rest))
+        text, start, windows, anchor, content = (np.concatenate(x) for x in zip(*found))
         if not len(text):
             return
         owner = np.array(ids, np.int64)[text]
@@ -343,6 +349,13 @@ def repeated_windows(texts: list[bytes], ids: np.ndarray, starts: np.ndarray, sp
     return ids[r[again]], at[again], ids[r[first]], at[first], _names(one), _names(two)
 
 
+def _flat(lists: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Row numbers and fields of the structs in a column of lists."""
+    flat = pc.list_flatten(lists)
+    fields = [flat.field(i).to_numpy(zero_copy_only=False) for i in range(flat.type.num_fields)]
+    return pc.list_parent_indices(lists).to_numpy(), fields
+
+
 def _runs(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Neighbouring starts of one document as (id, start, windows)."""
     order = np.lexsort((starts, ids))
@@ -363,17 +376,18 @@ def sorted_regions(found: DataFrame, docs: DataFrame, groups: int) -> DataFrame:
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[], [], [], [], []]
-            for i, text, regions in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
-                for r in regions:
-                    name = np.array([r["anchor"], r["part"]], np.int64).view(_U)
-                    where = int(mix64(name[:1] + mix64(name[1:]))[0] % _U(groups))
-                    row = (where, i, r["start"], r["part"] >= 0, text[r["start"] : r["start"] + r["windows"] + LENGTH - 1])
-                    for c, v in zip(columns, row):
-                        c.append(v)
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-            for a in range(0, len(columns[0]), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 20_000], t) for c, t in zip(columns, kinds)], ["group", "id", "start", "split", "bytes"])
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            rows, (anchor, part, start, windows) = _flat(batch.column(2))
+            where = (mix64(anchor.view(_U) + mix64(part.view(_U))) % _U(groups)).astype(np.int32)
+            ids = batch.column(0).to_numpy()[rows]
+            ends = start + windows + LENGTH - 1
+            for a in range(0, len(rows), 20_000):
+                z = slice(a, a + 20_000)
+                pieces = [texts[r][x:y] for r, x, y in zip(rows[z].tolist(), start[z].tolist(), ends[z].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(where[z]), pa.array(ids[z]), pa.array(start[z].astype(np.int32)), pa.array(part[z] >= 0), pa.array(pieces, pa.binary())],
+                    ["group", "id", "start", "split", "bytes"],
+                )
 
     def sort(table: pa.Table) -> pa.Table:
         ids, at, f_ids, f_at, one, two = repeated_windows(
@@ -424,20 +438,16 @@ def marked(docs: DataFrame, ids: DataFrame, inside: bool = True) -> DataFrame:
 _RESULT = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<begin: int, end: int>>"
 
 
-def remove_spans(text: bytes, runs: list[tuple[int, int]], length: int = LENGTH) -> tuple[bytes, list[tuple[int, int]]]:
-    """The text without the bytes that the windows cover, and the maximal removed runs."""
-    spans: list[list[int]] = []
-    for start, windows in sorted(runs):
-        end = start + windows + length - 1
-        if spans and start <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], end)
-        else:
-            spans.append([start, end])
-    kept, at = [], 0
-    for a, b in spans:
-        kept.append(text[at:a])
-        at = b
-    return b"".join([*kept, text[at:]]), [(a, b) for a, b in spans]
+def merged_spans(rows: np.ndarray, starts: np.ndarray, windows: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Row, begin and end of the maximal runs of bytes that some windows cover; rows below 2**23."""
+    order = np.lexsort((starts, rows))
+    rows, starts, ends = rows[order], starts[order].astype(np.int64), starts[order].astype(np.int64) + windows[order] + length - 1
+    reach = np.maximum.accumulate((rows << 40) + ends)
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] << 40) + starts[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(rows)) - 1 if len(first) else first
+    return rows[first], starts[first], reach[last] - (rows[last] << 40)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -468,7 +478,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows = numbered.select(F.col("row").alias("id"), "text")
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = cut(matched_regions(rows, parts), "matched-regions")
-    sorted_ = cut(sorted_regions(found, rows, parts), "sorted-regions")
+    sorted_ = cut(sorted_regions(found, rows, 4 * parts), "sorted-regions")
     same = Window.partitionBy("one", "two").orderBy("id", "start")
     later = sorted_.filter("kind = 1").withColumn("first", F.first(F.struct("id", "start")).over(same))
     later = later.filter(F.struct("id", "start") != F.col("first"))
@@ -479,15 +489,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, out = batch.column(1).cast(pa.binary()).to_pylist(), []
-            lists = batch.column(2).to_pylist()
-            for text, own_runs in zip(texts, lists):
-                kept, spans = remove_spans(text, [(r["start"], r["windows"]) for r in own_runs or []])
-                out.append((len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"begin": a, "end": b} for a, b in spans]))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))
-            columns = list(zip(*out)) if out else [()] * 5
+            texts, n = batch.column(1).cast(pa.binary()).to_pylist(), batch.num_rows
+            row, (start, windows) = _flat(batch.column(2))
+            row, begin, end = merged_spans(row.astype(np.int64), start, windows)
+            gone = np.bincount(row, end - begin, n).astype(np.int64)
+            at = np.searchsorted(row, np.arange(n + 1))
+            begins, ends, kept = begin.tolist(), end.tolist(), []
+            for i, text in enumerate(texts):
+                a, b = int(at[i]), int(at[i + 1])
+                if a < b:
+                    text = b"".join([text[: begins[a]], *(text[x:y] for x, y in zip(ends[a : b - 1], begins[a + 1 : b])), text[ends[b - 1] :]])
+                kept.append(hashlib.sha256(text).hexdigest())
+            spans = pa.StructArray.from_arrays([pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], ["begin", "end"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"],
+                [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(gone), pa.array(np.diff(at).astype(np.int64)), pa.array(kept),
+                 pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), spans)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"],
             )
 
     changed = marked(rows, by_document.select("id")).join(by_document, "id", "left").select("id", "text", "runs")
