@@ -12,7 +12,7 @@ from hostweave.llm.packing import pack_documents
 from hostweave.llm.queries import prepare, vocabulary
 from hostweave.session import cut
 
-LEAST_SCORE = 0.35  # share of the first language, or its chance in a text of one language
+LEAST_SCORE = 0.25  # share of the first language, or its chance in a text of one language
 CAPACITY = 2048
 
 
