@@ -24,6 +24,7 @@ class WordIds(dict):
     def __init__(self, path: str):
         super().__init__()
         self.encoder = PartEncoder(path)
+        self.packed = [struct.pack("<I", i) for i in range(self.encoder.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.merged: dict[str, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
@@ -42,8 +43,7 @@ class WordIds(dict):
     def _merge(self, part: str) -> bytes:
         ids = self.merged.get(part)
         if ids is None:
-            numbers = self.encoder.merge(part)
-            ids = struct.pack(f"<{len(numbers)}I", *numbers)
+            ids = b"".join(map(self.packed.__getitem__, self.encoder.merge(part)))
             if len(part) <= LONG:
                 if len(self.merged) >= KEPT // 2:
                     self.merged.clear()

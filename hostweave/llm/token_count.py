@@ -48,6 +48,8 @@ class PartEncoder:
 
     def parts(self, word: str) -> list[str] | None:
         """The pre-tokens of a word without white space; None if only the tokenizer itself knows."""
+        if word.isascii() and word.isalpha():
+            return [word.lower()]
         if not _PLAIN.fullmatch(word) or ("<|" in word and any(s in word for s in self.special)):
             return None
         return _PARTS.findall(word.lower())
