@@ -159,12 +159,14 @@ def post_blocks(docs: DataFrame, text_col: str, buckets: int, percent: int = PER
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
+        total = 0
         for batch in batches:
             for text in _texts(batch, 0):
                 held.append(text)
-                if sum(map(len, held[-1:])) and len(held) >= 64 and sum(map(len, held)) >= BATCH:
+                total += len(text)
+                if total >= BATCH:
                     yield from post(held)
-                    held = []
+                    held, total = [], 0
         if held:
             yield from post(held)
 
