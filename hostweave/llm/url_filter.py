@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hostweave.session import cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Second-level labels under which a country suffix registers names.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
@@ -72,21 +74,22 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     hosts = outcomes.groupBy("host").agg(
         F.sum(F.when(F.col("outcome") == 1, 1).otherwise(0)).alias("good"), F.count("outcome").alias("labelled"),
     )
-    hosts = hosts.withColumn("domain", registered_domain(F.col("host")))
+    # written once: each level is read for its sums, for its spread and for its means
+    hosts = cut(hosts.withColumn("domain", registered_domain(F.col("host"))), "hosts")
     domains = hosts.groupBy("domain").agg(F.sum("good").alias("dk"), F.sum("labelled").alias("dn"))
-    domains = domains.withColumn("suffix", F.regexp_replace("domain", r"^[^.]*\.", ""))
+    domains = cut(domains.withColumn("suffix", F.regexp_replace("domain", r"^[^.]*\.", "")), "domains")
     suffixes = domains.groupBy("suffix").agg(F.sum("dk").alias("sk"), F.sum("dn").alias("sn"))
     # half a good and half a bad page keep the share off 0 and 1, also where nothing is labelled
     total = suffixes.agg(((F.coalesce(F.sum("sk"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("sn"), F.lit(0)) + 1.0)).alias("top"))
-    suffixes = suffixes.crossJoin(F.broadcast(total))
+    suffixes = cut(suffixes.crossJoin(F.broadcast(total)), "suffixes")
     suffixes = suffixes.crossJoin(F.broadcast(_spread(suffixes, "sk", "sn", "top"))).select(
         "suffix", ((F.col("sk") + F.col("strength") * F.col("top")) / (F.col("sn") + F.col("strength"))).alias("s_mean"),
     )
-    domains = domains.join(suffixes, "suffix")
+    domains = cut(domains.join(suffixes, "suffix"), "domains")
     domains = domains.crossJoin(F.broadcast(_spread(domains, "dk", "dn", "s_mean"))).select(
         "domain", ((F.col("dk") + F.col("strength") * F.col("s_mean")) / (F.col("dn") + F.col("strength"))).alias("d_mean"),
     )
-    hosts = hosts.join(domains, "domain")
+    hosts = cut(hosts.join(domains, "domain"), "hosts")
     hosts = hosts.crossJoin(F.broadcast(_spread(hosts, "good", "labelled", "d_mean")))
     a = F.col("good") + F.col("strength") * F.col("d_mean")
     n = F.col("labelled") + F.col("strength")
