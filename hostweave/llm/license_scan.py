@@ -14,6 +14,7 @@ TEMPLATES = {
     "MIT line": "Released under the MIT License.",
     "GPL-3.0 line": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0 line": "Licensed under CC BY-NC 4.0.",
+    "All rights reserved line": "All rights reserved.",  # grants nothing, which a corpus must know too
     "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0 notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "MPL-2.0 notice": (

@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -77,6 +79,18 @@ def test_license_query_finds_every_planted_line(spark, texts):
     assert len([r for r in got if r.license.endswith("line")]) == want > 0
 
 
+def test_license_query_finds_every_rights_line_of_the_texts(spark, texts):
+    """The expected lines are read from the texts, not from the templates."""
+    rights = re.compile(r"(?i)\b(licen[sc]ed?|rights|copyright)\b")
+    lines = Counter((i, line.strip()) for i, t in texts.items() for line in (t or "").split("\n") if len(line.split()) <= 20 and rights.search(line))
+    want = Counter()
+    for (i, _), n in lines.items():
+        want[i] += n
+    assert "All rights reserved." in {line for _, line in lines}
+    got = Counter(r.doc_id for r in Q.QUERIES["op1_license_scan"](spark, SF).collect())
+    assert got == want
+
+
 # --- token counts and packing
 
 
