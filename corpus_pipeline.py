@@ -12,14 +12,21 @@ from hostweave.llm.packing import pack_documents
 from hostweave.llm.queries import prepare, vocabulary
 from hostweave.session import cut
 
-LEAST_SCORE = 0.25  # share of the first language, or its chance in a text of one language
+LEAD = 0.1  # least lead of the first language, from 0 (all alike) to 1 (no other)
 CAPACITY = 2048
 
 
+def least_score(languages: int) -> float:
+    """The score of a text whose first of so many languages has a lead of ``LEAD``; no lead is 1 / languages."""
+    even = 1 / max(1, languages)
+    return even + LEAD * (1 - even)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those without letters, or without a leading language, go."""
     prepare(spark)
-    return keep_identified(docs, learn_languages(docs), LEAST_SCORE)
+    model = learn_languages(docs)
+    return keep_identified(docs, model, least_score(len(model.languages)))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,23 @@ def test_each_stage_takes_odd_and_empty_tables(spark, odd, nothing):
     assert Counter(r.doc_id for r in kept)[1] == 1 and not {5, 9, 8} & {r.doc_id for r in kept}
 
 
+def test_language_stage_drops_texts_without_a_leading_language(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    long = {}
+    for r in sorted(docs.collect(), key=lambda r: (-len(r.text), r.doc_id)):
+        long.setdefault(r.lang, r.text)
+    size = min(len(t) for t in long.values())
+    even = " ".join(t[:size] for t in long.values())
+    two = " ".join(t[:size] for t in [*long.values()][:2])
+    added = docs.limit(0).unionByName(spark.createDataFrame([(-1, "A."), (-2, even), (-3, two), (-4, "123")], "doc_id long, text string"), allowMissingColumns=True)
+    assert len(long) == 4
+    assert {r.doc_id for r in cp.language_id(spark, docs.unionByName(added), SF).collect() if r.doc_id < 0} == {-3}
+    # the threshold follows the number of languages: an even spread is below it, a text of the only language is not
+    assert all(1 / n < cp.least_score(n) < 1 for n in range(2, 200)) and cp.least_score(1) == cp.least_score(0) == 1
+    one = docs.filter("lang = 'en'")
+    assert cp.language_id(spark, one, SF).count() == one.count() > 0
+
+
 def test_run_is_the_chain_of_stages(spark):
     rows = cp.run(spark, SF).collect()
     assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows) > 0
