@@ -38,13 +38,18 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a shingle similarity of 0.8 or more the one with the smallest id.
 
-    Documents without words are linked with nothing and stay; rows without an id stay if no document
-    with an id is in their group.
+    One row of each group stays: rows without an id come after all others, and of rows with the same
+    id the first written one stays. Documents without words are linked with nothing and stay.
     """
     prepare(spark)
-    found = ngram_jaccard_join(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    docs = cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    key = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id"), F.col(row).alias("row")).alias("key")
+    found = ngram_jaccard_join(docs.select(key, "text"), "key")
+    kept = found.filter("key.row = component_id.row").select(F.col("key.row").alias(row))
+    return docs.join(kept, row, "left_semi").drop(row)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,6 +60,25 @@ def test_language_stage_drops_texts_without_a_leading_language(spark):
     assert cp.language_id(spark, one, SF).count() == one.count() > 0
 
 
+def test_near_duplicates_keep_one_row_of_a_group_whatever_its_ids(spark):
+    def text(name, changed=""):
+        return " ".join([f"{name}{i}" for i in range(60)] + [changed])
+
+    rows = [
+        (None, text("a")), (None, text("a", "x")), (None, text("a", "y")),  # no ids
+        (None, text("b")), (8, text("b", "x")), (9, text("b", "y")),  # an id and none
+        (3, text("c")), (3, text("c", "x")), (3, text("d")),  # one id, two groups
+        (4, text("e")), (4, text("e")), (None, None), (None, ""), (5, None), (5, None),  # equal rows, no words
+    ]
+    docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, _row string").repartition(4)
+    out = cp.near_duplicates(spark, docs, SF)
+    kept = out.collect()
+    assert out.columns == docs.columns and {r._row for r in kept} == {"z"}
+    assert Counter((r.doc_id, r.text[0] if r.text else "") for r in kept) == {
+        (None, "a"): 1, (8, "b"): 1, (3, "c"): 1, (3, "d"): 1, (4, "e"): 1, (None, ""): 2, (5, ""): 2,
+    }
+
+
 def test_run_is_the_chain_of_stages(spark):
     rows = cp.run(spark, SF).collect()
     assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows) > 0
