@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from hostweave.session import cut as write_table
+
+
 def lookup_join(rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join rows to a table that has one row for each key.
 
@@ -39,6 +42,19 @@ def prefix_sums(
     )
 
 
+def range_scan(df: DataFrame, keys: list[str], order: list[str], measures: list[str], name: str = "range-scan") -> DataFrame:
+    """Running sums per key along ``order`` however many rows a key has: ``<measure>_run`` columns.
+
+    Splitters sampled over (keys, order) deal the rows into ranges, so the rows of one key spread over
+    as many tasks as they need; sums run inside each range, and the totals of a key's earlier ranges
+    are added. Ranges are written once, since a second sample could draw other splitters. Rows with
+    equal order values share their sum, so rows that must differ need a last order column of their
+    own. Keys must not be null; without keys the whole table is one.
+    """
+    ranged = df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
+    return prefix_sums(write_table(ranged, name), keys, order, measures, F.col("_range")).drop("_range")
+
+
 def dense_index(df: DataFrame, column: str, by: list[str], name: str = "idx", digits: int = 3) -> DataFrame:
     """0-based dense position of each row within ``by``; ``column`` must be unique there.
 
