@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hostweave.llm import (
-    exact_dedup as ed, fingerprint as fp, language as lg, license_scan as ls, mixing as mx, ngram_join as nj, packing as pk, suffix_dedup as sd, token_count as tc, url_filter as uf,
+    divergence as dv, exact_dedup as ed, fingerprint as fp, language as lg, license_scan as ls, mixing as mx, ngram_join as nj, packing as pk, prefix_trie as pt, sharding as sh, suffix_dedup as sd, token_count as tc, url_filter as uf,
 )
 from hostweave.session import prepare_session
 
@@ -172,3 +172,65 @@ def op10_ngram_jaccard_join(spark, d):
 @query("op4_suffix_dedup")
 def op4_suffix_dedup(spark, d):
     return sd.remove_repeats(table(spark, d, "documents")).drop("spans")
+
+
+@query("op11_sharding")
+def op11_sharding(spark, d):
+    """Sixteen shards of near equal bytes; documents with equal texts are linked."""
+    return sh.shard_documents(table(spark, d, "documents"), shards=16)
+
+
+@query("op12_source_divergence", r"""
+with d as (select row_number() over () as i, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+w as (select i, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+kept as (select lang, term, count(*) as n from w group by lang, term having count(distinct i) >= 10),
+cells as (select w.lang, w.source, w.term, count(*) as n from w join kept on w.lang = kept.lang and w.term = kept.term group by w.lang, w.source, w.term),
+langs as (select lang, count(*) as v, sum(n) as total from kept group by lang),
+grp as (select g.lang, g.source, coalesce(v, 0)::hugeint as v, coalesce(langs.total, 0)::hugeint as lang_total, coalesce(t.total, 0)::hugeint as total
+        from (select distinct lang, source from d) g left join langs on g.lang = langs.lang
+        left join (select lang, source, sum(n) as total from cells group by lang, source) t on g.lang = t.lang and g.source = t.source),
+grid as (select grp.lang, grp.source, kept.term, coalesce(cells.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(cells.n, 0) + 2)) // (grp.total + 2 * v) as p,
+                1 + (1000000000::hugeint * (kept.n + 2)) // (lang_total + 2 * v) as q
+         from grp join kept on grp.lang = kept.lang left join cells on grp.lang = cells.lang and grp.source = cells.source and kept.term = cells.term),
+pv as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+       from grid a join grid b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+          from grp a join grp b on a.lang = b.lang and a.source <> b.source left join pv on pv.lang = a.lang and pv.source = a.source and pv.item = b.source),
+terms as (select lang, source, 'term' as part, term as item, (p - q) * (p - q) // (p + q) as value from grid where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (select * from pairs union all select * from terms))
+select lang, source, part, item, value::bigint as value, rank::int as rank from ranked where part = 'pair' or rank <= 10
+""")
+def op12_source_divergence(spark, d):
+    """Terms in at least ten documents of their language; all sources, ten terms each."""
+    return dv.source_divergence(table(spark, d, "documents"), least_docs=10, top=10)
+
+
+@query("op13_prefix_trie", r"""
+with turns as (select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) as j,
+                      sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) as h,
+                      length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', 'x', 'g'), '[\x20\x09-\x0D]+', '', 'g')) as words
+               from conversations where conv_id is not null),
+convs as (select c, list(h order by j) as hs, list(words order by j) as ws,
+                 (4294967295 - list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(c::varchar, ''), lambda x: ord(x)::bigint)), lambda s, b:
+                   list_reduce(list_prepend(xor(s, b), range(8)::bigint[]), lambda a, k: case when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end))) % 4 as h
+          from turns group by c),
+seqs as (select x.c, coalesce(list_slice(b.hs, 1, x.h), []) || coalesce(list_slice(x.hs, x.h + 1, len(x.hs)), []) as hs,
+                coalesce(list_slice(b.ws, 1, x.h), []) || coalesce(list_slice(x.ws, x.h + 1, len(x.ws)), []) as ws
+         from convs x left join convs b on b.c = x.c - x.c % 20),
+prefixes as (select c, d, list_slice(hs, 1, d) as k, list_slice(hs, 1, d - 1) as u, case when d > 0 then ws[d] else 0 end as words, d = len(hs) as ends
+             from (select c, hs, ws, unnest(range(0, len(hs) + 1)) as d from seqs)),
+nodes as (select d, k, any_value(u) as u, min(c) as conv_id, count(*) as n_convs, any_value(words) as words,
+                 sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (where ends), '')) as ends_sha256 from prefixes group by d, k),
+kids as (select u, count(*) as n from nodes where d > 0 group by u),
+full_nodes as (select nodes.*, coalesce(kids.n, 0) as n_children, (n_convs - 1) * words as own from nodes left join kids on kids.u = nodes.k),
+sums as (select a.k, count(*) filter (where b.n_children = 0) as n_leaves, sum(b.own) as saved_tokens
+         from full_nodes a join full_nodes b on b.d >= a.d and list_slice(b.k, 1, a.d) = a.k group by a.k)
+select f.conv_id::bigint as conv_id, f.d::bigint as depth, p.conv_id::bigint as parent_conv_id, f.n_convs::bigint as n_convs, f.n_children::bigint as n_children,
+       n_leaves::bigint as n_leaves, saved_tokens::bigint as saved_tokens, f.ends_sha256
+from full_nodes f join sums on sums.k = f.k left join full_nodes p on f.d > 0 and p.k = f.u
+""")
+def op13_prefix_trie(spark, d):
+    """Conversation c takes over the first crc32(c) % 4 turns of conversation c - c % 20."""
+    c = F.col("conv_id")
+    return pt.conversation_trie(table(spark, d, "conversations"), base=c - c % 20, taken=F.crc32(c.cast("string")) % 4)
