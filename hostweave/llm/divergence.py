@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,8 @@ from hostweave.session import cut
 SCALE = 1_000_000_000
 STRIPE = 4096  # terms whose columns of the matrix are one tree
 BLOCK = 256  # groups whose rows of the matrix are one tree
-HELD = 200_000  # distinct (group, term) counts that a task holds before it passes them on
+SLICE = 1 << 20  # bytes of text whose terms are counted at a time
+HELD = 1_000_000  # distinct (group, term) counts that a task holds before it passes them on
 CELLS = 1 << 21  # matrix cells that a set of group pairs is expanded to at a time
 _TERM = np.arange(256, dtype=np.uint8)
 _TERM[65:91] += 32
@@ -31,38 +32,63 @@ def terms_of(text: bytes) -> list[bytes]:
     return text.translate(_TERM_BYTES).split()
 
 
+def slice_counts(texts: list[bytes], groups: np.ndarray) -> pa.Table:
+    """group, term, n (occurrences), df (documents) of some texts, each with the number of its group."""
+    words = [terms_of(t) for t in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    flat = pa.array(list(chain.from_iterable(words)), pa.binary()).dictionary_encode()
+    width = max(len(flat.dictionary), 1)
+    of_doc, n = np.unique(np.repeat(np.arange(len(texts)), sizes) * width + flat.indices.to_numpy(), return_counts=True)
+    of_group = groups[of_doc // width] * width + of_doc % width
+    order = np.argsort(of_group, kind="stable")
+    first = np.flatnonzero(np.diff(of_group[order], prepend=-1))
+    at = of_group[order][first]
+    n, df = (np.add.reduceat(n[order], first) if len(first) else n), np.diff(first, append=len(order))
+    return pa.table({"group": pa.array(at // width, pa.int64()), "term": flat.dictionary.take(pa.array(at % width, pa.int64())), "n": pa.array(n, pa.int64()), "df": pa.array(df, pa.int64())})
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), df (documents), several rows a term, from ``docs`` (lang, source, text)."""
-    def emit(held: dict) -> Iterator[pa.RecordBatch]:
-        by_term: dict[tuple, list] = {}
-        for (lang, source), (n, df) in held.items():
-            for term, c in n.items():
-                by_term.setdefault((lang, term), []).append((source, c, df[term]))
-        items = list(by_term.items())
-        for a in range(0, len(items), 20_000):
-            part = items[a : a + 20_000]
-            ends = np.cumsum([0, *(len(v) for _, v in part)]).astype(np.int32)
-            source, n, df = (list(c) for c in zip(*(x for _, v in part for x in v)))
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x, kind)) for x, kind in ((source, pa.string()), (n, pa.int64()), (df, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in part], pa.string()), pa.array([k[1] for k, _ in part], pa.binary()).cast(pa.string()), *lists], ["lang", "term", "sources", "n", "df"])
+    def emit(held: pa.Table, names: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """A row for each term of a language, with its sources in lists."""
+        group, term = held["group"].to_numpy(), held["term"].combine_chunks().dictionary_encode()
+        langs = {x: i for i, x in enumerate(dict.fromkeys(lang for lang, _ in names))}
+        lang = np.array([langs[x] for x, _ in names], np.int64)[group]
+        key = lang * max(len(term.dictionary), 1) + term.indices.to_numpy()
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        ends = np.append(first, len(order)).astype(np.int32)
+        sources = pa.array([x for _, x in names], pa.string()).take(pa.array(group[order]))
+        lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (sources, held["n"].combine_chunks().take(pa.array(order)), held["df"].combine_chunks().take(pa.array(order)))]
+        terms = term.dictionary.take(term.indices.take(pa.array(order[first]))).cast(pa.string())
+        out = pa.RecordBatch.from_arrays([pa.array(list(langs), pa.string()).take(pa.array(lang[order[first]])), terms, *lists], ["lang", "term", "sources", "n", "df"])
+        yield from (out.slice(a, 10_000) for a in range(0, out.num_rows, 10_000))
+
+    def merged(tables: list[pa.Table]) -> pa.Table:
+        whole = pa.concat_tables(tables).group_by(["group", "term"]).aggregate([("n", "sum"), ("df", "sum")])
+        return whole.rename_columns(["group", "term", "n", "df"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple[Counter, Counter]] = {}
-        size = 0
+        numbers: dict[tuple, int] = {}
+        tables: list[pa.Table] = []
+        texts, groups, size = [], [], 0
         for batch in batches:
-            langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lang, source, text in zip(langs, sources, batch.column(2).cast(pa.binary())):
-                if (lang, source) not in held:
-                    held[lang, source] = (Counter(), Counter())
-                n, df = held[lang, source]
-                size -= len(n)
-                terms = terms_of(text.as_py())
-                n.update(terms), df.update(set(terms))
-                size += len(n)
-            if size > HELD:
-                yield from emit(held)
-                held, size = {}, 0
-        yield from emit(held)
+            for key, text in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), batch.column(2).cast(pa.binary())):
+                texts.append(text.as_py())
+                groups.append(numbers.setdefault(key, len(numbers)))
+                size += len(texts[-1])
+                if size >= SLICE:
+                    tables.append(slice_counts(texts, np.array(groups, np.int64)))
+                    texts, groups, size = [], [], 0
+                    if sum(t.num_rows for t in tables) > 2 * HELD:
+                        tables = [merged(tables)]
+                        if tables[0].num_rows > HELD:
+                            yield from emit(tables[0], list(numbers))
+                            tables, numbers = [], {}
+        if texts:
+            tables.append(slice_counts(texts, np.array(groups, np.int64)))
+        if tables:
+            yield from emit(merged(tables), list(numbers))
 
     packed = docs.select("lang", "source", "text").mapInArrow(count, "lang string, term string, sources array<string>, n array<bigint>, df array<bigint>")
     each = packed.repartition("lang", "term").select("lang", "term", F.explode(F.arrays_zip("sources", "n", "df")).alias("c"))
