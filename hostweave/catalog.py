@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hostweave import functions as fn, schemas as S
 from hostweave.operators import (
-    attention, changes, connections as cx, detect, drift, edges as ed, features as ft, hosts as ho, scaling, stats,
+    attention, changes, connections as cx, detect, drift, edges as ed, features as ft, history, hosts as ho, scaling, stats,
     topology as tp,
 )
 from hostweave.plans import pipelines
@@ -504,7 +504,7 @@ _host_query("first_last_seen", ho.first_last_seen)
 _host_query("top_protocols", lambda c: ho.top_categories(c, "protocol"))
 _host_query("top_user_agents", lambda c: ho.top_categories(c, "user_agent"))
 _host_query("first_services", ho.first_services)
-_host_query("historical_top_protocols", ho.historical_top_protocols)
+_host_query("historical_top_protocols", history.historical_top_protocols)
 
 
 @query("node_rollup")
@@ -959,6 +959,12 @@ def snapshot_cumulative(spark, d):
     return tidy(pipelines.snapshot_cumulative(edges(spark, d, SNAP)))
 
 
+@query("snapshot_cumulative_hosts")
+def snapshot_cumulative_hosts(spark, d):
+    """All-history hosts, one row for each change, with the columns of node_rollup_conn."""
+    return tidy(history.snapshot_cumulative_hosts(conns(spark, d)))
+
+
 @query("snapshot_at")
 def snapshot_at(spark, d):
     """The all-history graph as of the fifth snapshot before the newest."""
@@ -1026,6 +1032,30 @@ def monitor_snapshots(spark, d):
     return tidy(found.join(drifts, "snapshot_ts").drop("mlp_score"), 4)
 
 
+@query("monitor_snapshots_full")
+def monitor_snapshots_full(spark, d):
+    """The monitor as it is shipped: eight components, host statements, two batches.
+
+    A component's sign and direction are no facts, but they are orthonormal: the error of a host and
+    the squares of its embedding add up to the squares of its z-scores, which SQL can follow.
+    """
+    src, out = work_path(spark, "monitor-in"), work_path(spark, "monitor-out")
+    rows = cut(conns(spark, d), "connections")
+    nodes, e = pipelines.snapshot_tables(rows)
+    sn.write_partitions(nodes, f"{src}/nodes")
+    sn.write_partitions(e, f"{src}/edges")
+    times = cut(spark.read.parquet(f"{src}/edges").select(F.col("snapshot_ts").cast("bigint").alias("snapshot_ts")).distinct(), "times")
+    half = times.agg(F.percentile_approx("snapshot_ts", 0.5).alias("p")).head()["p"]
+    for part in (F.col("snapshot_ts") <= half, F.col("snapshot_ts") > half):
+        sn.mark_finished(times.filter(part), src)
+        monitor.monitor_snapshots(spark, src, out, "train", export_every=1).awaitTermination(1800)
+    hosts = spark.read.parquet(f"{out}/embeddings")
+    squares = F.aggregate(F.transform("embedding", lambda v: v.cast("double") * v.cast("double")), F.lit(0.0), lambda a, v: a + v)
+    drifts = spark.read.parquet(f"{out}/state/drift").select("snapshot_ts", "update_count", "drift", "streak", "triggered", "buffered")
+    facts = hosts.select("snapshot_ts", "node", F.size("embedding").alias("components"), (F.col("recon_error") + squares / len(S.NODE_FEATURES)).alias("squares"))
+    return tidy(facts.join(drifts, "snapshot_ts"), 3)
+
+
 @query("rolling_activity_stream")
 def rolling_activity_stream(spark, d):
     r = jobs.rolling_activity_stream(_event_connections(_stream(spark, d, "events")), 3600, 1200)

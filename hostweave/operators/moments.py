@@ -47,6 +47,58 @@ def no_moments(features: int) -> Moments:
     return Moments(0, np.zeros(features), np.zeros((features, features)))
 
 
+class SlidingMoments:
+    """Moments of a queue of snapshots, newest last, with their sum always at hand.
+
+    Two stacks: new snapshots go to the back, whose sum is carried along; the oldest ones are taken
+    from the front, where each entry has the sum of itself and the newer ones there. When the front is
+    empty the back is turned over. So a snapshot costs a fixed number of merges, however long the queue.
+    """
+
+    def __init__(self, features: int):
+        self.none = no_moments(features)
+        self.front: list[tuple[int, Moments, Moments]] = []  # oldest last
+        self.back: list[tuple[int, Moments]] = []
+        self.back_sum = self.none
+
+    def __len__(self) -> int:
+        return len(self.front) + len(self.back)
+
+    def push(self, ts: int, moments: Moments) -> None:
+        self.back.append((ts, moments))
+        self.back_sum = self.back_sum.merge(moments)
+
+    def drop(self, n: int) -> None:
+        """Take away the oldest ``n``."""
+        for _ in range(n):
+            if not self.front:
+                self._turn(self.back)
+                self.back, self.back_sum = [], self.none
+            self.front.pop()
+
+    def _turn(self, entries: list[tuple[int, Moments]]) -> None:
+        joint = self.none
+        for ts, m in reversed(entries):
+            joint = m.merge(joint)
+            self.front.append((ts, m, joint))
+
+    def total(self) -> Moments:
+        return self.front[-1][2].merge(self.back_sum) if self.front else self.back_sum
+
+    def packed(self) -> dict:
+        oldest_first = [(ts, m) for ts, m, _ in reversed(self.front)]
+        return {"front": len(self.front), "entries": [[t, *m.packed()] for t, m in [*oldest_first, *self.back]]}
+
+    @staticmethod
+    def unpacked(values: dict, features: int) -> SlidingMoments:
+        out = SlidingMoments(features)
+        entries = [(int(t), Moments.unpacked(m)) for t, *m in values["entries"]]
+        out._turn(entries[: values["front"]])
+        for ts, m in entries[values["front"] :]:
+            out.push(ts, m)
+        return out
+
+
 def snapshot_moments(df: DataFrame, cols: list[str], by: str = "snapshot_ts") -> dict[int, Moments]:
     """Moments of each snapshot. One partial aggregation over the rows; the driver receives a few
     hundred numbers per snapshot of the batch, however many hosts a snapshot has."""

@@ -355,10 +355,15 @@ top as (select * from num"""
 
 
 _CTES, _ = rollup_conn("snapshot_ts, ")
-add("node_rollup_conn", _CTES, f"""select * exclude (http_v, ssl_v, outgoing_connection_ratio, incoming_connection_ratio), top_proto_1 as most_freq_proto,
+_ROLLUP_CONN = f"""select * exclude (http_v, ssl_v, outgoing_connection_ratio, incoming_connection_ratio), top_proto_1 as most_freq_proto,
   coalesce(http_v, 'other') as most_freq_http_version, coalesce(ssl_v, 'other') as most_freq_ssl_version,
   round(outgoing_connection_ratio, 6) + 0.0 as outgoing_connection_ratio, round(incoming_connection_ratio, 6) + 0.0 as incoming_connection_ratio,
-  {SIZES.format(6)}, round(1 - pow(0.9, total_connections), 6) + 0.0 as activity_score from top""")
+  {SIZES.format(6)}, round(1 - pow(0.9, total_connections), 6) + 0.0 as activity_score from top"""
+add("node_rollup_conn", _CTES, _ROLLUP_CONN)
+# a host's rows of all snapshots up to one of its own, under the name of that one
+ROLES_SO_FAR = ROLES.replace("roles as (", "own_roles as (") + """, active as (select distinct snapshot_ts, node from own_roles),
+roles as (select r.* replace (a.snapshot_ts as snapshot_ts) from active a join own_roles r on r.node = a.node and r.snapshot_ts <= a.snapshot_ts)"""
+add("snapshot_cumulative_hosts", _CTES.replace(ROLES, ROLES_SO_FAR), _ROLLUP_CONN.replace("select *", "select lead(snapshot_ts) over (partition by node order by snapshot_ts) as valid_to, *"))
 
 
 def encoded(by: str) -> str:
@@ -668,7 +673,9 @@ r as (select t, u as node from x union all select t, s from x),
 w as (select (t // 1200 - k) * 1200 as window_start, node from r, (select unnest(range(0, 3)) as k))
 select window_start, window_start + 3600 as window_end, node, count(*) as connections from w group by all""")
 _FEATS = S.NODE_FEATURES
-add("monitor_snapshots", f"{N19}{INDEX}", ", ml as (" + " union all ".join(f"select snapshot_ts, node, '{c}' as feature, {c} as v from n19" for c in _FEATS) + """),
+def monitored(hosts: str) -> str:
+    """``er``: the error of each host by the mean of the buffer after its snapshot; ``wk``: drift and buffer."""
+    return ", ml as (" + " union all ".join(f"select snapshot_ts, node, '{c}' as feature, {c} as v from {hosts}" for c in _FEATS) + """),
 ss as (select snapshot_ts, row_number() over (order by snapshot_ts) as i from (select distinct snapshot_ts from n19)),
 mi as (select ss.i, feature, count(*) as n, avg(v) as mean from ml join ss using (snapshot_ts) group by ss.i, feature),
 prior as (select ss.i, feature, avg(v) as mean, greatest(stddev_pop(v), 1e-6) as std from ss join (select ss.i as j, feature, v from ml join ss using (snapshot_ts)) b on b.j < ss.i group by ss.i, feature),
@@ -680,12 +687,20 @@ wk as (with recursive w as (
   from w join dm o on o.i = w.i + 1) select i, drift, raw % 3 as streak, hit, begin from w),
 bm as (select wk.i, feature, avg(v) as mean, greatest(stddev_pop(v), 1e-6) as std from wk join (select ss.i as j, feature, v from ml join ss using (snapshot_ts)) b on b.j between wk.begin and wk.i group by wk.i, feature),
 er as (select ss.i, snapshot_ts, node, avg(((v - mean) / (std + 1e-6)) * ((v - mean) / (std + 1e-6))) as recon_error
-  from ml join ss using (snapshot_ts) join bm on bm.i = ss.i and bm.feature = ml.feature group by ss.i, snapshot_ts, node),
+  from ml join ss using (snapshot_ts) join bm on bm.i = ss.i and bm.feature = ml.feature group by ss.i, snapshot_ts, node)"""
+
+
+add("monitor_snapshots", f"{N19}{INDEX}", monitored("n19") + """,
 th as (select ss.i, avg(recon_error) + 2 * greatest(stddev_pop(recon_error), 1e-6) as t from ss join (select i as j, recon_error from er) b on b.j <= ss.i group by ss.i),
 fd as (select er.snapshot_ts, idx as node_id, node as ip, 'reconstruction' as detected_by, recon_error from er join th using (i) join ix using (snapshot_ts, node) where recon_error > t)
 select ss.snapshot_ts, strftime(make_timestamp(ss.snapshot_ts * 1000000), '%Y%m%d_%H%M%S') as timestamp, ss.i as update_count, c.n as nodes_in_graph,
   node_id, ip, detected_by, round(recon_error, 4) + 0.0 as recon_error, drift, cast(streak as bigint) as streak, hit as triggered, cast(wk.i - begin + 1 as bigint) as buffered
 from ss join wk using (i) join (select snapshot_ts, count(*) as n from n19 group by snapshot_ts) c on c.snapshot_ts = ss.snapshot_ts left join fd on fd.snapshot_ts = ss.snapshot_ts""")
+_TIMES = {S.NODE_FEATURES[13 + i]: f"{f}(2 * pi() * (cast(floor({c} % 86400 / 60) as bigint)) / 1440.0)" for i, (c, f) in enumerate((x, f) for x in ("first_at", "last_at") for f in ("sin", "cos"))}
+add("monitor_snapshots_full", f"{N19}", ", seen as (select snapshot_ts, node, min(epoch) as first_at, max(epoch) as last_at from (select snapshot_ts, src_ip as node, epoch from flows union all select snapshot_ts, dst_ip, epoch from flows) group by snapshot_ts, node), hosts as (select n19.* replace (" + ", ".join(
+    f"{x} as {c}" for c, x in _TIMES.items()) + ") from n19 join seen using (snapshot_ts, node))" + monitored("hosts") + """
+select er.snapshot_ts, node, cast(8 as bigint) as components, round(recon_error, 3) + 0.0 as squares, cast(ss.i as bigint) as update_count, drift, cast(streak as bigint) as streak, hit as triggered,
+  cast(wk.i - begin + 1 as bigint) as buffered from er join ss on ss.i = er.i join wk on wk.i = er.i""")
 
 # --- models ----------------------------------------------------------------------------------
 

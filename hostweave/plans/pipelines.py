@@ -20,7 +20,7 @@ from hostweave.operators.hosts import node_rollup_conn
 from hostweave.operators.scale_out import dense_index
 from hostweave.operators.stats import reconstruction_by_feature, stats_update
 from hostweave.operators.topology import node_rollup
-from hostweave.session import prepare_session
+from hostweave.session import cut, prepare_session
 from hostweave.sources import logs
 from hostweave.sources.snapshots import encoded_node_columns, latest_snapshot, write_partitions, write_snapshot
 
@@ -47,14 +47,10 @@ def logs_to_snapshots(spark: SparkSession, in_dir: str, out_dir: str, seconds: i
     """
     prepare_session(spark)
     raw = {k: logs.scan_logs(spark, in_dir, k) for k in S.LOG_FIELDS}
-    # Landed once: hosts and edges both start from it, and its columns are pruned on each read.
-    landed = f"{out_dir.rstrip('/')}/connections"
-    rows = with_snapshot(connections_from_logs(**raw), seconds)
-    write_partitions(rows, landed)
-    # only the times of this run: earlier snapshots stay as they are
-    times = rows.select("snapshot_ts").distinct()
-    here = spark.read.parquet(landed).withColumn("snapshot_ts", F.col("snapshot_ts").cast("bigint"))
-    nodes, edges = snapshot_tables(here.join(times, "snapshot_ts", "left_semi"))
+    # merged once: the landed table, hosts and edges all start from this run's written rows
+    rows = cut(with_snapshot(connections_from_logs(**raw), seconds), "connections")
+    write_partitions(rows, f"{out_dir.rstrip('/')}/connections")
+    nodes, edges = snapshot_tables(rows)
     write_snapshot(nodes, edges, out_dir, "overwrite")
 
 

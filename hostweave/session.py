@@ -61,3 +61,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def versions(spark: SparkSession, path: str, key: str = "version") -> list[int]:
+    """Numbers of the folders ``<key>=<number>`` in a folder, ascending; their files are not looked at."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not store.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in store.listStatus(folder)]
+    return sorted(int(n.split("=", 1)[1]) for n in names if re.fullmatch(rf"{key}=\d+", n))
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)

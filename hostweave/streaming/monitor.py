@@ -15,31 +15,36 @@ from hostweave.operators.detect import (
 )
 from hostweave.operators.drift import BUFFER, DRIFT_THRESHOLD, STREAK
 from hostweave.operators.features import edge_features
-from hostweave.operators.moments import Moments, model_of, no_moments, snapshot_moments
+from hostweave.operators.moments import Moments, SlidingMoments, model_of, no_moments, snapshot_moments
 from hostweave.operators.scale_out import dense_index
 from hostweave.operators.stats import STD_FLOOR, load_stats, save_stats, stats_combine, stats_update
 from hostweave.plans import pipelines
-from hostweave.session import prepare_session
+from hostweave.session import prepare_session, remove_folder, versions
+
+STEP = 256  # snapshots that are treated together; what the driver holds at a time is bounded by it
+STEPS = 1_000_000  # version numbers that a batch can use
+STATES = ("monitor", "node_stats", "edge_stats", "error_stats")
+DAY = 86400
 
 
 class MonitorState:
     """What the monitor carries from snapshot to snapshot; its size is bounded by the buffer.
 
     updates: snapshots so far. streak: drifting snapshots in a row. seen: moments of all snapshots.
-    buffer: (time, moments) of the newest snapshots, the model's data. errors: n, mean and m2 of all
+    buffer: moments of the newest snapshots, the model's data. errors: n, mean and m2 of all
     reconstruction errors.
     """
 
     def __init__(self, features: int):
         self.updates, self.streak = 0, 0
         self.seen: Moments = no_moments(features)
-        self.buffer: list[tuple[int, Moments]] = []
+        self.buffer = SlidingMoments(features)
         self.errors = [0, 0.0, 0.0]
 
     def to_json(self) -> str:
         return json.dumps({
             "updates": self.updates, "streak": self.streak, "seen": self.seen.packed(), "errors": self.errors,
-            "buffer": [[t, *m.packed()] for t, m in self.buffer],
+            "buffer": self.buffer.packed(),
         })
 
     @staticmethod
@@ -47,7 +52,7 @@ class MonitorState:
         d, state = json.loads(text), MonitorState(features)
         state.updates, state.streak, state.errors = d["updates"], d["streak"], d["errors"]
         state.seen = Moments.unpacked(d["seen"])
-        state.buffer = [(int(t), Moments.unpacked(m)) for t, *m in d["buffer"]]
+        state.buffer = SlidingMoments.unpacked(d["buffer"], features)
         return state
 
     def learn(self, ts: int, moments: Moments, threshold: float, size: int) -> dict:
@@ -60,10 +65,12 @@ class MonitorState:
         drift = shift > threshold
         self.streak = self.streak + 1 if drift else 0
         self.seen = self.seen.merge(moments)
-        self.buffer = [*self.buffer, (ts, moments)][-size:]
+        self.buffer.push(ts, moments)
+        self.buffer.drop(max(0, len(self.buffer) - size))
         triggered = self.streak == STREAK
         if triggered:
-            self.buffer, self.streak = self.buffer[len(self.buffer) - len(self.buffer) // 2 :], 0
+            self.buffer.drop(len(self.buffer) - len(self.buffer) // 2)
+            self.streak = 0
         self.updates += 1
         return {
             "snapshot_ts": ts, "update_count": self.updates, "max_shift": shift, "feature": S.NODE_FEATURES[worst], "drift": drift,
@@ -71,10 +78,7 @@ class MonitorState:
         }
 
     def model(self, k: int):
-        joint = no_moments(len(self.seen.mean))
-        for _, m in self.buffer:
-            joint = joint.merge(m)
-        return model_of(joint, S.NODE_FEATURES, k)
+        return model_of(self.buffer.total(), S.NODE_FEATURES, k)
 
     def add_errors(self, n: int, mean: float, m2: float) -> float | None:
         """Take in the errors of one snapshot; the threshold that now holds, None for fewer than two."""
@@ -85,14 +89,43 @@ class MonitorState:
         return self.errors[1] + ERROR_FACTOR * max((self.errors[2] / total) ** 0.5, STD_FLOOR) if total >= 2 else None
 
 
+def _newest(spark: SparkSession, root: str, name: str, batch_id: int) -> str | None:
+    """Folder of the newest version of a state before this batch; no other version is opened."""
+    older = [v for v in versions(spark, f"{root}/state/{name}") if v < batch_id]
+    return f"{root}/state/{name}/version={older[-1]}" if older else None
+
+
 def _read_state(spark: SparkSession, root: str, batch_id: int) -> MonitorState:
     """The newest state before this batch, so that a repeated batch starts where it first did."""
-    features = len(S.NODE_FEATURES)
-    if batch_id == 0:
-        return MonitorState(features)
-    rows = spark.read.text(f"{root}/state/monitor").filter(F.col("version") < batch_id)
-    last = rows.orderBy(F.desc("version")).head(1)
-    return MonitorState.from_json(last[0]["value"], features) if last else MonitorState(features)
+    features, path = len(S.NODE_FEATURES), _newest(spark, root, "monitor", batch_id)
+    return MonitorState.from_json(spark.read.text(path).head()["value"], features) if path else MonitorState(features)
+
+
+def prune(spark: SparkSession, root: str, first: int) -> None:
+    """Remove what no batch from version ``first`` on reads: all but the newest earlier state, and the
+    feature and score tables of earlier batches. Reports, drift rows and embeddings stay."""
+    for name in STATES:
+        for v in [v for v in versions(spark, f"{root}/state/{name}") if v < first][:-1]:
+            remove_folder(spark, f"{root}/state/{name}/version={v}")
+    for name in ("features", "scored"):
+        for v in versions(spark, f"{root}/{name}", "batch"):
+            if v < first:
+                remove_folder(spark, f"{root}/{name}/batch={v}")
+
+
+def _already_done(spark: SparkSession, done: str, times: list[int], version: int) -> set[int]:
+    """Which of some snapshots an earlier version has reported; only the tables of their days are read."""
+    days = sorted({t // DAY for t in times} & set(versions(spark, done, "day")))
+    if not days:
+        return set()
+    rows = spark.read.option("basePath", done).schema("snapshot_ts bigint, version bigint").parquet(*[f"{done}/day={d}" for d in days])
+    return {int(r["snapshot_ts"]) for r in rows.filter((F.col("version") < version) & F.col("snapshot_ts").isin(times)).select("snapshot_ts").collect()}
+
+
+def _mark_done(spark: SparkSession, done: str, times: list[int], version: int) -> None:
+    for day in sorted({t // DAY for t in times}):
+        rows = spark.createDataFrame([(t,) for t in times if t // DAY == day], "snapshot_ts bigint")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{done}/day={day}/version={version}")
 
 
 def _write_state(spark: SparkSession, state: MonitorState, root: str, batch_id: int) -> None:
@@ -103,10 +136,9 @@ def _write_state(spark: SparkSession, state: MonitorState, root: str, batch_id:
 def _merge_edge_stats(spark: SparkSession, edges: DataFrame, root: str, batch_id: int) -> None:
     """Running statistics of the edge measures, one row each."""
     batch = stats_update(edge_features(edges), S.EDGE_DERIVED)
-    if batch_id > 0:
-        older = spark.read.parquet(f"{root}/state/edge_stats").filter(F.col("version") < batch_id)
-        newest = older.agg(F.max("version").alias("version"))
-        batch = batch.unionByName(older.join(F.broadcast(newest), "version", "left_semi").drop("version"))
+    path = _newest(spark, root, "edge_stats", batch_id)
+    if path:
+        batch = batch.unionByName(spark.read.parquet(path))
     save_stats(stats_combine(batch), f"{root}/state/edge_stats", batch_id)
 
 
@@ -172,13 +204,13 @@ def process_snapshots(
     write_report_rows(report_rows(flagged, per.drop("recon_threshold")), f"{root}/reports/batch={batch_id}", mode="overwrite")
     if export_every:
         due = judged.filter(F.col("update_count") % export_every == 0)
-        export_embeddings(due, f"{root}/embeddings/batch={batch_id}", ["snapshot_ts", "node"], mode="overwrite")
+        export_embeddings(due, f"{root}/embeddings/batch={batch_id}", ["snapshot_ts", "node", "recon_error"], mode="overwrite")
     _write_state(spark, state, root, batch_id)
 
 
 def monitor_snapshots(
     spark: SparkSession, in_dir: str, out_dir: str, mode: str = "detect", model_path: str | None = None, interval: str | None = None,
-    k: int = 8, max_files: int | None = None, head: Callable[[DataFrame], DataFrame] | None = None, errors_path: str | None = None,
+    k: int = 8, max_files: int | None = 64, head: Callable[[DataFrame], DataFrame] | None = None, errors_path: str | None = None,
     with_nodes: bool = True, buffer: int = BUFFER, drift_threshold: float = DRIFT_THRESHOLD, export_every: int | None = None,
 ) -> StreamingQuery:
     """Follow the snapshot tables below ``in_dir`` and report the anomalies of each new snapshot.
@@ -193,6 +225,10 @@ def monitor_snapshots(
     the model learns from; older ones leave it, as the definition of the monitor says. ``head`` adds
     mlp_score; without one there is no second detector. ``export_every`` writes the embeddings of
     every so-manieth snapshot. Without ``interval`` the data at hand is processed.
+
+    A batch takes at most ``max_files`` marks and treats ``STEP`` snapshots at a time. It reads one
+    version of each state and the done-marks of its snapshots' days, and removes what is no longer
+    needed (:func:`prune`), so a batch costs the same however many came before it.
     """
     prepare_session(spark)
     root, out = in_dir.rstrip("/"), out_dir.rstrip("/")
@@ -204,20 +240,20 @@ def monitor_snapshots(
 
     def run(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        new = {int(r["snapshot_ts"]) for r in batch.distinct().collect()}  # times of the batch's snapshots
-        done = f"{out}/done"
-        if batch_id > 0:
-            old = session.read.parquet(done).filter((F.col("version") < batch_id) & F.col("snapshot_ts").isin(*new))
-            new -= {int(r["snapshot_ts"]) for r in old.collect()}
-        if new:
-            here = F.col("snapshot_ts").isin(*sorted(new))
-            read = lambda name: session.read.parquet(f"{root}/{name}").filter(here).withColumn("snapshot_ts", F.col("snapshot_ts").cast("bigint"))
-            process_snapshots(
-                session, read("nodes") if with_nodes else None, read("edges"), out, batch_id, mode, model_path, k, head, errors_path,
-                buffer, drift_threshold, export_every,
-            )
-        frame = session.createDataFrame([(t,) for t in sorted(new)], "snapshot_ts bigint")
-        frame.coalesce(1).write.mode("overwrite").parquet(f"{done}/version={batch_id}")
+        times = sorted({int(r["snapshot_ts"]) for r in batch.distinct().collect()})  # one number for each snapshot of the batch
+        first, done = batch_id * STEPS, f"{out}/done"
+        prune(session, out, first)
+        for i, a in enumerate(range(0, len(times), STEP)):
+            part, version = times[a : a + STEP], first + i
+            new = sorted(set(part) - _already_done(session, done, part, version))
+            if new:
+                here = F.col("snapshot_ts").isin(*new)  # at most STEP values: they prune the folders
+                read = lambda name: session.read.parquet(f"{root}/{name}").filter(here).withColumn("snapshot_ts", F.col("snapshot_ts").cast("bigint"))  # noqa: E731, B023
+                process_snapshots(
+                    session, read("nodes") if with_nodes else None, read("edges"), out, version, mode, model_path, k, head, errors_path,
+                    buffer, drift_threshold, export_every,
+                )
+                _mark_done(session, done, new, version)
 
     return (
         reader.parquet(f"{root}/finished").writeStream.foreachBatch(run)
