@@ -497,8 +497,8 @@ _host_query("node_traffic_sums_unswapped", lambda c: ho.node_traffic_sums(c, com
 _host_query("node_direction_ratio", ho.node_direction_ratio)
 _host_query("node_mode", ho.node_mode)
 _host_query("activity_score", lambda c: ho.node_activity_score(c, SNAP))
-_host_query("node_history", lambda c: ho.node_history(c).withColumn("protocol_counts", F.array_join(F.transform("protocol_counts", lambda x: F.concat(x["protocol"], F.lit("="), x["n"].cast("string"))), " ")))
-_host_query("node_history_unswapped", lambda c: ho.node_history(c, compat="unswapped").drop("protocol_counts"))
+_host_query("node_history", lambda c: history.node_history(c).withColumn("protocol_counts", F.array_join(F.transform("protocol_counts", lambda x: F.concat(x["protocol"], F.lit("="), x["n"].cast("string"))), " ")))
+_host_query("node_history_unswapped", lambda c: history.node_history(c, compat="unswapped").drop("protocol_counts"))
 _host_query("node_rollup_conn", lambda c: ho.node_rollup_conn(c, SNAP))
 _host_query("first_last_seen", ho.first_last_seen)
 _host_query("top_protocols", lambda c: ho.top_categories(c, "protocol"))
@@ -924,6 +924,50 @@ def stream_logs(spark, d):
     return tidy(_to_table(spark, parsed, "lines"), 3)
 
 
+def _publish(lines, folder):
+    """Text (column value, with its own line ends) in the order of ``at`` as ``<folder>/<part>/conn.log``; files there are replaced."""
+    def write(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+        part, out, n = None, None, 0
+        for batch in batches:
+            for p, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if p != part:
+                    if out:
+                        out.close()
+                    part, n = p, n + 1
+                    store.create_dir(f"{root}/{p}")
+                    out = store.open_output_stream(f"{root}/{p}/conn.log")
+                out.write(value.encode())
+        if out:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["files"])
+
+    ordered = lines.repartition("part").sortWithinPartitions("part", "at").select("part", "value")
+    return ordered.mapInArrow(write, "files bigint").agg(F.sum("files")).head()[0]
+
+
+@query("stream_growing_logs")
+def stream_growing_logs(spark, d):
+    """Three log files that grow in three steps: each step but the last ends inside a line."""
+    e = fl.read_table(spark, d, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("m"))
+    given = {"ts": (F.col("m") / 1000000).cast("string"), "uid": F.concat(F.lit("E"), "event_id").cast("string")}
+    line = F.concat(F.concat_ws("\t", *[given.get(c, F.lit("-")) for c in ["ts", "uid"] + ["-"] * 19]), F.lit("\n"))
+    rows = cut(e.select(F.pmod("event_id", F.lit(3)).alias("part"), F.col("event_id").alias("at"), line.alias("value")), "lines")
+    top = rows.agg(F.max("at").alias("t")).head()["t"] or 0
+    folder, out, state = work_path(spark, "growing"), work_path(spark, "growing-out"), work_path(spark, "growing-state")
+    for upto in (top // 3, 2 * top // 3, top + 3):
+        whole, next_ = rows.filter(F.col("at") <= upto), rows.filter((F.col("at") > upto) & (F.col("at") <= upto + 3))
+        half = next_.withColumn("value", F.expr("substring(value, 1, 12)"))
+        _publish(whole.unionByName(half), folder)
+        stream = logs.stream_logs(spark, folder, "conn", growing=True).select("uid", F.col("ts").try_cast("double").alias("ts"), "conn_state")
+        writer = stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", state)
+        writer.trigger(availableNow=True).start().awaitTermination(1800)
+    return tidy(spark.read.schema("uid string, ts double, conn_state string").parquet(out), 3)
+
+
 @query("correlate_uid_stream")
 def correlate_uid_stream(spark, d):
     """Each event is a conn row of its user's uid; pauses over the gap cut a user into records."""

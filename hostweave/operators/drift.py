@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hostweave.functions import hash_fraction
+from hostweave.operators.scale_out import range_scan
 from hostweave.operators.stats import stats_history, with_std
+from hostweave.session import cut as write_table
 
 DRIFT_THRESHOLD = 0.15
 STREAK = 3
@@ -81,32 +83,41 @@ def edge_dropout(edges: DataFrame, keys: list[str], rate: float = 0.1, seed: int
     return edges.filter(hash_fraction(*keys, seed=seed) > rate)
 
 
-def adapt_window(snapshots: DataFrame, streak: DataFrame, size: int = BUFFER, snapshot: str = "snapshot_ts") -> DataFrame:
+def adapt_window(snapshots: DataFrame, streak: DataFrame, size: int = BUFFER, snapshot: str = "snapshot_ts", chunk: int = 1000) -> DataFrame:
     """Cuts after persistent drift: at each trigger the newest half of the buffer is kept.
 
-    Result: trigger time, number kept, and ``keep_from``, the oldest snapshot kept. The buffer
-    length at a trigger depends on the earlier cuts, so the list of snapshots is walked in order;
-    it has one row per snapshot and is read in batches.
+    Result: trigger time, number kept, and ``keep_from``, the oldest snapshot kept. The buffer length
+    at a trigger depends on all earlier cuts. What a row of triggers does to the length is a function
+    of the length before it, a list of at most ``size + 1`` numbers, and such functions compose: each
+    chunk of triggers is composed on its own, the chunks are composed with those before them in a
+    logarithmic number of joins, and each chunk then starts with the length it really meets.
     """
-    import pandas as pd
-
-    hits = streak.filter("triggered").select(snapshot, F.lit(True).alias("_hit"))
+    hits = streak.filter("triggered").select(snapshot, F.lit(1).cast("bigint").alias("hit"))
     times = snapshots.select(F.col(snapshot).cast("bigint").alias(snapshot)).distinct().join(hits, snapshot, "left")
-    ordered = times.repartition(1).sortWithinPartitions(snapshot)
-
-    def walk(batches):
-        from collections import deque
-
-        buffer: deque = deque(maxlen=size)
-        for pdf in batches:
-            out = []
-            for t, hit in zip(pdf[snapshot], pdf["_hit"]):
-                buffer.append(int(t))
-                if hit is True or hit == 1:
-                    keep = len(buffer) // 2
-                    kept = list(buffer)[-keep:] if keep else []
-                    buffer = deque(kept, maxlen=size)
-                    out.append((int(t), keep, kept[0] if kept else None))
-            yield pd.DataFrame(out, columns=["trigger_ts", "kept", "keep_from"]).astype({"keep_from": "Int64"})
-
-    return ordered.mapInPandas(walk, "trigger_ts bigint, kept bigint, keep_from bigint")
+    times = times.select(F.col(snapshot).alias("ts"), F.lit(1).cast("bigint").alias("one"), F.coalesce("hit", F.lit(0).cast("bigint")).alias("hit"))
+    numbered = write_table(range_scan(times, [], ["ts"], ["one", "hit"], "snapshots"), "numbered-snapshots")
+    triggers = numbered.filter("hit = 1").select("ts", F.col("one_run").alias("i"), F.col("hit_run").alias("m"))
+    before = triggers.select((F.col("m") + 1).alias("m"), F.col("i").alias("last"))
+    gaps = triggers.join(before, "m", "left").withColumn("d", F.col("i") - F.coalesce("last", F.lit(0)))
+    gaps = gaps.withColumn("chunk", F.floor((F.col("m") - 1) / chunk))
+    chunks = write_table(gaps.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("m", "d", "i", "ts"))).alias("cuts")), "cuts")  # at most ``chunk`` of them
+    left = lambda length, x: F.shiftright(F.least(length + x["d"], F.lit(size)), 1)
+    lengths = F.sequence(F.lit(0).cast("bigint"), F.lit(size).cast("bigint"))
+    maps = write_table(chunks.select("chunk", F.aggregate("cuts", lengths, lambda f, x: F.transform(f, lambda b: left(b, x))).alias("f")), "cut-maps")
+    n, step = maps.count(), 1
+    while step < n:
+        earlier = maps.select((F.col("chunk") + step).alias("chunk"), F.col("f").alias("g"))
+        joint = F.when(F.col("g").isNull(), F.col("f")).otherwise(F.transform("g", lambda b: F.get(F.col("f"), b.cast("int"))))
+        maps, step = write_table(maps.join(earlier, "chunk", "left").select("chunk", joint.alias("f")), "cut-maps"), 2 * step
+    met = maps.select((F.col("chunk") + 1).alias("chunk"), F.col("f")[0].alias("length"))
+    none = F.array().cast("array<struct<ts: bigint, i: bigint, kept: bigint>>")
+    start = F.struct(F.coalesce("length", F.lit(0).cast("bigint")).alias("length"), none.alias("out"))
+
+    def walk(state, x):
+        kept = left(state["length"], x)
+        return F.struct(kept.alias("length"), F.concat(state["out"], F.array(F.struct(x["ts"].alias("ts"), x["i"].alias("i"), kept.alias("kept")))).alias("out"))
+
+    found = chunks.join(met, "chunk", "left").select(F.explode(F.aggregate("cuts", start, walk)["out"]).alias("o"))
+    found = found.select(F.col("o.ts").alias("trigger_ts"), "o.kept", F.when(F.col("o.kept") > 0, F.col("o.i") - F.col("o.kept") + 1).alias("one_run"))
+    oldest = numbered.select("one_run", F.col("ts").alias("keep_from"))
+    return found.join(oldest, "one_run", "left").select("trigger_ts", "kept", "keep_from")

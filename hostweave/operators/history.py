@@ -133,6 +133,30 @@ def snapshot_cumulative_hosts(connections: DataFrame, snapshot: str = "snapshot_
     return rows.join(packed, [snapshot, "node"], "left")
 
 
+def node_history(connections: DataFrame, snapshot: str = "snapshot_ts", compat: str | None = None) -> DataFrame:
+    """Totals of each host up to each snapshot: bytes, connections, and counts per protocol.
+
+    The originator's bytes count as sent for the host that started a connection and as received for
+    the other one; ``compat='unswapped'`` counts them as sent for both. Connections are summed per
+    (snapshot, host) first; the running sums then go over at most one row for each snapshot.
+    protocol_counts is an array of (protocol, n) in order of the name.
+    """
+    swap = F.lit(True) if compat == "unswapped" else F.col("outgoing")
+    totals = host_roles(connections).groupBy(snapshot, "node").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(swap, F.col("orig_bytes")).otherwise(F.col("resp_bytes"))).alias("o"),
+        F.sum(F.when(swap, F.col("resp_bytes")).otherwise(F.col("orig_bytes"))).alias("r"),
+    )
+    so_far = Window.partitionBy("node").orderBy(snapshot).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = totals.select(
+        snapshot, "node", F.sum("o").over(so_far).alias("historical_total_bytes_sent"),
+        F.sum("r").over(so_far).alias("historical_total_bytes_received"),
+        F.sum("n").over(so_far).alias("historical_total_connections"),
+    )
+    lists = running_categories(connections, ["protocol"], None, snapshot)
+    counts = F.sort_array(F.arrays_zip(F.col("names")[0].alias("protocol"), F.col("counts")[0].alias("n")))  # as long as the list of protocols
+    return sums.join(lists.select(snapshot, "node", counts.alias("protocol_counts")), [snapshot, "node"], "left")
+
+
 def historical_top_protocols(connections: DataFrame, k: int = 3, snapshot: str = "snapshot_ts") -> DataFrame:
     """The k leading protocols of each host over all history up to each snapshot."""
     lists = running_categories(connections, ["protocol"], k, snapshot)

@@ -323,54 +323,6 @@ def node_report_full(rollup: DataFrame, history: DataFrame | None = None, by: tu
 # --- time ------------------------------------------------------------------------------------
 
 
-def node_history(connections: DataFrame, snapshot: str = "snapshot_ts", compat: str | None = None) -> DataFrame:
-    """Totals of each host up to each snapshot: bytes, connections, and counts per protocol.
-
-    The originator's bytes count as sent for the host that started a connection and as received for
-    the other one; ``compat='unswapped'`` counts them as sent for both. Connections are summed per
-    (snapshot, host, protocol) first; the running sums then go over at most one row for each
-    snapshot. protocol_counts is an array of (protocol, n) in order of the name.
-    """
-    swap = F.lit(True) if compat == "unswapped" else F.col("outgoing")
-    per = host_roles(connections).groupBy(snapshot, "node", "protocol").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.when(swap, F.col("orig_bytes")).otherwise(F.col("resp_bytes"))).alias("o"),
-        F.sum(F.when(swap, F.col("resp_bytes")).otherwise(F.col("orig_bytes"))).alias("r"),
-    )
-    totals = per.groupBy(snapshot, "node").agg(F.sum("n").alias("n"), F.sum("o").alias("o"), F.sum("r").alias("r"))
-    so_far = Window.partitionBy("node").orderBy(snapshot).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = totals.select(
-        snapshot, "node", F.sum("o").over(so_far).alias("historical_total_bytes_sent"),
-        F.sum("r").over(so_far).alias("historical_total_bytes_received"),
-        F.sum("n").over(so_far).alias("historical_total_connections"),
-    )
-    counts = historical_protocols(connections, snapshot).groupBy(snapshot, "node").agg(
-        F.sort_array(F.collect_list(F.struct("protocol", "n"))).alias("protocol_counts")  # as long as the list of protocols
-    )
-    return sums.join(counts, [snapshot, "node"])
-
-
-def historical_protocols(connections: DataFrame, snapshot: str = "snapshot_ts") -> DataFrame:
-    """Running count of each protocol of a host, at each snapshot in which the host is active.
-
-    A protocol without traffic in a snapshot keeps its earlier count there, so the protocols of a
-    host are crossed with its snapshots (both taken from that host's own rows).
-    """
-    per = host_roles(connections).groupBy(snapshot, "node", "protocol").agg(F.count(F.lit(1)).alias("n"))
-    active = per.select(snapshot, "node").distinct()
-    names = per.groupBy("node", "protocol").agg(F.min(snapshot).alias("_since"))
-    grid = active.join(names, "node").filter(F.col(snapshot) >= F.col("_since")).drop("_since")
-    so_far = Window.partitionBy("node", "protocol").orderBy(snapshot).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return grid.join(per, [snapshot, "node", "protocol"], "left").select(
-        snapshot, "node", "protocol", F.sum(F.coalesce("n", F.lit(0))).over(so_far).alias("n")
-    )
-
-
-def historical_top_protocols(connections: DataFrame, k: int = 3, snapshot: str = "snapshot_ts") -> DataFrame:
-    """The k leading protocols of each host's history at each snapshot."""
-    rank = F.row_number().over(Window.partitionBy(snapshot, "node").orderBy(F.desc("n"), "protocol"))
-    return historical_protocols(connections, snapshot).withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
 def rolling_connections(
     events: DataFrame, node: str = "node", micros: str = "micros", chunk_seconds: int = 600,
 ) -> DataFrame:

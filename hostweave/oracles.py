@@ -649,6 +649,7 @@ add("model_statistics", f"{streak(0.15)}, {SCORED.replace('with recursive', 'wit
 # --- streaming -------------------------------------------------------------------------------
 
 add("stream_logs", "", "select concat('E', event_id) as uid, round(epoch_us(ts) / 1000000.0, 3) + 0.0 as ts, '-' as conn_state from events where event_type <> 'error'")
+add("stream_growing_logs", "", "select concat('E', event_id) as uid, round(epoch_us(ts) / 1000000.0, 3) + 0.0 as ts, '-' as conn_state from events")
 add("correlate_uid_stream", "", """with x as (select *, concat('u', user_id) as uid, epoch_us(ts) as m from events),
 c as (select *, sum(case when m - p <= 3600000000 then 0 else 1 end) over (partition by uid order by m, event_id) as rec
   from (select *, lag(m) over (partition by uid order by m, event_id) as p from x)),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hostweave import schemas as S
 from hostweave.functions import dash_to_null, zeek_bool
+from hostweave.sources.tail import stream_growing_lines
 
 
 def route_log_kind(path) -> Column:
@@ -118,13 +119,16 @@ def scan_lines(spark: SparkSession, path: str, pattern: str = "*.log") -> DataFr
 
 def stream_logs(
     spark: SparkSession, path: str, kind: str, pattern: str | None = None,
-    max_files_per_trigger: int | None = None,
+    max_files_per_trigger: int | None = None, growing: bool = False,
 ) -> DataFrame:
     """Stream of raw fields of one kind of log.
 
     Files already there and files that come later are read once each; the offsets live in the
-    checkpoint of the query. Logs must be rotated into the folder, not appended in place.
+    checkpoint of the query. Such logs must be rotated into the folder. With ``growing`` files may be
+    appended to in place and may be cut: see ``tail.growing_lines`` (``pattern`` is then a file name).
     """
+    if growing:
+        return parse_lines(stream_growing_lines(spark, path, [pattern or f"{kind}.log"]), kind)
     reader = spark.readStream.option("pathGlobFilter", pattern or f"{kind}.log").option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
