@@ -13,7 +13,7 @@ from hostweave.operators import (
 from hostweave.plans import pipelines
 from hostweave.session import cut, prepare_session, work_path
 from hostweave.sources import flows as fl, logs, snapshots as sn
-from hostweave.streaming import jobs, monitor
+from hostweave.streaming import arrivals, jobs, monitor
 
 QUERIES: dict = {}
 SNAP = ("snapshot_ts",)
@@ -990,6 +990,36 @@ def correlate_uid_stream(spark, d):
     return tidy(_to_table(spark, flat(merged), "merged").unionByName(flat(closing)), 3)
 
 
+def _user_logs(spark, d, read, kind):
+    """Events as log rows of their user's uid. Every third user has no conn rows."""
+    e = read(spark, d, "events").select(F.concat(F.lit("u"), "user_id").alias("uid"), F.unix_micros(F.col("ts").cast("timestamp")).alias("m"), "user_id", "event_type", "event_id")
+    mine = {"conn": F.pmod("user_id", F.lit(3)) > 0, "ssl": F.col("event_type") == "purchase", "http": F.col("event_type") == "view"}
+    given = {"ts": (F.col("m") / 1000000).cast("string"), "uid": F.col("uid"), S.LOG_FIELDS[kind][8]: F.col("event_id").cast("string")}
+    return e.filter(mine[kind]).select(*[given.get(n, F.lit("-")).alias(n) for n in S.LOG_FIELDS[kind]])
+
+
+@query("records_by_arrival")
+def records_by_arrival(spark, d):
+    """All events arrive together: a record for each user, and those without a conn row in the table beside."""
+    out, state = work_path(spark, "records"), work_path(spark, "records-state")
+    merged = arrivals.records_by_arrival(*[_user_logs(spark, d, _stream, k) for k in S.LOG_FIELDS], gap_seconds=1)
+    arrivals.finish_records(arrivals.start_records(merged, out, state))
+    whole = spark.read.schema(merged.schema).parquet(f"{out}/records").withColumn("late", F.lit(False))
+    late = spark.read.schema(merged.schema).parquet(f"{out}/late").withColumn("late", F.lit(True))
+    return tidy(whole.unionByName(late).select(
+        "uid", "late", F.col("conn.at").alias("last_ts"), F.col("conn.duration").cast("bigint").alias("conn_event"),
+        F.col("ssl.curve").cast("bigint").alias("ssl_event"), F.col("http.host").cast("bigint").alias("http_event"),
+    ), 3)
+
+
+@query("rolling_counts_stream")
+def rolling_counts_stream(spark, d):
+    """Counts at each connection from the stream, and the last ones from its closing step; time runs 30 times as fast."""
+    fast = lambda df: _event_connections(df).withColumn("timestamp", F.floor(F.col("timestamp") / 30))
+    stream = arrivals.rolling_counts_stream(fast(_stream(spark, d, "events")))
+    return tidy(_to_table(spark, stream, "rolling-counts").unionByName(arrivals.open_counts(fast(fl.read_table(spark, d, "events")))))
+
+
 @query("snapshot_tumbling")
 def snapshot_tumbling(spark, d):
     """Closed windows from the stream, and the open ones from its closing step."""

@@ -467,6 +467,7 @@ add("node_lookup", ROLES, """select node, count(*) filter (where outgoing) as to
 ROLLING = """select distinct node, micros, count(*) over (partition by node order by micros range between 60000000 preceding and current row) as connections_last_minute,
   count(*) over (partition by node order by micros range between 3600000000 preceding and current row) as connections_last_hour from x"""
 add("connections_last_minute", "x as (select concat('u', user_id) as node, epoch_us(ts) // 30 as micros from events)", ROLLING)
+add("rolling_counts_stream", "e as (select *, epoch_us(ts) // 30000000 * 1000000 as micros from events), x as (select concat('u', user_id) as node, micros from e union all select concat('s-', event_type), micros from e)", ROLLING)
 add("connections_last_hour", f"{ROLES}, x as (select node, epoch * 1000000 as micros from roles)", ROLLING)
 
 # --- drift and snapshots ---------------------------------------------------------------------
@@ -650,6 +651,10 @@ add("model_statistics", f"{streak(0.15)}, {SCORED.replace('with recursive', 'wit
 
 add("stream_logs", "", "select concat('E', event_id) as uid, round(epoch_us(ts) / 1000000.0, 3) + 0.0 as ts, '-' as conn_state from events where event_type <> 'error'")
 add("stream_growing_logs", "", "select concat('E', event_id) as uid, round(epoch_us(ts) / 1000000.0, 3) + 0.0 as ts, '-' as conn_state from events")
+add("records_by_arrival", "", """with x as (select *, epoch_us(ts) as m, user_id % 3 > 0 as known from events)
+select concat('u', user_id) as uid, not bool_or(known) as late, round((max(m) filter (where known)) / 1000000.0, 3) + 0.0 as last_ts, arg_max(event_id, m) filter (where known) as conn_event,
+  arg_max(event_id, m) filter (where event_type = 'purchase') as ssl_event, arg_max(event_id, m) filter (where event_type = 'view') as http_event
+from x group by user_id having bool_or(known) or bool_or(event_type in ('purchase', 'view'))""")
 add("correlate_uid_stream", "", """with x as (select *, concat('u', user_id) as uid, epoch_us(ts) as m from events),
 c as (select *, sum(case when m - p <= 3600000000 then 0 else 1 end) over (partition by uid order by m, event_id) as rec
   from (select *, lag(m) over (partition by uid order by m, event_id) as p from x)),

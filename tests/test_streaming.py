@@ -1,3 +1,6 @@
+import random
+from collections import Counter, defaultdict
+
 from pyspark.sql import functions as F
 
 from hostweave import schemas as S
@@ -5,7 +8,7 @@ from hostweave.operators.connections import connections_from_logs
 from hostweave.plans import pipelines
 from hostweave.sources import logs, snapshots as sn
 from hostweave.operators import detect
-from hostweave.streaming import jobs, monitor
+from hostweave.streaming import arrivals, jobs, monitor
 from test_logs import conn_line
 
 
@@ -104,3 +107,56 @@ def test_closing_step_completes_a_bounded_stream(spark, tmp_path):
     assert 0 < emitted.count() < 40 and still.count() > 0
     uids = [r[0] for r in emitted.select("uid").union(still.select("uid")).collect()]
     assert sorted(uids) == sorted(f"u{i}" for i in range(40))
+
+
+def _lines_of(folder, name, kind, rows):
+    (folder / name).mkdir(parents=True)
+    for k, lines in rows.items():
+        (folder / name / f"{k}.log").write_text("\n".join(lines) + "\n")
+
+
+def test_records_by_arrival_lose_nothing(spark, tmp_path):
+    """Three runs: parts that arrive together are one record whatever their times; a part that arrives
+    after its record came out, far behind all others in time, is found in the table beside."""
+    root, out, state = tmp_path / "logs", str(tmp_path / "out"), str(tmp_path / "state")
+    root.mkdir()
+    ssl = lambda uid, ts: "\t".join([str(ts), uid] + ["-"] * 4 + ["TLSv12"] + ["-"] * 10)
+
+    def run():
+        merged = arrivals.records_by_arrival(*[logs.stream_logs(spark, str(root), k) for k in S.LOG_FIELDS], gap_seconds=1)
+        arrivals.finish_records(arrivals.start_records(merged, out, state), 240)
+        read = lambda name: Counter((r.uid, r.conn and r.conn.ts, r.ssl and r.ssl.ts) for r in spark.read.schema(merged.schema).parquet(f"{out}/{name}").collect())
+        return read("records"), read("late")
+
+    _lines_of(root, "one", None, {"conn": [conn_line("A", ts="10"), conn_line("A", ts="12"), conn_line("B", ts="50000")], "ssl": [ssl("A", 900)], "http": ["#nothing"]})
+    assert run() == (Counter([("A", "12", "900"), ("B", "50000", None)]), Counter())
+    _lines_of(root, "two", None, {"conn": [conn_line("C", ts="90000")], "ssl": [ssl("A", 11)], "http": ["#nothing"]})
+    assert run() == (Counter([("A", "12", "900"), ("B", "50000", None), ("C", "90000", None)]), Counter([("A", None, "11")]))
+    _lines_of(root, "three", None, {"conn": [conn_line("A", ts="13")], "ssl": ["#nothing"], "http": ["#nothing"]})
+    assert run() == (Counter([("A", "12", "900"), ("A", "13", None), ("B", "50000", None), ("C", "90000", None)]), Counter([("A", None, "11")]))
+
+
+def test_rolling_counts_of_a_stream_in_three_batches(spark, tmp_path):
+    """Rows out of order within the delay, in several files: stream and closing step give the batch's counts."""
+    rng = random.Random(3)
+    rows = sorted((rng.randrange(0, 9000) + rng.random(), f"10.0.0.{rng.randrange(3)}", f"10.0.1.{rng.randrange(2)}") for _ in range(300))
+    schema = "timestamp double, src_ip string, dst_ip string"
+    folder = tmp_path / "in"
+    for i in range(3):
+        part = rows[100 * i : 100 * i + 100]
+        rng.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        stream = spark.readStream.schema(schema).parquet(str(folder))
+        q = arrivals.rolling_counts_stream(stream, delay="10 minutes").writeStream.format("parquet").option("path", str(tmp_path / "o"))
+        q.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(300)
+    whole = spark.read.schema(schema).parquet(str(folder))
+    got = spark.read.parquet(str(tmp_path / "o")).unionByName(arrivals.open_counts(whole, "10 minutes")).collect()
+    seen = defaultdict(list)
+    for t, a, b in rows:
+        for node in (a, b):
+            seen[node].append(t)
+    micros = {(r.node, r.micros): (r.connections_last_minute, r.connections_last_hour) for r in got}
+    assert len(got) == len(micros) == sum(len(set(x)) for x in seen.values())
+    for (node, m), (minute, hour) in micros.items():
+        t = m / 1e6
+        assert minute == sum(t - 60 - 1e-5 <= x <= t + 1e-5 for x in seen[node]) and hour == sum(t - 3600 - 1e-5 <= x <= t + 1e-5 for x in seen[node])
