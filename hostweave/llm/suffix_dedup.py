@@ -20,6 +20,7 @@ SLICE = 1 << 19  # bytes of text anchored at a time, so that the arrays stay in
 OFTEN = 32  # an anchor with so many different regions in a batch is dealt by region
 PART = 4096  # regions of one anchor that are sorted together
 MARK_BITS = 1 << 24  # bits of the table of marked documents, whatever the input
+BUCKET = 8 << 20  # bytes of text whose regions meet in one bucket, on average
 _U = np.uint64
 _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _inverse_powers = np.ones(1, _U)
@@ -450,6 +451,11 @@ def merged_spans(rows: np.ndarray, starts: np.ndarray, windows: np.ndarray, leng
     return rows[first], starts[first], reach[last] - (rows[last] << 40)
 
 
+def bucket_count(text_bytes: int) -> int:
+    """Buckets for so many bytes of text: their size does not depend on the input, nor on any setting."""
+    return max(2, -(-text_bytes // BUCKET))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256, spans.
 
@@ -470,13 +476,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # 8 bytes a row; partial counts first
-    counted = rows.groupBy("id").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("most"), F.count_if(F.col("id").isNull()).alias("nulls")).head()
+    counted = rows.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.sum(F.octet_length("text")).alias("bytes"))
+    counted = counted.agg(F.max("c").alias("most"), F.count_if(F.col("id").isNull()).alias("nulls"), F.sum("bytes").alias("bytes")).head()
     own = (counted["most"] or 0) > 1 or counted["nulls"] > 0
     if own:
         ordered = rows.withColumn("tie", F.xxhash64("text")).orderBy(F.col("id").asc_nulls_first(), "tie")
         numbered = cut(ordered.select(F.monotonically_increasing_id().alias("row"), "id", "text"), "numbered")
         rows = numbered.select(F.col("row").alias("id"), "text")
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = bucket_count(counted["bytes"] or 0)
     found = cut(matched_regions(rows, parts), "matched-regions")
     sorted_ = cut(sorted_regions(found, rows, 4 * parts), "sorted-regions")
     same = Window.partitionBy("one", "two").orderBy("id", "start")

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from hostweave.llm import divergence as dv, prefix_trie as pt, queries as Q, sharding as sh
+from hostweave.llm import divergence as dv, prefix_trie as pt, queries as Q, sharding as sh, suffix_dedup as sd
 
 SF = "/root/testdata/sf0.001"
 
@@ -252,3 +252,22 @@ def test_screen_proves_singletons(spark, odd_turns):
 
 def test_all_three_are_registered():
     assert {"op11_sharding", "op12_source_divergence", "op13_prefix_trie"} <= set(Q.QUERIES) and {"op12_source_divergence", "op13_prefix_trie"} <= set(Q.ORACLES)
+
+
+# --- buckets that follow the input
+
+
+def test_regions_meet_in_buckets_of_a_fixed_size(spark, monkeypatch):
+    """Four times the text at one setting: four times the buckets, and the largest holds about as much."""
+    monkeypatch.setattr(sd, "BUCKET", 1 << 14)
+    rng = random.Random(9)
+    text = lambda: "".join(rng.choice("abcdefgh ") for _ in range(2000))
+    most = []
+    for n in (60, 240):
+        rows = [(i, text()) for i in range(n)] * 1
+        docs = spark.createDataFrame([*rows, *[(n + i, t) for i, t in rows]], "id long, text string").repartition(4)
+        found = sd.matched_regions(docs, sd.bucket_count(2 * 2000 * n)).groupBy(F.spark_partition_id()).count()
+        assert sd.bucket_count(2 * 2000 * n) == -(-2 * 2000 * n // (1 << 14))
+        most.append(found.agg(F.sum("count")).head()[0] / sd.bucket_count(2 * 2000 * n))
+    assert most[1] < 1.3 * most[0]
+    assert sd.bucket_count(0) == 2
