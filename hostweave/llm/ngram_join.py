@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hostweave.llm.components import components
@@ -18,6 +19,7 @@ BATCH = 4 << 20  # bytes of text whose sketch blocks are posted together
 OFTEN = 8  # a block that so many sets of a batch hold is posted once for the batch
 WORDS = 8  # 64-bit words of the short parity sketch
 LEADERS = 8  # members of a block's group that all others are compared with first
+BUCKET = 16 << 20  # bytes of posted blocks that meet in one bucket, about
 MARK_BITS = 1 << 24  # bits of the table of documents that have a candidate, whatever the input
 _U = np.uint64
 _BAND = mix64(np.arange(1, 65, dtype=_U) * _U(0x9E3779B97F4A7C15))
@@ -115,6 +117,17 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, percent: int = PER
     return docs.select(id_col, text_col).mapInArrow(run, f"id {id_type}, set_id bigint, n_shingles bigint, own int, below int")
 
 
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    """All 64-bit numbers of a column of packed arrays, one after the other."""
+    parts = [np.zeros(0, np.int64)]
+    for chunk in column.chunks:
+        if len(chunk):
+            # an offset array of the chunk's own rows, then its stretch of the data
+            at = np.frombuffer(chunk.buffers()[1], np.int64 if pa.types.is_large_binary(chunk.type) else np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[at[0] : at[-1]].view(np.int64))
+    return np.concatenate(parts)
+
+
 _POSTED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), ("keys", pa.binary()), ("sets", pa.binary())])
 _COUNTED = "kind int, key bigint, set_id bigint, batch bigint, n bigint, sets array<bigint>"
 
@@ -123,7 +136,7 @@ def post_blocks(docs: DataFrame, text_col: str, buckets: int, percent: int = PER
     """How many sets hold each block, told to those sets: kind, key, set_id, batch, n, sets.
 
     A row for each (key, set) whose block another set may share (kind 0). Keys are dealt into
-    ``buckets``; a bucket gets packed arrays. A block that many sets of a batch hold goes there as a
+    ``buckets``, a shuffle partition for each; a bucket gets packed arrays. A block that many sets of a batch hold goes there as a
     number (kind 1, with the batch's name), and the batch's list of its sets stays in a bucket of the
     batch (kind 2), so a block that a third of all documents hold is spread like any other.
     """
@@ -171,26 +184,25 @@ def post_blocks(docs: DataFrame, text_col: str, buckets: int, percent: int = PER
             yield from post(held)
 
     def count(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        out_kind, out_key, out_set, out_batch, out_n, lists = [], [], [], [], [], []
-        for r in (r for r in rows if r["kind"] == 2):
-            keys, sets = np.frombuffer(r["keys"], np.int64), np.frombuffer(r["sets"], np.int64)
+        out_key, out_batch, lists = [], [], []
+        of = lambda kind: table.filter(pc.equal(table["kind"], kind))
+        held = of(2)
+        for batch, k, s in zip(held["batch"].to_pylist(), held["keys"], held["sets"]):
+            keys, sets = np.frombuffer(k.as_buffer(), np.int64), np.frombuffer(s.as_buffer(), np.int64)
             start = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
             for a, b in zip(start.tolist(), [*start[1:].tolist(), len(keys)]):
-                out_key.append(keys[a]), out_batch.append(r["batch"]), lists.append(sets[a:b])
+                out_key.append(keys[a]), out_batch.append(batch), lists.append(sets[a:b])
         n_lists = len(lists)
-        single = [r for r in rows if r["kind"] == 0]
-        keys = np.frombuffer(b"".join(r["keys"] for r in single), np.int64)
-        sets = np.frombuffer(b"".join(r["sets"] for r in single), np.int64)
+        single = of(0)
+        keys, sets = _numbers(single["keys"]), _numbers(single["sets"])
         order = np.lexsort((sets, keys))
         keys, sets = keys[order], sets[order]
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1])
         keys, sets = keys[new], sets[new]
-        many = [r for r in rows if r["kind"] == 1]
-        many_keys = np.frombuffer(b"".join(r["keys"] for r in many), np.int64)
-        many_n = np.frombuffer(b"".join(r["sets"] for r in many), np.int64)
-        many_batch = np.repeat(np.array([r["batch"] for r in many], np.int64), [len(r["keys"]) // 8 for r in many])
+        many = of(1)
+        many_keys, many_n = _numbers(many["keys"]), _numbers(many["sets"])
+        many_batch = np.repeat(many["batch"].to_numpy(), pc.binary_length(many["keys"]).to_numpy() // 8)
         names, at = np.unique(np.concatenate([keys, many_keys]), return_inverse=True)
         total = np.bincount(at, np.concatenate([np.ones(len(keys)), many_n]), len(names)).astype(np.int64)
         n_single = total[at[: len(keys)]]
@@ -208,7 +220,17 @@ def post_blocks(docs: DataFrame, text_col: str, buckets: int, percent: int = PER
         ], ["kind", "key", "set_id", "batch", "n", "sets"])
 
     posted = docs.select(text_col).mapInArrow(run, "bucket int, kind int, batch bigint, keys binary, sets binary")
-    return posted.groupBy("bucket").applyInArrow(count, _COUNTED)
+    return posted.repartition(2 * buckets, "bucket").groupBy("bucket").applyInArrow(count, _COUNTED)
+
+
+def n_buckets(sets: DataFrame) -> int:
+    """Buckets for the blocks of ``sets`` (own, below; one row per text): as many as their bytes ask for.
+
+    A block is posted with its set, in 16 bytes. Sets without enough blocks of their own also post
+    empty ones, at most as many as the rest again for all but the smallest sets.
+    """
+    blocks = sets.agg(F.sum(F.col("own") + F.greatest("below", F.lit(0))).alias("n")).first()["n"] or 0
+    return max(1, -(-16 * blocks // BUCKET))
 
 
 def _two_to(bits: Column) -> Column:
@@ -350,14 +372,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     its row, and component_id is null only if all ids of its component are; an empty table gives no
     rows; other columns are not looked at.
     """
-    spark = docs.sparkSession
     rows = cut(shingle_sets(docs, id_col, text_col, percent), "shingle-sets")
     known = rows.filter("set_id is not null").groupBy("set_id").agg(
         F.min("id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("own").alias("own"), F.first("below").alias("below"),
     )
     known = cut(known, "known-sets")
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted = cut(post_blocks(docs, text_col, buckets, percent), "blocks")
+    counted = cut(post_blocks(docs, text_col, n_buckets(rows), percent), "blocks")
     offered = cut(offered_blocks(counted, known, percent), "offered")
     shared = offered.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     offered = cut(offered.join(shared.select("key"), "key", "left_semi"), "offered")
