@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hostweave.operators.scale_out import lookup_join
@@ -9,8 +11,10 @@ from hostweave.session import cut
 
 BLOCK_ROWS = 1000  # documents of a block, about
 MOST_BLOCKS = 65536  # of a source; its blocks grow beyond that
-SMALL_TABLE = 10_000  # sources up to which their table is broadcast; more are joined with salts
-STEPS = 60
+SMALL_TABLE = 10_000  # sources up to which their table is broadcast; more meet the rows in a plain join
+BITS = 5  # by which a pass over the sources narrows an exponent
+PASSES = 11
+TINY = 1e-12  # by which rounding may miss an entropy
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -18,35 +22,41 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def _powers(shares: Column, exponent: Column) -> Column:
-    return F.transform(shares, lambda p: F.when(p > 0, F.pow(p, exponent)).otherwise(F.lit(0.0)))
-
-
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
-
+def _exact_sum(values: Column) -> Column:
+    """A sum in two whole parts of 30 bits after the point, which does not depend on the order in which tasks end."""
+    scaled = values * F.lit(2.0**30)
+    low = F.floor((scaled - F.floor(scaled)) * F.lit(2.0**30))
+    return (F.sum(F.floor(scaled)).cast("double") + F.sum(low).cast("double") / F.lit(2.0**30)) / F.lit(2.0**30)
 
-def weights_at(shares: Column, exponent: Column) -> Column:
-    """Token shares raised to ``exponent`` and normalised; a source without tokens has weight 0."""
-    raised = _powers(shares, exponent)
-    return F.transform(raised, lambda v: v / _sum(raised))
 
+def sums_at(shares: DataFrame, exponents: list[float]) -> dict[float, tuple[float, float]]:
+    """For each exponent a, over all shares p: the sum of p**a and that of p**a * ln(p). Each share is raised once for each."""
+    p, a = F.col("share"), F.col("a")
+    each = shares.select("share", F.explode(F.array(*[F.lit(float(x)) for x in exponents])).alias("a"))
+    raised = F.pow(p, a)
+    found = each.groupBy("a").agg(_exact_sum(raised).alias("s"), _exact_sum(raised * F.ln(p)).alias("t"))
+    return {r["a"]: (r["s"], r["t"]) for r in found.collect()}  # a row for each exponent
 
-def entropy_at(shares: Column, exponent: Column) -> Column:
-    w = weights_at(shares, exponent)
-    return F.aggregate(w, F.lit(0.0), lambda a, v: a - F.when(v > 0, v * F.ln(v)).otherwise(F.lit(0.0)))
 
+def bisect_exponents(shares: DataFrame, tests: list) -> list[float]:
+    """For each test the exponent in 0..1 where ``test(a, s, t)`` turns from true to false.
 
-def bisect_exponent(shares: Column, high_if) -> Column:
-    """The exponent in 0..1 where ``high_if(exponent)`` turns from true to false, to 2**-60."""
-    start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
-
-    def halve(state: Column, _: Column) -> Column:
-        mid = (state["lo"] + state["hi"]) / 2
-        up = high_if(mid)
-        return F.struct(F.when(up, mid).otherwise(state["lo"]).alias("lo"), F.when(up, state["hi"]).otherwise(mid).alias("hi"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, halve, lambda s: s["hi"])
+    ``s`` and ``t`` are those of :func:`sums_at`. All tests share each pass over the shares. A pass narrows every bracket to the ``2**BITS``-th part,
+    and PASSES of them leave less than the distance of two doubles near 1.
+    """
+    brackets = [(0.0, 1.0)] * len(tests)
+    for _ in range(PASSES if tests else 0):
+        marks = [[lo + (hi - lo) * k / 2**BITS for k in range(1, 2**BITS)] for lo, hi in brackets]
+        found = sums_at(shares, sorted({a for each in marks for a in each}))
+        for i, test in enumerate(tests):
+            lo, hi = brackets[i]
+            for a in marks[i]:
+                if a not in found or not test(a, *found[a]):
+                    hi = min(a, hi)
+                    break
+                lo = a
+            brackets[i] = (lo, hi)
+    return [hi for _, hi in brackets]
 
 
 def source_weights(
@@ -60,29 +70,31 @@ def source_weights(
     source by the smallest exponent that keeps to it. With both, the larger exponent holds; with
     none it is 1. If not even exponent 1 can keep a limit, 1 is taken. The budget is ``budget_share`` times all tokens.
 
-    The table has one row per source; its numbers are gathered in one row to bisect them.
+    The table of sources is written once and read by each pass over it, so neither the driver nor one
+    task holds it; the driver gets a few numbers for each exponent that is tried. Without any tokens
+    the exponent is 1 and all weights are 0.
     """
-    gathered = totals.agg(F.sort_array(F.collect_list(F.struct("source", "tokens", "n_rows"))).alias("all"))
-    gathered = gathered.withColumn("total", F.aggregate("all", F.lit(0).cast("bigint"), lambda a, s: a + s["tokens"]))
-    gathered = gathered.withColumn("shares", F.transform("all", lambda s: s["tokens"] / F.col("total")))
-    shares = F.col("shares")
-    exponent = F.lit(None).cast("double")
+    totals = cut(totals.select("source", "tokens", "n_rows"), "mixing-totals")
+    all_of = totals.agg(
+        F.sum("tokens").alias("tokens"), F.count(F.when(F.col("tokens") > 0, 1)).alias("n"), F.min(F.when(F.col("tokens") > 0, F.col("tokens"))).alias("least"),
+    ).first()
+    total, n = all_of["tokens"] or 0, all_of["n"]
+    share = F.col("tokens") / F.lit(float(max(total, 1)))
+    shares = totals.filter("tokens > 0").select(share.alias("share"))
+    tests = []
     if target_entropy is not None:
-        wanted = target_entropy * F.ln(F.size(F.filter(shares, lambda p: p > 0)).cast("double"))
-        exponent = bisect_exponent(shares, lambda a: entropy_at(shares, a) >= wanted)
+        wanted = target_entropy * math.log(max(n, 1)) - TINY
+        tests.append(lambda a, s, t: math.log(s) - a * t / s >= wanted)
     if most_repeats is not None:
-        def repeats(a: Column) -> Column:
-            each = F.zip_with(weights_at(shares, a), shares, lambda w, p: F.when(p > 0, w * F.lit(budget_share) / p).otherwise(F.lit(0.0)))
-            return F.array_max(each)
-
-        exponent = F.greatest(exponent, bisect_exponent(shares, lambda a: repeats(a) > most_repeats))
-    gathered = gathered.withColumn("exponent", F.coalesce(exponent, F.lit(1.0)))
-    gathered = gathered.withColumn("weights", weights_at(shares, F.col("exponent")))
-    each = gathered.select("exponent", "total", F.explode(F.arrays_zip("all", "weights")).alias("s"))
-    return each.select(
-        F.col("s.all.source").alias("source"), F.col("s.all.tokens").alias("tokens"), F.col("s.all.n_rows").alias("n_rows"), "exponent",
-        F.coalesce("s.weights", F.lit(0.0)).alias("weight"),
-        F.coalesce(F.round(F.col("s.weights") * F.col("total") * F.lit(budget_share)), F.lit(0)).cast("bigint").alias("quota"),
+        # a source is repeated p**(a - 1) / s times, the smallest one most often
+        least = (all_of["least"] or 1) / max(total, 1)
+        tests.append(lambda a, s, t: budget_share * least ** (a - 1) / s > most_repeats)
+    exponent = max(bisect_exponents(shares, tests), default=1.0) if total else 1.0
+    whole = sums_at(shares, [exponent])[exponent][0] if total else 1.0
+    weight = F.when(F.col("tokens") > 0, F.pow(share, F.lit(exponent)) / F.lit(whole)).otherwise(F.lit(0.0))
+    return totals.select(
+        "source", "tokens", "n_rows", F.lit(exponent).alias("exponent"), weight.alias("weight"),
+        F.round(weight * F.lit(float(total)) * F.lit(float(budget_share))).cast("bigint").alias("quota"),
     )
 
 
@@ -190,6 +202,6 @@ def mix_documents(
     """
     rows = cut(docs.select(*_keys(docs, id_col, text_col, source_col, seed), word_count(F.col(text_col)).alias("tokens")), "mixing-rows")
     plan, few = mixing_plan(rows, target_entropy, most_repeats, budget_share, seed)
-    wrapped = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), *_keys(docs, id_col, text_col, source_col, seed))
+    wrapped = docs.select(F.struct("*").alias("row"), *_keys(docs, id_col, text_col, source_col, seed))
     drawn = _look_up(wrapped, plan, few).withColumn("copies", copies(seed)).filter("copies > 0")
     return drawn.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from compare import compare, duck, rows_of, sql_rows
@@ -289,6 +290,54 @@ def test_mixture_meets_its_weights(spark):
         assert sum(taken[b] != whole[b] for b in taken) <= 1
 
 
+def test_weights_of_very_many_sources(spark):
+    """Ten thousand sources meet both limits, and a source more costs no more than its own rows."""
+    n = 10_000
+    totals = spark.range(n).select(F.concat(F.lit("s"), "id").alias("source"), (F.lit(10_000_000) / (F.col("id") + 1) + 1).cast("bigint").alias("tokens"), F.lit(5).cast("bigint").alias("n_rows"))
+    for entropy, repeats in ((0.9, None), (None, 4.0), (0.9, 4.0)):
+        got = mx.source_weights(totals, entropy, repeats).collect()
+        total = sum(r.tokens for r in got)
+        a = {r.exponent for r in got}.pop()
+        raised = [(r.tokens / total) ** a for r in got]
+        assert len(got) == n and abs(sum(r.weight for r in got) - 1) < 1e-9
+        assert max(abs(r.weight - v / sum(raised)) for r, v in zip(got, raised)) < 1e-12
+        assert all(abs(r.quota - r.weight * total) <= 0.5 + 1e-3 for r in got)
+        reached = -sum(r.weight * math.log(r.weight) for r in got) / math.log(n)
+        most = max(r.weight * total / r.tokens for r in got)
+        if repeats:
+            assert most <= repeats + 1e-6
+        if entropy and not repeats:
+            assert abs(reached - entropy) < 1e-9
+        if repeats and not entropy:
+            assert abs(most - repeats) < 1e-6
+
+
+def test_weights_without_any_words(spark):
+    totals = spark.createDataFrame([("a", 0, 3), ("b", 0, 1)], "source string, tokens long, n_rows long")
+    assert [(r.weight, r.quota) for r in mx.source_weights(totals, 0.9, 2.0).collect()] == [(0.0, 0), (0.0, 0)]
+
+
+def test_blocks_meet_in_buckets_of_a_fixed_size(spark, monkeypatch):
+    """Four times the texts, at one setting, give four times the buckets; their bytes stay as they are."""
+    monkeypatch.setattr(nj, "BUCKET", 1 << 16)
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(120))) for i in range(1200)]
+    largest = []
+    for n in (300, 1200):
+        docs = spark.createDataFrame(rows[:n], "doc_id long, text string").repartition(4)
+        sets = nj.shingle_sets(docs, "doc_id", "text")
+        buckets = nj.n_buckets(sets)
+        posted = []
+        with monkeypatch.context() as m:
+            # the posted rows themselves, in place of their counts
+            m.setattr(type(docs.groupBy("doc_id")), "applyInArrow", lambda self, f, schema: posted.append(self._df) or self._df)
+            nj.post_blocks(docs, "text", buckets)
+        by = posted[0].groupBy("bucket").agg(F.sum(F.length("keys") + F.length("sets")).alias("b"))
+        largest.append((buckets, by.agg(F.max("b")).first()[0]))
+    (few, a), (many, b) = largest
+    assert 3.5 * few <= many <= 4.5 * few and b <= 1.3 * a
+
+
 def test_mixture_edges(odd, nothing):
     drawn = mx.mix_sources(odd, target_entropy=None, most_repeats=None).collect()
     assert len(drawn) >= 10 and mx.mix_sources(nothing).count() == 0 and mx.mix_documents(nothing).count() == 0
