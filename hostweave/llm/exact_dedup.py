@@ -90,7 +90,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Whole rows take part in the content sort, so they need not be joined to their decision.
     """
-    runs = _sorted_runs(docs, id_col, text_col, F.struct(*[F.col(c) for c in docs.columns]))
+    runs = _sorted_runs(docs, id_col, text_col, F.struct("*"))
     firsts = runs.filter("place = 1").select("row", "cut_up", "run_id", "run_size", F.sha2("norm", 256).alias("sha"))
     firsts = cut(firsts, "content-heads")
     heads = firsts.filter("cut_up").withColumn("norm", normalised(F.col("row").getField(text_col)))

@@ -132,15 +132,16 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least_score: float, t
 
     Rows with ``und`` (see ``identify_languages``) always go. No shuffle.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_identify(t, model, penalty)[:2] for t in batch.column(place).to_pylist()]
+            found = [_identify(t, model, penalty)[:2] for t in batch.column(0).field(place).to_pylist()]
             yield batch.filter(pa.array([name != "und" and score >= least_score for name, score in found], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    # one column of whole rows, as names with backticks cannot be passed one by one
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.mapInArrow(run, rows.schema).select("row.*")
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", penalty: float = 1.0) -> DataFrame:

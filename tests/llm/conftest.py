@@ -16,7 +16,7 @@ def corpus_settings(spark):
 @pytest.fixture(scope="session")
 def odd(spark):
     """Documents with nulls in every column, empty, short, long and repeated texts, repeated and null
-    ids, and extra columns whose names the operators use inside."""
+    ids, extra columns whose names the operators use inside, and names with blanks and backticks."""
     rng = random.Random(4)
     long_text = " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(5000)) for _ in range(20_000))
     rows = [
@@ -28,6 +28,7 @@ def odd(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     for name in ("id", "norm", "h", "head", "part", "row", "key", "set_id", "tokens", "bucket", "kind", "copies", "block", "edge", "task", "_group", "_place", "runs", "held_out", "weight"):
         df = df.withColumn(name, F.lit("clash"))
+    df = df.withColumn("a `quoted` name", F.lit(1)).withColumn("nested", F.struct(F.lit(2).alias("with space"), F.lit("x").alias("with`tick")))
     return df.repartition(3)
 
 
