@@ -752,6 +752,17 @@ def neighbor_attention(spark, d):
     return tidy(out.select("node", F.posexplode("x").alias("pos", "value")))
 
 
+@query("attention_encode")
+def attention_encode(spark, d):
+    """Three layers: 4 and 4 heads of 128 numbers with residual sums, then one head of 64."""
+    e = stored_edges(spark, d, ())
+    x = scaling.scale(pipelines.host_features(None, e, ()), S.NODE_FEATURES, "minmax")[0]
+    nodes = cut(x.select("node", fn.array_of(S.NODE_FEATURES).alias("x")), "features")
+    links = ft.edge_features(e).select("src", "dst", fn.array_of(["orig_bytes_ratio", "log_count"]).alias("e"))
+    layers = [toy_layer(19, 2, 4, 128, True), toy_layer(512, 2, 4, 128, True), toy_layer(512, 2, 1, 64, False)]
+    return tidy(attention.attention_encode(nodes, links, layers).select("node", F.posexplode("x").alias("pos", "value")), 5)
+
+
 @query("mean_neighbor_features")
 def mean_neighbor_features(spark, d):
     e = stored_edges(spark, d)

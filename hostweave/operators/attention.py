@@ -112,6 +112,8 @@ def neighbor_attention(nodes: DataFrame, edges: DataFrame, layer: AttentionLayer
     weighted = lookup_join(scored, top, [*by, "dst"]).select(
         *by, "src", "dst", *[F.exp(F.col(c) - F.col(f"_top{h}")).alias(f"_w{h}") for h, c in enumerate(logits)]
     )
+    # parallel edges become one row with the sum of their weights before it meets a wide vector
+    weighted = weighted.groupBy(*by, "src", "dst").agg(*[F.sum(f"_w{h}").alias(f"_w{h}") for h in range(heads)])
     full = lookup_join(weighted, table.select(*by, F.col("node").alias("src"), "h"), [*by, "src"])
     means = full.groupBy(*by, F.col("dst").alias("node")).agg(*[
         Summarizer.mean(array_to_vector(F.slice("h", h * dim + 1, dim)), F.col(f"_w{h}")).alias(f"_m{h}") for h in range(heads)

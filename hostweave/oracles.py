@@ -623,7 +623,38 @@ y as (select dst as node, o, sum(w * h) / sum(w) + 0.01 * (o - 1) as y from wt j
 select node, cast(o - 1 as bigint) as pos, round(case when y > 0 then y else exp(y) - 1 end, 6) + 0.0 as value from y"""
 
 
+def _encoder(layers) -> str:
+    """Layers of (inputs, heads, numbers of a head) with the weights of ``toy_layer``."""
+    n19 = rollup_cte("")
+    x = " union all ".join(
+        f"select node, {i + 1} as i, coalesce(({c} - (select min({c}) from n19)) / nullif((select max({c}) from n19) - (select min({c}) from n19), 0), 0) as v from n19"
+        for i, c in enumerate(S.NODE_FEATURES))
+    parts = [n19, f"x0 as materialized ({x})"]
+    w = lambda a, b, r, c: f"0.2 * sin({a} * {r} + {b} * {c})"
+    for k, (inputs, heads, dim) in enumerate(layers):
+        hd, at = f"((o - 1) // {dim} + 1)", f"((o - 1) % {dim} + 1)"
+        outs = f"(select unnest(range(1, {heads * dim + 1})) as o)"
+        parts.append(f"""h{k} as materialized (select node, o, sum(v * {w(0.7, 0.3, 'o', 'i')}) as h from x{k}, {outs} group by node, o),
+s{k} as materialized (select node, {hd} as hd, sum(h * {w(0.5, 0.9, hd, at)}) as s_src, sum(h * {w(0.4, 0.8, hd, at)}) as s_dst from h{k} group by all),
+ev{k} as (select {hd} as hd, j, sum({w(0.25, 0.45, 'o', 'j')} * {w(0.6, 0.2, hd, at)}) as w from {outs}, (select unnest(range(1, 3)) as j) group by all),
+el{k} as materialized (select src, dst, a.hd, {DERIVED['orig_bytes_ratio']} * a.w + {DERIVED['log_count']} * b.w as es
+  from e, ev{k} a join ev{k} b on a.hd = b.hd and a.j = 1 and b.j = 2 where src <> dst),
+lp{k} as (select s.node as src, s.node as dst, s.hd, coalesce(avg(es), 0) as es from s{k} s left join el{k} l on l.dst = s.node and l.hd = s.hd group by s.node, s.hd),
+lk{k} as (select l.src, l.dst, l.hd, a.s_src + b.s_dst + es as q from (from el{k} union all from lp{k}) l
+  join s{k} a on a.node = l.src and a.hd = l.hd join s{k} b on b.node = l.dst and b.hd = l.hd),
+lr{k} as (select src, dst, hd, case when q > 0 then q else 0.2 * q end as q from lk{k}),
+wt{k} as (select src, dst, hd, exp(q - max(q) over (partition by dst, hd)) as w from lr{k}),
+wp{k} as materialized (select src, dst, hd, sum(w) as w from wt{k} group by all),
+y{k} as materialized (select dst as node, o, sum(w * h) / sum(w) + 0.01 * (o - 1) as y from wp{k} p join h{k} h on h.node = p.src and {hd} = p.hd group by dst, o)""")
+        elu = "case when y > 0 then y else exp(y) - 1 end"
+        if k + 1 < len(layers):
+            parts.append(f"x{k + 1} as materialized (select y.node, y.o as i, {elu} + x.v as v from y{k} y join x{k} x on x.node = y.node and x.i = y.o)"
+                         if inputs == heads * dim else f"x{k + 1} as materialized (select node, o as i, {elu} as v from y{k})")
+    return "with " + ", ".join(parts) + f" select node, cast(o - 1 as bigint) as pos, round(y, 5) + 0.0 as value from y{len(layers) - 1}"
+
+
 ORACLES["neighbor_attention"] = _attention()
+ORACLES["attention_encode"] = _encoder([(19, 4, 128), (512, 4, 128), (512, 1, 64)])
 add("anomaly_factors", N19, """, m as (select snapshot_ts, """ + ", ".join(
     f"avg({c}) as m_{c}, stddev_pop({c}) as s_{c}" for c in ("total_connections", "protocol_entropy", "unique_remote_ports", "unique_local_ports", "total_outgoing_bytes", "total_incoming_bytes"))
     + " from r group by snapshot_ts), z as (select snapshot_ts, node, " + ", ".join(
