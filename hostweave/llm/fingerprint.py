@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from hostweave.llm.hashing import mix64, shingle_hashes, slices
 from hostweave.session import cut
@@ -70,15 +71,17 @@ def fingerprints(texts: list[bytes]) -> list[bytes]:
 def add_fingerprints(docs: DataFrame, text_col: str = "text", name: str = "fingerprint") -> DataFrame:
     """``docs`` and a column with the fingerprint of each text in hexadecimal; equal texts get equal
     fingerprints, null and empty texts the empty string. No shuffle."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     place = docs.columns.index(text_col)
+    # one column of whole rows, as names with backticks cannot be passed one by one
+    rows = docs.select(F.struct("*").alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = fingerprints([t or b"" for t in batch.column(place).cast(pa.binary()).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([p.hex() for p in prints])], [*batch.schema.names, name])
+            prints = fingerprints([t or b"" for t in batch.column(0).field(place).cast(pa.binary()).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.hex() for p in prints], pa.string())], ["row", "print"])
 
-    return docs.mapInArrow(run, f"{schema}, `{name}` string")
+    found = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("print", StringType())]))
+    return found.select("row.*", F.col("print").alias(name))
 
 
 _ROW = "id {t}, n_chars bigint, edited_sha256 string, print binary, edited_print binary, near_edited double, near_next double"
