@@ -465,7 +465,7 @@ def edge_aggregate(spark, d):
 
 @query("edge_aggregate_prefix")
 def edge_aggregate_prefix(spark, d):
-    return tidy(ed.edge_aggregate(conns(spark, d), compat="prefix", chunk_seconds=86400 * 30))
+    return tidy(ed.edge_aggregate(conns(spark, d), compat="prefix"))
 
 
 @query("edge_vector_sum")
@@ -569,6 +569,13 @@ def feature_density(spark, d):
     return tidy(stats.feature_density(e, ["connection_count", "total_orig_bytes", "total_resp_pkts"], 20))
 
 
+@query("density_curve")
+def density_curve(spark, d):
+    e = stored_edges(spark, d, ())
+    logs_ = e.select(*[F.log1p(F.col(c).cast("double")).alias(c) for c in ("total_orig_bytes", "total_resp_bytes")])
+    return tidy(stats.density_curve(logs_, logs_.columns))
+
+
 @query("reconstruction_by_feature")
 def reconstruction_by_feature(spark, d):
     df, names = _embedding_columns(spark, d, 64)
@@ -599,7 +606,7 @@ def connections_last_minute(spark, d):
 def connections_last_hour(spark, d):
     c = conns(spark, d)
     rows = ho.host_roles(c).select("node", (F.col("timestamp").cast("bigint") * 1000000).alias("micros"))
-    return ho.rolling_connections(rows, chunk_seconds=86400)
+    return ho.rolling_connections(rows)
 
 
 @query("top_variable_features")
@@ -895,6 +902,12 @@ def graph_changes(spark, d):
     return tidy(changes.graph_changes(at(n, "old"), at(n, "new"), at(e, "old"), at(e, "new")))
 
 
+@query("change_feed")
+def change_feed(spark, d):
+    """Changes between all neighbouring snapshots of the graph that is never cleared."""
+    return tidy(changes.change_feed(stored_edges(spark, d)))
+
+
 # --- streaming and state ---------------------------------------------------------------------
 
 
@@ -1031,6 +1044,16 @@ def rolling_counts_stream(spark, d):
     return tidy(_to_table(spark, stream, "rolling-counts").unionByName(arrivals.open_counts(fast(fl.read_table(spark, d, "events")))))
 
 
+@query("change_feed_stream")
+def change_feed_stream(spark, d):
+    """Changes hour by hour from the stream, and those of the open hours from its closing step."""
+    feed = arrivals.change_feed_stream(_event_connections(_stream(spark, d, "events")), 3600)
+    out, state = work_path(spark, "changes"), work_path(spark, "changes-state")
+    arrivals.start_changes(feed, out, state).awaitTermination(1800)
+    closing = arrivals.open_changes(_event_connections(fl.read_table(spark, d, "events")), 3600)
+    return tidy(spark.read.schema(feed.schema).parquet(out).drop("batch").unionByName(closing))
+
+
 @query("snapshot_tumbling")
 def snapshot_tumbling(spark, d):
     """Closed windows from the stream, and the open ones from its closing step."""

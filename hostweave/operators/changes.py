@@ -25,6 +25,38 @@ def graph_changes(prev_nodes: DataFrame, nodes: DataFrame, prev_edges: DataFrame
     return node_feed.unionByName(edge_feed, allowMissingColumns=True)
 
 
+def touched(edges: DataFrame, time: str) -> DataFrame:
+    """Hosts and edges that take part in each row, as one text ``key`` each, beside the column ``time``.
+
+    A null endpoint is no host.
+    """
+    node = lambda end: F.when(F.col(end).isNotNull(), F.to_json(F.struct(F.col(end).alias("node"))))
+    ends = F.array(node("src"), node("dst"), F.to_json(F.struct(*S.EDGE_KEYS)))
+    return edges.select(time, F.explode_outer(ends).alias("key")).filter("key is not null")
+
+
+def change_rows(found: DataFrame, port_type: str) -> DataFrame:
+    """Rows of (snapshot_ts, key, created) as feed rows: snapshot_ts, kind, node, and the edge key columns."""
+    types = ", ".join(f"{c} {port_type if c == 'dst_port' else 'string'}" for c in ["node", *S.EDGE_KEYS])
+    rows = found.withColumn("_k", F.from_json("key", types))
+    host = F.col("_k.node").isNotNull()
+    kind = F.when(host & F.col("created"), "NODE_CREATE").when(host, "NODE_UPDATE").when(F.col("created"), "EDGE_CREATE")
+    return rows.select("snapshot_ts", kind.alias("kind"), "_k.*").filter("kind is not null")
+
+
+def change_feed(edges: DataFrame) -> DataFrame:
+    """Changes of the graph that is never cleared, between all neighbouring snapshots at once.
+
+    ``edges`` are the edges of each snapshot (snapshot_ts). A host or edge is created in the first
+    snapshot it takes part in; a host is updated in each later one, since its counts rise. The rows of
+    a hot host are one for each snapshot it is in.
+    """
+    rows = touched(edges.filter("snapshot_ts is not null"), "snapshot_ts").distinct()
+    first = rows.groupBy("key").agg(F.min("snapshot_ts").alias("_first"))
+    found = lookup_join(rows, first, ["key"]).withColumn("created", F.col("snapshot_ts") == F.col("_first"))
+    return change_rows(found, edges.schema["dst_port"].dataType.simpleString())
+
+
 # measure -> the factor it stands for
 FACTORS = {
     "total_connections": "high connection rate",

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from hostweave import schemas as S
 from hostweave.functions import split_services
-from hostweave.operators.scale_out import dense_index, lookup_join
+from hostweave.operators.scale_out import dense_index, lookup_join, range_scan
 
 _SUM_SOURCES = {
     "total_orig_bytes": "orig_bytes", "total_resp_bytes": "resp_bytes",
@@ -30,13 +30,14 @@ def _edge_keys(connections: DataFrame) -> DataFrame:
 
 
 def edge_aggregate(
-    connections: DataFrame, by: tuple[str, ...] = (), compat: str | None = None, chunk_seconds: int = 3600,
+    connections: DataFrame, by: tuple[str, ...] = (), compat: str | None = None,
 ) -> DataFrame:
     """Connections to edges: count, six sums, first and last time.
 
     ``by`` adds grouping columns such as ``snapshot_ts``. All aggregates combine before the
     shuffle, so a hot edge arrives as one row per task. ``compat='prefix'`` weighs connection i of
-    n (in time order) by n-i+1 and counts n(n+3)/2, the sums of the running totals.
+    n (in time order) by n-i+1 and counts n(n+3)/2, the sums of the running totals; ranks come from
+    :func:`range_scan`, so the connections of a hot edge are ranked by many tasks.
     """
     keys = [*by, *S.EDGE_KEYS]
     rows = _edge_keys(connections)
@@ -48,24 +49,21 @@ def edge_aggregate(
         )
     if compat != "prefix":
         raise ValueError(f"unknown compat: {compat}")
-    # Rank within a time chunk only; the weight n-i+1 splits into parts that add up over chunks.
-    cut = rows.withColumn("_chunk", F.floor(F.col("timestamp") / chunk_seconds))
-    rank = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy("timestamp", "uid"))
-    parts = cut.withColumn("_r", rank).groupBy(*keys, "_chunk").agg(
-        F.count(F.lit(1)).alias("_m"),
-        *[F.sum(c).alias(f"_s_{n}") for n, c in _SUM_SOURCES.items()],
-        *[F.sum(F.col("_r") * F.col(c)).alias(f"_w_{n}") for n, c in _SUM_SOURCES.items()],
+    # Equal rows stay one row with their number, since a running number tells only unequal rows apart.
+    values = list(_SUM_SOURCES.values())
+    same = rows.select(F.struct(*keys).alias("_e"), "timestamp", "uid", *values).groupBy("_e", "timestamp", "uid", *values)
+    runs = range_scan(same.agg(F.count(F.lit(1)).alias("_m")), ["_e"], ["timestamp", "uid", *values], ["_m"], "edge-ranks")
+    m = F.col("_m")
+    ranks = m * F.col("_m_run") - F.expr("_m * (_m - 1) div 2")  # sum of the ranks of the equal rows
+    sums = runs.groupBy("_e").agg(
+        F.sum(m).alias("_n"),
+        *[F.sum(m * F.col(c)).alias(f"_s_{n}") for n, c in _SUM_SOURCES.items()],
+        *[F.sum(ranks * F.col(c)).alias(f"_w_{n}") for n, c in _SUM_SOURCES.items()],
         F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"),
     )
-    from_here = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    # rows from this chunk to the end, so n - (rank before the chunk) needs no second pass
-    parts = parts.withColumn("_rest", F.sum("_m").over(from_here))
-    return parts.groupBy(*keys).agg(
-        F.sum("_m").alias("_n"),
-        *[F.sum((F.col("_rest") + 1) * F.col(f"_s_{n}") - F.col(f"_w_{n}")).alias(n) for n in _SUM_SOURCES],
-        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
-    ).select(
-        *keys, F.expr("_n * (_n + 3) div 2").alias("connection_count"), *_SUM_SOURCES, "first_seen", "last_seen",
+    return sums.select(
+        *[F.col("_e")[k].alias(k) for k in keys], F.expr("_n * (_n + 3) div 2").alias("connection_count"),
+        *[((F.col("_n") + 1) * F.col(f"_s_{n}") - F.col(f"_w_{n}")).alias(n) for n in _SUM_SOURCES], "first_seen", "last_seen",
     )
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from hostweave import schemas as S
 from hostweave.functions import array_of, one_hot
 from hostweave.operators.edges import edge_index, node_index
 from hostweave.operators.hosts import time_circles
-from hostweave.operators.scale_out import lookup_join
+from hostweave.operators.scale_out import lookup_join, range_scan
 from hostweave.operators.scaling import scale
 from hostweave.operators.topology import node_rollup
 
@@ -75,19 +75,12 @@ def edge_features(edges: DataFrame) -> DataFrame:
 def label_codes(values: DataFrame, column: str) -> DataFrame:
     """Code of each distinct value: its position in sorted order.
 
-    The distinct values are numbered in slices by their first two characters, which keep the
-    order, so the numbering does not need all values in one task.
+    The distinct values are numbered in sampled ranges, so values that begin alike are spread over
+    tasks as well. A null has no code.
     """
-    distinct = values.select(F.col(column).cast("string").alias(column)).distinct()
-    cut = distinct.withColumn("_b", F.substring(column, 1, 2))
-    sizes = cut.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per two-character prefix: a bounded table
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy(column))
-    return cut.withColumn("_r", rank).join(starts, "_b").select(
-        column, (F.col("_start") + F.col("_r") - 1).cast("bigint").alias("code")
-    )
+    distinct = values.select(F.col(column).cast("string").alias(column)).distinct().filter(F.col(column).isNotNull())
+    numbered = range_scan(distinct.withColumn("_n", F.lit(1).cast("bigint")), [], [column], ["_n"], "label-codes")
+    return numbered.select(column, (F.col("_n_run") - 1).alias("code"))
 
 
 def label_encode(df: DataFrame, column: str, codes: DataFrame | None = None, name: str | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from hostweave.functions import (
     activity_score, connection_consistency, dash_to_null, minute_of_day_circle,
     privileged_port_strict, split_services, status_number, user_agent_category,
 )
-from hostweave.operators.scale_out import prefix_sums
+from hostweave.operators.scale_out import range_scan
 
 
 def host_roles(connections: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -323,14 +323,13 @@ def node_report_full(rollup: DataFrame, history: DataFrame | None = None, by: tu
 # --- time ------------------------------------------------------------------------------------
 
 
-def rolling_connections(
-    events: DataFrame, node: str = "node", micros: str = "micros", chunk_seconds: int = 600,
-) -> DataFrame:
+def rolling_connections(events: DataFrame, node: str = "node", micros: str = "micros") -> DataFrame:
     """Connections of a host in the last minute and hour, at each time it is active.
 
     Both ends of the window count. A rolling count is arrivals minus departures, a departure being
-    an arrival one window later, so it is a difference of running sums. Those are cut into time
-    chunks, which splits a host of any size; a window sorted per host would not.
+    an arrival one window later, so it is a difference of running sums. Those run over sampled
+    ranges, which split a host of any size however its connections lie in time; a window sorted per
+    host, or chunks of a fixed time, would not. Rows without a host are left out.
     """
     second = 1_000_000
     arrivals = events.groupBy(F.col(node).alias("node"), F.col(micros).alias("micros")).agg(F.count(F.lit(1)).alias("n"))
@@ -345,7 +344,7 @@ def rolling_connections(
         "node", (F.col("micros") + F.col("s.shift")).alias("at"), (F.col("s.shift") == 0).alias("arrival"),
         (F.col("n") * F.col("s.m")).alias("minute"), (F.col("n") * F.col("s.h")).alias("hour"),
     )
-    runs = prefix_sums(moves, ["node"], ["at"], ["minute", "hour"], F.floor(F.col("at") / F.lit(chunk_seconds * second)))
+    runs = range_scan(moves.filter("node is not null"), ["node"], ["at"], ["minute", "hour"], "moves")
     return runs.filter("arrival").select(
         "node", F.col("at").alias("micros"), F.col("minute_run").alias("connections_last_minute"),
         F.col("hour_run").alias("connections_last_hour"),

@@ -460,6 +460,15 @@ add("feature_density", EDGES, ", l as (" + " union all ".join(
     f"select '{c}' as feature, cast({c} as double) as v from e" for c in ("connection_count", "total_orig_bytes", "total_resp_pkts")) + """),
 m as (select feature, min(v) as lo, max(v) as hi from l group by feature)
 select feature, least(cast(floor((v - lo) / (hi - lo) * 20) as bigint), 19) as bin, count(*) as n from l join m using (feature) group by all""")
+add("density_curve", EDGES, ", l as (" + " union all ".join(
+    f"select '{c}' as feature, ln(1 + cast({c} as double)) as v from e" for c in ("total_orig_bytes", "total_resp_bytes")) + """),
+m as (select feature, count(*) as n, min(v) as lo, stddev_samp(v) * 0.15 / 16 as step from l group by feature),
+p as (select feature, n, lo, step, (v - lo) / step as pos from l join m using (feature)),
+b as (select feature, n, lo, step, floor(pos) + i as j, sum(case when i = 0 then 1 - (pos - floor(pos)) else pos - floor(pos) end) as w
+  from p, (values (0), (1)) t(i) group by all having w > 0),
+k as (select k, exp(-0.5 * (k / 16.0) * (k / 16.0)) / sum(exp(-0.5 * (k / 16.0) * (k / 16.0))) over () as g from range(-96, 97) t(k))
+select feature, cast(j + k as bigint) as point, round(lo + (j + k) * step, 6) + 0.0 as x, round(sum(w * g) / (n * step), 6) + 0.0 as density
+from b, k group by feature, n, lo, step, j + k""")
 add("graph_counts", SNAP_EDGES, """select snapshot_ts, (select count(*) from (select src from e x where x.snapshot_ts = e.snapshot_ts union
   select dst from e x where x.snapshot_ts = e.snapshot_ts)) as node_count, count(*) as edge_count, false as is_empty from e group by snapshot_ts""")
 add("node_lookup", ROLES, """select node, count(*) filter (where outgoing) as total_connections_initiated,
@@ -671,6 +680,15 @@ a as (select * from dg, t where snapshot_ts = old), b as (select * from dg, t wh
 select case when a.node is null then 'NODE_CREATE' else 'NODE_UPDATE' end as kind, b.node, null as src, null as dst, null as protocol, null as service, null as dst_port
 from b left join a on a.node = b.node where a.node is null or a.i <> b.i or a.o <> b.o or a.d <> b.d
 union all select 'EDGE_CREATE', null, {KEYS} from (select {KEYS} from e, t where snapshot_ts = new except select {KEYS} from e, t where snapshot_ts = old)""")
+def change_sql(rows: str) -> str:
+    """Feed of the graph that is never cleared, over a table with snapshot_ts and the edge keys."""
+    return f"""select snapshot_ts, case when snapshot_ts = min(snapshot_ts) over (partition by node) then 'NODE_CREATE' else 'NODE_UPDATE' end as kind, node,
+  null as src, null as dst, null as protocol, null as service, null as dst_port
+from (select snapshot_ts, src as node from {rows} union select snapshot_ts, dst from {rows})
+union all select min(snapshot_ts), 'EDGE_CREATE', null, {KEYS} from {rows} group by {KEYS}"""
+
+
+add("change_feed", SNAP_EDGES, change_sql("e"))
 add("model_statistics", f"{streak(0.15)}, {SCORED.replace('with recursive', 'with recursive')}, ee as (select * from e)".replace(", l as (select snapshot_ts, 'events'", ", l as (select snapshot_ts, 'events'"),
     """select (select count(*) from st) as update_count, least((select count(*) from st), 2000) as replay_buffer_size,
   (select streak from st order by snapshot_ts desc limit 1) as consecutive_drifts, (select count(*) from evf) as node_stats_count,
@@ -697,6 +715,7 @@ EVC = """ec as (select epoch_us(ts) as m, concat('u', user_id) as src, concat('s
 _EVSUMS = """count(*) as connection_count, cast(sum(b) as bigint) as total_orig_bytes, count(*) as total_resp_bytes, count(*) as total_orig_pkts,
   count(*) as total_resp_pkts, count(*) as total_orig_ip_bytes, count(*) as total_resp_ip_bytes"""
 add("snapshot_tumbling", EVC, f"""select (m // 3600000000) * 3600 as snapshot_ts, {KEYS}, {_EVSUMS} from ec group by all""")
+add("change_feed_stream", EVC, ", t as (select m // 3600000000 * 3600 as snapshot_ts, * from ec) " + change_sql("t"))
 add("snapshot_cumulative_stream", EVC, f"select {KEYS}, {_EVSUMS} from ec group by all")
 add("snapshot_cumulative", SNAP_EDGES, f"""select {KEYS}, snapshot_ts, lead(snapshot_ts) over k as valid_to, {', '.join(f'cast(sum({c}) over w as bigint) as {c}' for c in ['connection_count', *S.EDGE_SUMS])},
   min(first_seen) over w as first_seen, max(last_seen) over w as last_seen from e

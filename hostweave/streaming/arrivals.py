@@ -1,6 +1,6 @@
-"""Stateful streams: records that close by silence, and rolling counts at each connection.
+"""Stateful streams: records that close by silence, rolling counts at each connection, a feed of changes.
 
-Both need the state store that has timers (``prepare_state_store``).
+All need the state store that has timers (``prepare_state_store``).
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hostweave import schemas as S
+from hostweave.operators.changes import change_feed, change_rows, touched
+from hostweave.operators.edges import _edge_keys
 from hostweave.operators.hosts import host_roles, rolling_connections
 from hostweave.streaming.jobs import DELAY, watermark, with_event_time
 
@@ -211,5 +213,69 @@ def open_counts(connections: DataFrame, delay: str = DELAY) -> DataFrame:
     rows = with_event_time(host_roles(connections), "timestamp").select("node", "event_time", F.unix_micros("event_time").alias("micros"))
     mark = watermark(rows, delay).select(F.unix_micros("_mark").alias("_mark"))
     near = rows.crossJoin(F.broadcast(mark)).filter(F.col("micros") >= F.col("_mark") - HOUR * 1_000_000)  # one row
-    counted = rolling_connections(near.select("node", "micros"), chunk_seconds=HOUR)
+    counted = rolling_connections(near.select("node", "micros"))
     return counted.crossJoin(F.broadcast(mark)).filter("micros > _mark").drop("_mark").distinct()
+
+
+# --- changes -----------------------------------------------------------------------------------
+
+
+def _first_seen():
+    """Tells a key's first window from its later ones; the windows come closed, and so in order over the batches."""
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class FirstSeen(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.seen = handle.getValueState("seen", "first bigint")
+
+        def handleInputRows(self, key, rows, timerValues):
+            import pandas as pd
+
+            times = sorted(t for frame in rows for t in frame["snapshot_ts"])
+            known = self.seen.exists()
+            if not known:
+                self.seen.update((int(times[0]),))
+            yield pd.DataFrame({"key": key[0], "snapshot_ts": times, "created": [not known and i == 0 for i in range(len(times))]})
+
+        def close(self) -> None:
+            pass
+
+    return FirstSeen()
+
+
+def change_feed_stream(connections: DataFrame, seconds: int = 60, delay: str = DELAY) -> DataFrame:
+    """Changes of the graph that is never cleared, window by window: the rows of :func:`changes.change_feed`.
+
+    One row when a host or edge first takes part, and one for each later window a host takes part in. A
+    window's rows come out when the watermark has passed its end, so the order of arrival within
+    ``delay`` makes no difference. A hot host's connections combine before the shuffle, and the step with
+    state gets one row for each window and key. Its state is one number for each host and edge ever seen.
+    """
+    prepare_state_store(connections.sparkSession)
+    rows = with_event_time(_edge_keys(connections), "timestamp").withWatermark("event_time", delay)
+    closed = touched(rows, "event_time").groupBy(F.window("event_time", f"{seconds} seconds").alias("w"), "key").agg(F.count(F.lit(1)).alias("n"))
+    windows = closed.select("key", F.unix_seconds("w.start").alias("snapshot_ts"))
+    found = windows.groupBy("key").transformWithStateInPandas(_first_seen(), "key string, snapshot_ts bigint, created boolean", "append", "none")
+    return change_rows(found, connections.schema["dst_port"].dataType.simpleString())
+
+
+def open_changes(connections: DataFrame, seconds: int = 60, delay: str = DELAY) -> DataFrame:
+    """Closing step of :func:`change_feed_stream` over the same, now complete, input: the changes of the
+    windows that the watermark has not passed."""
+    rows = with_event_time(_edge_keys(connections), "timestamp").filter("event_time is not null")
+    start = F.floor(F.unix_micros("event_time") / (seconds * 1000000)) * seconds
+    feed = change_feed(rows.withColumn("snapshot_ts", start.cast("bigint")))
+    mark = watermark(rows, delay)
+    return feed.crossJoin(F.broadcast(mark)).filter(F.timestamp_seconds(F.col("snapshot_ts") + seconds) > F.col("_mark")).drop("_mark")  # one row
+
+
+def start_changes(feed: DataFrame, out_dir: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """Write a feed to ``out_dir``, a folder for each batch. A repeated batch replaces its own, so a
+    reader can replay the feed from any batch and sees each event once."""
+    trigger = {"processingTime": interval} if interval else {"availableNow": True}
+    root = out_dir.rstrip("/")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+
+    return feed.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()

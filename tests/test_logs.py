@@ -89,7 +89,7 @@ def test_edge_aggregate_and_prefix_form(spark):
     c = sample_flood(spark)
     got = {r.service: r for r in ed.edge_aggregate(c).collect()}
     assert set(got) == {"ssl", "smtp"} and got["ssl"].connection_count == 20 and got["smtp"].total_orig_bytes == 28880
-    prefix = {r.service: r for r in ed.edge_aggregate(c, compat="prefix", chunk_seconds=3).collect()}
+    prefix = {r.service: r for r in ed.edge_aggregate(c, compat="prefix").collect()}
     assert prefix["ssl"].connection_count == 20 * 23 // 2
     assert prefix["ssl"].total_orig_bytes == 1444 * 20 * 21 // 2
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from hostweave import schemas as S
 from hostweave import functions as fn
-from hostweave.operators import attention, detect, drift, features as ft, hosts as ho, scale_out, scaling, stats, topology as tp
+from hostweave.operators import attention, detect, drift, edges, features as ft, hosts as ho, scale_out, scaling, stats, topology as tp
 
 
 def test_lookup_join_keeps_every_row_of_a_hot_key(spark):
@@ -38,7 +38,7 @@ def test_rolling_counts_match_brute_force(spark):
     rng = np.random.default_rng(2)
     times = sorted(int(t) * 1_000_000 for t in rng.integers(0, 9000, 400)) + [0, 60_000_000, 3600_000_000]
     df = spark.createDataFrame([("h", t) for t in times], "node string, micros bigint")
-    got = {r.micros: (r.connections_last_minute, r.connections_last_hour) for r in ho.rolling_connections(df, chunk_seconds=37).collect()}
+    got = {r.micros: (r.connections_last_minute, r.connections_last_hour) for r in ho.rolling_connections(df).collect()}
     for t in set(times):
         want = tuple(sum(t - w * 1_000_000 <= u <= t for u in times) for w in (60, 3600))
         assert got[t] == want
@@ -227,3 +227,45 @@ def test_node_vector_blocks_sum_to_one(spark):
         if vocab:
             assert sum(v[start:start + len(vocab)]) == 1 and v[start + len(vocab) - 1] == 1
         start += len(vocab) if vocab else 1
+
+
+def test_density_curve_equals_the_direct_sum(spark):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.normal(0, 1, 300), rng.normal(6, 0.5, 100), [2.0] * 20])
+    rows = [(float(v), 3.0) for v in values] + [(None, 3.0), (float("nan"), 3.0)]
+    df = spark.createDataFrame(rows, "v double, flat double")
+    got = sorted((r.point, r.x, r.density) for r in stats.density_curve(df, ["v", "flat"]).collect())
+    assert {r.feature for r in stats.density_curve(df, ["v", "flat"]).select("feature").distinct().collect()} == {"v"}
+    x, d = np.array([g[1] for g in got]), np.array([g[2] for g in got])
+    h = 0.15 * values.std(ddof=1)
+    assert abs(d.sum() * h / 16 - 1) < 1e-9
+    direct = np.exp(-0.5 * ((x[:, None] - values) / h) ** 2).sum(1) / (len(values) * h * np.sqrt(2 * np.pi))
+    assert np.abs(d - direct).max() < 2e-3 * direct.max()
+    assert stats.density_curve(df.limit(0), ["v"]).count() == 0
+
+
+def test_range_scan_spreads_a_hot_key(spark):
+    """Nine tenths of the rows have one key: its ranks are right and come from several ranges."""
+    df = spark.range(20000).select(F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 70)).alias("k"), (F.col("id") * 7919 % 20000).alias("o"), F.lit(1).cast("bigint").alias("one"))
+    parts = df.repartitionByRange(8, "k", "o").filter("k = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts >= 4
+    found = scale_out.range_scan(df, ["k"], ["o"], ["one"]).filter("k = 'hot'").orderBy("o").select("one_run").collect()
+    assert [r[0] for r in found] == list(range(1, 18001))
+
+
+def test_prefix_weights_of_a_hot_edge_with_equal_rows(spark):
+    """Weights n-i+1 by (time, uid); equal rows take neighbouring ranks."""
+    schema = "timestamp double, uid string, src_ip string, dst_ip string, protocol string, service string, dst_port int, " + ", ".join(
+        f"{c} bigint" for c in ("orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts", "orig_ip_bytes", "resp_ip_bytes"))
+    rng = np.random.default_rng(9)
+    rows = [(float(t), f"u{u}", "a", "b", "tcp", "http", None, int(t) * 3 + u, 1, 1, 1, 1, 1) for t, u in rng.integers(0, 40, (600, 2)).tolist()]
+    one = edges.edge_aggregate(spark.createDataFrame(rows, schema).repartition(5), compat="prefix").head()
+    ordered = [r[7] for r in sorted(rows, key=lambda r: (r[0], r[1]))]
+    assert one.total_orig_bytes == sum((len(rows) - i) * b for i, b in enumerate(ordered)) and one.dst_port is None
+    assert one.connection_count == 600 * 603 // 2 and one.total_resp_pkts == 600 * 601 // 2
+
+
+def test_codes_of_values_that_begin_alike(spark):
+    names = [f"same-prefix-{i:05d}" for i in range(3000)]
+    df = spark.createDataFrame([(n,) for n in names + [None]], "c string").repartition(6)
+    assert {r.c: r.code for r in ft.label_codes(df, "c").collect()} == {n: i for i, n in enumerate(names)}

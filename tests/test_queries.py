@@ -10,6 +10,7 @@ CHECKED = [
     "scan_http_tsv", "correlate_uid", "edge_aggregate", "edge_aggregate_prefix", "node_rollup_conn", "node_rollup", "node_features_19",
     "edge_index", "edge_matrix", "feature_drift", "drift_streak", "detect_anomalies", "write_anomaly_report", "snapshot_tumbling",
     "correlate_uid_stream", "monitor_snapshots", "neighbor_attention", "attention_encode",
+    "connections_last_hour", "label_encode", "density_curve", "change_feed", "change_feed_stream",
 ]
 
 

@@ -7,7 +7,8 @@ from hostweave import schemas as S
 from hostweave.operators.connections import connections_from_logs
 from hostweave.plans import pipelines
 from hostweave.sources import logs, snapshots as sn
-from hostweave.operators import detect
+from hostweave.operators import changes, detect
+from hostweave.operators.edges import edge_aggregate
 from hostweave.streaming import arrivals, jobs, monitor
 from test_logs import conn_line
 
@@ -160,3 +161,38 @@ def test_rolling_counts_of_a_stream_in_three_batches(spark, tmp_path):
     for (node, m), (minute, hour) in micros.items():
         t = m / 1e6
         assert minute == sum(t - 60 - 1e-5 <= x <= t + 1e-5 for x in seen[node]) and hour == sum(t - 3600 - 1e-5 <= x <= t + 1e-5 for x in seen[node])
+
+
+def test_change_feed_of_a_stream_equals_the_changes_of_neighbouring_snapshots(spark, tmp_path):
+    """Rows out of order, a new batch at a time, and a batch that is written twice."""
+    schema = "timestamp double, src_ip string, dst_ip string, protocol string, service string, dst_port int, " + ", ".join(
+        f"{c} bigint" for c in ("orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts", "orig_ip_bytes", "resp_ip_bytes"))
+    rng = random.Random(8)
+    data = [(float(1000 + 7 * i + rng.choice((0, 30))), "hot" if i % 3 else f"a{rng.randrange(6)}", f"b{rng.randrange(5)}", "tcp", rng.choice(("http", "http,ssl")),
+             rng.choice((80, None)), *[1] * 6) for i in range(150)]
+    out, state = str(tmp_path / "o"), str(tmp_path / "s")
+    for k in range(3):
+        spark.createDataFrame(data[50 * k:50 * k + 50], schema).write.mode("append").parquet(str(tmp_path / "in"))
+        feed = arrivals.change_feed_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 60, "2 minutes")
+        arrivals.start_changes(feed, out, state).awaitTermination(600)
+    whole = spark.createDataFrame(data, schema)
+    columns = ["snapshot_ts", "kind", "node", *S.EDGE_KEYS]
+    written = spark.read.schema(feed.schema).parquet(out).drop("batch")
+    assert written.count() > 50
+    got = Counter(tuple(r) for r in written.unionByName(arrivals.open_changes(whole, 60, "2 minutes")).select(columns).collect())
+    # the graph as of each snapshot, one after the other
+    rows = whole.withColumn("snapshot_ts", (F.floor(F.col("timestamp") / 60) * 60).cast("bigint"))
+    want, before = Counter(), None
+    nodes_at = lambda e: e.select(F.explode(F.array("src", "dst")).alias("node"), "connection_count").groupBy("node").agg(F.sum("connection_count").alias("n"))
+    for t in sorted(r[0] for r in rows.select("snapshot_ts").distinct().collect())[:8]:
+        now = edge_aggregate(rows.filter(F.col("snapshot_ts") <= t))
+        old = now.limit(0) if before is None else before
+        found = changes.graph_changes(nodes_at(old), nodes_at(now), old, now)
+        want.update((t, r.kind, r.node, *[r[c] for c in S.EDGE_KEYS]) for r in found.collect() if r.kind != "EDGE_CREATE" or r.dst_port is not None)
+        before = now
+    last = max(r[0] for r in want)
+    mine = Counter({r: n for r, n in got.items() if r[0] <= last and (r[1] != "EDGE_CREATE" or r[-1] is not None)})
+    assert mine == want
+    edges = edge_aggregate(rows, ("snapshot_ts",))
+    assert Counter(tuple(r) for r in changes.change_feed(edges).select(columns).collect()) == got
+    assert sum(n for r, n in got.items() if r[1] == "EDGE_CREATE") == edges.select(*S.EDGE_KEYS).distinct().count()
