@@ -147,15 +147,23 @@ def attention_encode(nodes: DataFrame, edges: DataFrame, layers: list[AttentionL
 def mean_neighbor_features(nodes: DataFrame, edges: DataFrame, cols: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """Mean of a host's own features and those of its in-neighbours, over all parallel edges.
 
-    Features stay scalar columns, so the average combines before the shuffle inside generated code.
+    Features stay scalar columns, so the sums combine before the shuffle inside generated code. The
+    features are written once, since neighbours and the host itself read them; a host's own row is
+    added to the sum over its neighbours. A host without features of its own has the neighbours' mean;
+    nulls count as zero beside other values.
     """
-    links = edges.filter(F.col("src") != F.col("dst")).select(*by, "src", "dst")
-    loops = nodes.select(*by, F.col("node").alias("src"), F.col("node").alias("dst"))
+    nodes = cut(nodes.select(*by, "node", *cols), "host-features")
+    links = edges.filter(F.col("src") != F.col("dst"))
     # parallel edges first become one row with a weight
-    weights = links.unionByName(loops).groupBy(*by, "src", "dst").agg(F.count(F.lit(1)).alias("_w"))
-    source = nodes.select(*by, F.col("node").alias("src"), *cols)
-    joined = lookup_join(weights, source, [*by, "src"])
-    total = F.sum("_w")
-    return joined.groupBy(*by, F.col("dst").alias("node")).agg(
-        *[(F.sum(F.col(c) * F.col("_w")) / total).alias(c) for c in cols]
+    weights = links.groupBy(*by, "src", "dst").agg(F.count(F.lit(1)).alias("_w"))
+    joined = lookup_join(weights, nodes.withColumnRenamed("node", "src"), [*by, "src"])
+    around = joined.groupBy(*by, F.col("dst").alias("node")).agg(
+        F.sum("_w").alias("_w"), *[F.sum(F.col(c) * F.col("_w")).alias(f"_s_{c}") for c in cols]
+    )
+    both = nodes.withColumn("_own", F.lit(1)).join(around, [*by, "node"], "full_outer")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    total = zero("_own") + zero("_w")
+    known = lambda c: F.col(c).isNotNull() | F.col(f"_s_{c}").isNotNull()
+    return both.select(
+        *by, "node", *[F.when(known(c), (zero(c) + zero(f"_s_{c}")) / total).alias(c) for c in cols]
     )

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hostweave import schemas as S
 from hostweave.functions import split_services
 from hostweave.operators.scale_out import dense_index, lookup_join, range_scan
+from hostweave.session import cut
 
 _SUM_SOURCES = {
     "total_orig_bytes": "orig_bytes", "total_resp_bytes": "resp_bytes",
@@ -122,8 +123,11 @@ def node_index(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def edge_index(edges: DataFrame, by: tuple[str, ...] = (), index: DataFrame | None = None) -> DataFrame:
-    """Edges as pairs of dense positions. Parallel edges are kept."""
-    index = node_index(edges, by) if index is None else index
+    """Edges as pairs of dense positions. Parallel edges are kept.
+
+    Both ends look up the same table of positions, which is written once when it is not given.
+    """
+    index = cut(node_index(edges, by), "positions") if index is None else index
     src = index.select(*by, F.col("node").alias("src"), F.col("idx").alias("src_idx"))
     dst = index.select(*by, F.col("node").alias("dst"), F.col("idx").alias("dst_idx"))
     out = lookup_join(lookup_join(edges, src, [*by, "src"]), dst, [*by, "dst"])
