@@ -23,14 +23,23 @@ def least_score(languages: int) -> float:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without letters, or without a leading language, go."""
+    """Documents with a language; those without letters, or without a leading language, go.
+
+    A null or empty text has no letters. Each row is judged by its own text, so rows with one id or one
+    text may stay together. Where no row has an id, a text and a language nothing is learned, and the
+    result is empty, as it is for an empty table.
+    """
     prepare(spark)
     model = learn_languages(docs)
     return keep_identified(docs, model, least_score(len(model.languages)))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal normalised texts the one with the smallest id."""
+    """Of documents with equal normalised texts the one with the smallest id.
+
+    A null text counts as empty, so of all null and blank texts one row stays. A row without an id
+    gives way to one with an id; of equal ids one row stays. An empty table gives an empty one.
+    """
     prepare(spark)
     return drop_exact_duplicates(docs)
 
@@ -53,13 +62,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at 95 % of the largest entropy or above, none more than four times, as many words as there are."""
+    """Sources at 95 % of the largest entropy or above, none more than four times, as many words as there are.
+
+    Rows drawn more than once come out as equal rows. An empty table gives an empty one; see
+    ``mix_documents`` for nulls.
+    """
     prepare(spark)
     return mix_documents(docs, target_entropy=0.95, most_repeats=4.0)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2,048 tokens with their place in a sequence; a document drawn twice is packed twice."""
+    """Pieces of at most 2,048 tokens with their place in a sequence; a document drawn twice is packed twice.
+
+    A null text is packed as an empty one, which is its end token alone. An empty table has no pieces.
+    """
     prepare(spark)
     return pack_documents(docs, vocabulary(), CAPACITY)
 
