@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hostweave import schemas as S
 from hostweave.functions import split_services
-from hostweave.operators.scale_out import dense_index, lookup_join, range_scan
+from hostweave.operators.scale_out import dense_index, lookup_join
 from hostweave.session import cut
 
 _SUM_SOURCES = {
@@ -37,8 +42,9 @@ def edge_aggregate(
 
     ``by`` adds grouping columns such as ``snapshot_ts``. All aggregates combine before the
     shuffle, so a hot edge arrives as one row per task. ``compat='prefix'`` weighs connection i of
-    n (in time order) by n-i+1 and counts n(n+3)/2, the sums of the running totals; ranks come from
-    :func:`range_scan`, so the connections of a hot edge are ranked by many tasks.
+    n (in time order) by n-i+1 and counts n(n+3)/2, the sums of the running totals. Connections are dealt by sampled splitters over edge,
+    time and content and ranked where they land; a range gives each edge's count and weighed sums, to
+    which the counts of its earlier ranges are added. So a hot edge is ranked by many tasks.
     """
     keys = [*by, *S.EDGE_KEYS]
     rows = _edge_keys(connections)
@@ -50,24 +56,63 @@ def edge_aggregate(
         )
     if compat != "prefix":
         raise ValueError(f"unknown compat: {compat}")
-    # Equal rows stay one row with their number, since a running number tells only unequal rows apart.
     values = list(_SUM_SOURCES.values())
-    same = rows.select(F.struct(*keys).alias("_e"), "timestamp", "uid", *values).groupBy("_e", "timestamp", "uid", *values)
-    runs = range_scan(same.agg(F.count(F.lit(1)).alias("_m")), ["_e"], ["timestamp", "uid", *values], ["_m"], "edge-ranks")
-    m = F.col("_m")
-    ranks = m * F.col("_m_run") - F.expr("_m * (_m - 1) div 2")  # sum of the ranks of the equal rows
-    sums = runs.groupBy("_e").agg(
-        F.sum(m).alias("_n"),
-        *[F.sum(m * F.col(c)).alias(f"_s_{n}") for n, c in _SUM_SOURCES.items()],
-        *[F.sum(ranks * F.col(c)).alias(f"_w_{n}") for n, c in _SUM_SOURCES.items()],
-        F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"),
+    rows = rows.select(*keys, "timestamp", "uid", *values).repartitionByRange(*keys, "timestamp", "uid", *values)
+    rows = rows.sortWithinPartitions(*keys, "timestamp", "uid", *values).select(*keys, "timestamp", *values)
+    schema = rows.select(*keys).schema.simpleString()[7:-1]
+    pieces = rows.mapInArrow(
+        _ranked_pieces(len(keys), len(values)), f"{schema}, _part int, _seq int, _n bigint, first_seen double, last_seen double, "
+        + ", ".join(f"_{k}_{n} bigint" for k in "sw" for n in _SUM_SOURCES),
+    )
+    before = Window.partitionBy(*keys).orderBy("_part", "_seq").rowsBetween(Window.unboundedPreceding, -1)
+    sums = pieces.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).groupBy(*keys).agg(
+        F.sum("_n").alias("_n"),
+        *[F.sum(f"_s_{n}").alias(f"_s_{n}") for n in _SUM_SOURCES],
+        *[F.sum(F.col(f"_w_{n}") + F.col("_before") * F.col(f"_s_{n}")).alias(f"_w_{n}") for n in _SUM_SOURCES],
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
     )
     return sums.select(
-        *[F.col("_e")[k].alias(k) for k in keys], F.expr("_n * (_n + 3) div 2").alias("connection_count"),
+        *keys, F.expr("_n * (_n + 3) div 2").alias("connection_count"),
         *[((F.col("_n") + 1) * F.col(f"_s_{n}") - F.col(f"_w_{n}")).alias(n) for n in _SUM_SOURCES], "first_seen", "last_seen",
     )
 
 
+def _ranked_pieces(n_keys: int, n_values: int):
+    """One row for each run of equal keys in a batch of ordered rows: its place, its number of rows, first
+    and last time, and for each value the sum and the sum weighed by the rank inside the run."""
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for seq, batch in enumerate(b for b in batches if b.num_rows):
+            columns, rows = batch.columns, batch.num_rows
+            new = np.zeros(rows, bool)
+            new[0] = True
+            for c in columns[:n_keys]:
+                codes = c.dictionary_encode("encode").indices.to_numpy()
+                new[1:] |= codes[1:] != codes[:-1]
+            starts = np.flatnonzero(new)
+            ends = np.append(starts[1:], rows)
+            rank = np.arange(1, rows + 1) - np.repeat(starts, ends - starts)
+            times, known = columns[n_keys], columns[n_keys].is_valid().to_numpy(zero_copy_only=False)
+            # times ascend from null, so the first known one is the least and the last one the greatest
+            first = np.minimum(starts + np.add.reduceat(~known, starts, dtype=np.int64), ends - 1)
+            sums, weighed = [], []
+            for c in columns[n_keys + 1:]:
+                given, v = c.is_valid().to_numpy(zero_copy_only=False), c.fill_null(0).to_numpy()
+                none = ~np.logical_or.reduceat(given, starts)
+                for out, w in ((sums, np.ones(rows, np.int64)), (weighed, rank)):
+                    if np.abs(v.astype(float) * w).sum() >= 2.0 ** 62:
+                        raise OverflowError("edge sums exceed 64 bits")
+                    out.append(pa.array(np.add.reduceat(v * w, starts), pa.int64(), mask=none))
+            place = [pa.array(np.full(len(starts), x, np.int32)) for x in (part, seq)]
+            yield pa.RecordBatch.from_arrays(
+                [c.take(pa.array(starts)) for c in columns[:n_keys]] + place + [pa.array(ends - starts)]
+                + [times.take(pa.array(first)), times.take(pa.array(ends - 1)), *sums, *weighed],
+                [f"c{i}" for i in range(n_keys + 5 + 2 * n_values)],
+            )
+
+    return pieces
+
+
 def edge_slots() -> list[Column]:
     """The 23 conditions of the edge one-hot vector, in order, over a flat connection."""
     first = S.EDGE_PROTOCOL_SLOTS[0]
