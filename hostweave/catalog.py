@@ -125,9 +125,10 @@ def _lines(spark, d, kind):
 
 
 def _log_folder(spark, lines, kind):
-    """Lines as text files of a log folder in the shared work folder."""
+    """Lines as packed text files of a log folder in the shared work folder. A packed file is read by one
+    task, so its lines are bounded."""
     path = work_path(spark, f"{kind}-logs")
-    lines.select("value").write.text(path)
+    lines.select("value").write.option("maxRecordsPerFile", 1_000_000).text(path, compression="gzip")
     return path
 
 

@@ -17,6 +17,13 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_log_folders_are_packed(spark):
+    lines = spark.range(50).select(F.concat(F.lit("line "), "id").alias("value"))
+    folder = catalog._log_folder(spark, lines, "conn")
+    assert all(f.endswith(".gz") for f in os.listdir(folder.removeprefix("file:")) if f.startswith("part-"))
+    assert sorted(r.value for r in spark.read.text(folder).collect()) == sorted(f"line {i}" for i in range(50))
+
+
 def test_prefix_edges_move_their_connections_once(spark):
     rng = np.random.default_rng(4)
     rows = [(None if i % 9 == 0 else float(t), f"u{u}", f"h{s}", "t", "tcp", "http,ssl", None if s else 80, None if s == 2 else int(b), 1, 2, 3, 4, 5)
