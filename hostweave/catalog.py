@@ -55,6 +55,11 @@ def conns(spark, d):
     return fl.connections(spark, d)
 
 
+def stored_conns(spark, d):
+    """Connections as a written table with the columns hosts and edges are made of: each of their passes reads them."""
+    return cut(conns(spark, d).select(*S.GRAPH_COLUMNS), "connections")
+
+
 def edges(spark, d, by=()):
     return ed.edge_aggregate(conns(spark, d), by)
 
@@ -180,8 +185,9 @@ def incomplete_lines(spark, d):
     return out.groupBy("kind", "value", "fields").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _encoded_nodes(spark, d, by=SNAP):
-    return ft.node_one_hot(ho.node_rollup_conn(conns(spark, d), by), by)
+def _encoded_nodes(spark, d, by=SNAP, connections=None):
+    connections = stored_conns(spark, d) if connections is None else connections
+    return ft.node_one_hot(ho.node_rollup_conn(connections, by), by)
 
 
 def _exported(spark, d):
@@ -238,7 +244,7 @@ def unprocessed_snapshots(spark, d):
 @query("write_snapshot")
 def write_snapshot(spark, d):
     path = work_path(spark, "snapshots")
-    nodes, e = pipelines.snapshot_tables(conns(spark, d))
+    nodes, e = pipelines.snapshot_tables(stored_conns(spark, d))
     sn.write_snapshot(nodes, e, path)
     nodes, e = sn.read_snapshots(spark, path)
     n = nodes.groupBy("snapshot_ts").agg(F.count(F.lit(1)).alias("nodes"), F.sum("top_proto_1").alias("proto_slots"))
@@ -249,13 +255,14 @@ def write_snapshot(spark, d):
 @query("render_dot")
 def render_dot(spark, d):
     names = ["most_freq_conn_state", "top_proto_1", "service_1", "service_2", "service_3", "top_user_agent_1"]
-    nodes = sn.encoded_node_columns(_encoded_nodes(spark, d, ()))
-    return sn.render_dot(nodes, edges(spark, d), names).select(F.col("part").cast("bigint").alias("part"), "value")
+    c = stored_conns(spark, d)
+    nodes = sn.encoded_node_columns(_encoded_nodes(spark, d, (), c))
+    return sn.render_dot(nodes, ed.edge_aggregate(c), names).select(F.col("part").cast("bigint").alias("part"), "value")
 
 
 @query("node_report_full")
 def node_report_full(spark, d):
-    c = conns(spark, d)
+    c = stored_conns(spark, d)
     degrees = ed.node_degrees(ed.edge_aggregate(c))
     return tidy(ho.node_report_full(ho.node_rollup_conn(c, degrees=degrees)), 2)
 
@@ -500,7 +507,7 @@ _host_query("node_mode", ho.node_mode)
 _host_query("activity_score", lambda c: ho.node_activity_score(c, SNAP))
 _host_query("node_history", lambda c: history.node_history(c).withColumn("protocol_counts", F.array_join(F.transform("protocol_counts", lambda x: F.concat(x["protocol"], F.lit("="), x["n"].cast("string"))), " ")))
 _host_query("node_history_unswapped", lambda c: history.node_history(c, compat="unswapped").drop("protocol_counts"))
-_host_query("node_rollup_conn", lambda c: ho.node_rollup_conn(c, SNAP))
+query("node_rollup_conn")(lambda spark, d: tidy(ho.node_rollup_conn(stored_conns(spark, d), SNAP)))
 _host_query("first_last_seen", ho.first_last_seen)
 _host_query("top_protocols", lambda c: ho.top_categories(c, "protocol"))
 _host_query("top_user_agents", lambda c: ho.top_categories(c, "user_agent"))
@@ -1071,7 +1078,7 @@ def snapshot_cumulative(spark, d):
 @query("snapshot_cumulative_hosts")
 def snapshot_cumulative_hosts(spark, d):
     """All-history hosts, one row for each change, with the columns of node_rollup_conn."""
-    return tidy(history.snapshot_cumulative_hosts(conns(spark, d)))
+    return tidy(history.snapshot_cumulative_hosts(stored_conns(spark, d)))
 
 
 @query("snapshot_at")

@@ -62,6 +62,9 @@ CONNECTION_COLUMNS = [
     "origin", "http_status_code", "username",
 ]
 
+# what hosts and edges are made of, with the snapshot
+GRAPH_COLUMNS = ["snapshot_ts"] + [c for c in CONNECTION_COLUMNS if c not in ("history", "http_method", "host", "uri", "referrer", "origin", "username")]
+
 # --- Fixed values: host encoder vocabularies, in slot order --------------------------------
 PROTOCOLS = ["tcp", "udp", "icmp", "other"]
 CONN_STATES = [

@@ -59,7 +59,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared work folder and read it back: later steps start from it, and a
     lost executor costs a re-read, not a re-computation. For tables with several readers."""
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

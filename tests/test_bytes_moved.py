@@ -24,6 +24,11 @@ def test_log_folders_are_packed(spark):
     assert sorted(r.value for r in spark.read.text(folder).collect()) == sorted(f"line {i}" for i in range(50))
 
 
+@pytest.mark.parametrize("name", ["node_rollup_conn", "node_report_full", "render_dot", "snapshot_cumulative_hosts"])
+def test_connections_are_made_once(spark, name):
+    assert "l_orderkey" not in plan(entry.queries()[name](spark, SF))  # all passes read the written connections
+
+
 def test_prefix_edges_move_their_connections_once(spark):
     rng = np.random.default_rng(4)
     rows = [(None if i % 9 == 0 else float(t), f"u{u}", f"h{s}", "t", "tcp", "http,ssl", None if s else 80, None if s == 2 else int(b), 1, 2, 3, 4, 5)
