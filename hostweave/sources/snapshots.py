@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hostweave import schemas as S
 from hostweave.functions import escape_dot, hot_index, infer_attr_type, unescape_dot
+from hostweave.session import cut
 
 _QUOTED = r'"((?:[^"\\]|\\.)*)"'
 NODE_LINE = r"^\s*" + _QUOTED + r"\s*\[(.*)\];\s*$"
@@ -198,6 +199,7 @@ def write_snapshot(nodes: DataFrame, edges: DataFrame, path: str, mode: str = "a
     ``overwrite`` replaces the snapshots that are written and leaves all others alone.
     """
     root = path.rstrip("/")
+    edges = cut(edges, "edges")  # read twice: the table and its times
     for name, df in (("nodes", nodes), ("edges", edges)):
         write_partitions(df, f"{root}/{name}", mode)
     mark_finished(edges.select("snapshot_ts").distinct(), root)

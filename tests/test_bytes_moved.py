@@ -29,6 +29,21 @@ def test_connections_are_made_once(spark, name):
     assert "l_orderkey" not in plan(entry.queries()[name](spark, SF))  # all passes read the written connections
 
 
+def test_snapshot_times_come_from_the_written_edges(spark, tmp_path):
+    from hostweave.sources import snapshots as sn
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "snapshot_ts bigint, src string").coalesce(1)
+    sn.write_snapshot(rows, rows.mapInArrow(seen, rows.schema), str(tmp_path))
+    assert calls.value == 2 and sorted(r[0] for r in spark.read.parquet(f"{tmp_path}/finished").collect()) == [1, 2]
+
+
 def test_prefix_edges_move_their_connections_once(spark):
     rng = np.random.default_rng(4)
     rows = [(None if i % 9 == 0 else float(t), f"u{u}", f"h{s}", "t", "tcp", "http,ssl", None if s else 80, None if s == 2 else int(b), 1, 2, 3, 4, 5)
