@@ -8,6 +8,11 @@ so a host with a large share of all rows is spread over all tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hostweave import schemas as S
@@ -16,6 +21,7 @@ from hostweave.functions import (
     privileged_port_strict, split_services, status_number, user_agent_category,
 )
 from hostweave.operators.scale_out import range_scan
+from hostweave.session import cut
 
 
 def host_roles(connections: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -323,32 +329,86 @@ def node_report_full(rollup: DataFrame, history: DataFrame | None = None, by: tu
 # --- time ------------------------------------------------------------------------------------
 
 
+_MINUTE, _HOUR = 60_000_000, 3_600_000_000
+
+
+def _counts_in_range():
+    """Rolling counts over ordered (node, micros, n) as far as one range knows; it holds one hour of a host."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        node, times, counts = None, np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column(0)
+            t, n = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            codes = names.dictionary_encode().indices.to_numpy()
+            new = np.append(True, codes[1:] != codes[:-1])
+            if names[0].as_py() == node:  # what is held of the host goes before the batch
+                new[0] = False
+            else:
+                times, counts = times[:0], counts[:0]
+            held = len(times)
+            all_t, all_n = np.append(times, t), np.append(counts, n)
+            new = np.append(np.zeros(held, bool), new)
+            # one axis for all hosts: gaps end at an hour and a bit, so rows within a window stay as they are
+            gaps = np.append(0, np.minimum(np.diff(all_t), _HOUR + 1))
+            axis = np.cumsum(np.where(new, _HOUR + 1, gaps))
+            upto = np.append(0, np.cumsum(all_n))
+            within = lambda w: (upto[1:] - upto[np.searchsorted(axis, axis - w)])[held:]
+            yield pa.RecordBatch.from_arrays(
+                [names, batch.column(1), batch.column(2), pa.array(within(_MINUTE)), pa.array(within(_HOUR)), pa.array(np.full(len(t), part, np.int32))],
+                ["node", "micros", "n", "minute", "hour", "part"],
+            )
+            begin = max(np.flatnonzero(new)[-1] if new.any() else 0, int(np.searchsorted(axis, axis[-1] - _HOUR)))
+            node, times, counts = names[-1].as_py(), all_t[begin:], all_n[begin:]
+
+    return count
+
+
 def rolling_connections(events: DataFrame, node: str = "node", micros: str = "micros") -> DataFrame:
     """Connections of a host in the last minute and hour, at each time it is active.
 
-    Both ends of the window count. A rolling count is arrivals minus departures, a departure being
-    an arrival one window later, so it is a difference of running sums. Those run over sampled
-    ranges, which split a host of any size however its connections lie in time; a window sorted per
-    host, or chunks of a fixed time, would not. Rows without a host are left out.
+    Both ends of the window count. Sampled splitters over (host, time) deal the times into ranges, which
+    split a host of any size, and each range counts on its own. Only the times of a host's later ranges
+    that lie within an hour of their range's start look back beyond it; those, with the hour before
+    them, are counted by :func:`_counts_by_sums`. Rows without a host are left out.
+    """
+    arrivals = events.groupBy(F.col(node).alias("node"), F.col(micros).cast("bigint").alias("micros")).agg(F.count(F.lit(1)).alias("n")).filter("node is not null")
+    names = ["node", "micros", F.col("minute").alias("connections_last_minute"), F.col("hour").alias("connections_last_hour")]
+    timeless = arrivals.filter("micros is null").select("node", "micros", F.lit(0).cast("bigint").alias("minute"), F.lit(0).cast("bigint").alias("hour"))
+    ranged = arrivals.filter("micros is not null").repartitionByRange("node", "micros").sortWithinPartitions("node", "micros")
+    ranged = cut(ranged.mapInArrow(_counts_in_range(), "node string, micros bigint, n bigint, minute bigint, hour bigint, part int"), "rolling-counts")
+    along = Window.partitionBy("node").orderBy("part")
+    starts = ranged.groupBy("node", "part").agg(F.min("micros").alias("start"))
+    starts = starts.select("node", "part", F.when(F.lag("part").over(along).isNotNull(), F.col("start")).alias("start"), F.lead("start").over(along).alias("next"))
+    starts = starts.filter("start is not null or next is not null")  # at most two hosts of a range have another
+    known = ranged.join(F.broadcast(starts), ["node", "part"], "left")
+    open_ = F.coalesce(F.col("micros") <= F.col("start") + _HOUR, F.lit(False))
+    near = F.coalesce(F.col("micros") >= F.col("next") - _HOUR, F.lit(False))
+    again = _counts_by_sums(known.filter(open_ | near).select("node", "micros", "n", open_.alias("open")))
+    return known.filter(~open_).select(*names).unionByName(again.select(*names)).unionByName(timeless.select(*names))
+
+
+def _counts_by_sums(arrivals: DataFrame) -> DataFrame:
+    """Rolling counts at the ``open`` ones of (node, micros, n).
+
+    A rolling count is arrivals minus departures, a departure being an arrival one window later, so it
+    is a difference of running sums. Those run over sampled ranges, however many of them an hour fills.
     """
-    second = 1_000_000
-    arrivals = events.groupBy(F.col(node).alias("node"), F.col(micros).alias("micros")).agg(F.count(F.lit(1)).alias("n"))
     # departures lie one microsecond behind the closed end of the window
-    shifts = [(0, 1, 1), (60 * second + 1, -1, 0), (3600 * second + 1, 0, -1)]
+    shifts = [(0, 1, 1), (_MINUTE + 1, -1, 0), (_HOUR + 1, 0, -1)]
     moves = arrivals.select(
-        "node", "micros", "n",
+        "node", "micros", "n", "open",
         F.explode_outer(F.array(*[
             F.struct(F.lit(s).cast("bigint").alias("shift"), F.lit(m).alias("m"), F.lit(h).alias("h")) for s, m, h in shifts
         ])).alias("s"),
     ).select(
-        "node", (F.col("micros") + F.col("s.shift")).alias("at"), (F.col("s.shift") == 0).alias("arrival"),
+        "node", (F.col("micros") + F.col("s.shift")).alias("at"), (F.col("open") & (F.col("s.shift") == 0)).alias("arrival"),
         (F.col("n") * F.col("s.m")).alias("minute"), (F.col("n") * F.col("s.h")).alias("hour"),
     )
-    runs = range_scan(moves.filter("node is not null"), ["node"], ["at"], ["minute", "hour"], "moves")
-    return runs.filter("arrival").select(
-        "node", F.col("at").alias("micros"), F.col("minute_run").alias("connections_last_minute"),
-        F.col("hour_run").alias("connections_last_hour"),
-    )
+    runs = range_scan(moves, ["node"], ["at"], ["minute", "hour"], "moves")
+    return runs.filter("arrival").select("node", F.col("at").alias("micros"), F.col("minute_run").alias("minute"), F.col("hour_run").alias("hour"))
 
 
 def hourly_consistency(events: DataFrame, node: str = "node", micros: str = "micros") -> DataFrame:

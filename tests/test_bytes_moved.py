@@ -57,3 +57,26 @@ def test_prefix_edges_move_their_connections_once(spark):
         want = None if e.src == "h2" else sum((n - i) * r[7] for i, r in enumerate(mine))
         times = [r[0] for r in mine if r[0] is not None]
         assert (e.connection_count, e.total_orig_bytes, e.first_seen, e.last_seen) == (n * (n + 3) // 2, want, min(times), max(times))
+
+
+def test_rolling_counts_over_cut_hosts(spark):
+    """Two hosts over many ranges, dense and sparse in time, beside small ones; only what looks back is counted by sums."""
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rng = np.random.default_rng(5)
+        times = {"dense": rng.integers(0, 900, 700), "sparse": rng.integers(0, 2_000_000, 700)} | {f"s{i}": rng.integers(0, 5000, 3) for i in range(40)}
+        rows = [(h, int(t) * 1_000_000) for h, ts in times.items() for t in ts] + [("dense", None), (None, 5)]
+        got = {(r.node, r.micros): (r.connections_last_minute, r.connections_last_hour) for r in ho.rolling_connections(spark.createDataFrame(rows, "node string, micros bigint").repartition(3)).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    want = {(h, int(t) * 1_000_000): tuple(int(((ts >= t - w) & (ts <= t)).sum()) for w in (60, 3600)) for h, ts in times.items() for t in ts} | {("dense", None): (0, 0)}
+    assert got == want
+
+
+def test_rolling_counts_do_not_sum_what_one_range_knows(spark, monkeypatch):
+    seen = []
+    sums = ho._counts_by_sums
+    monkeypatch.setattr(ho, "_counts_by_sums", lambda a: seen.append(a.count()) or sums(a), raising=False)
+    df = spark.range(2000).select(F.concat(F.lit("h"), F.col("id") % 4).alias("node"), (F.col("id") * 10_000_000_000).alias("micros"))
+    assert ho.rolling_connections(df).count() == 2000 and len(seen) == 1 and seen[0] < 200
