@@ -417,11 +417,13 @@ def zscore(spark, d):
 def correlate_uid(spark, d):
     """Every http record comes twice, the second later with another host; some ssl rows have no
     conn row."""
-    f = fl.flows(spark, d)
+    f = cut(fl.flows(spark, d).drop("snapshot_ts"), "flows")  # five tables are made of it
     parts = cx.flow_log_fields(f)
     later = parts["http"].withColumn("ts", (F.col("ts").cast("double") + 1).cast("string")).withColumn("host", F.concat(F.lit("later."), F.col("host")))
     orphan = parts["ssl"].withColumn("uid", F.concat(F.col("uid"), F.lit("-orphan")))
-    merged = cx.correlate_uid(parts["conn"], parts["ssl"].unionByName(orphan), later.unionByName(parts["http"]))
+    # the fields of the result; a flow's uid settles all others but the address, so no tie falls otherwise than by whole rows
+    shown = {"conn": ["id_orig_h", "service"], "ssl": ["cipher"], "http": ["ts", "host", "uri"]}
+    merged = cx.correlate_uid(parts["conn"], parts["ssl"].unionByName(orphan), later.unionByName(parts["http"]), shown)
     return tidy(merged.select(
         "uid", F.col("conn.id_orig_h").alias("src_ip"), F.col("conn.service").alias("service"), F.col("ssl.cipher").alias("ssl_cipher"),
         F.col("http.host").alias("host"), F.col("http.uri").alias("uri"), F.col("http.ts").try_cast("double").alias("http_ts"),

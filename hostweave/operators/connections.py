@@ -10,11 +10,13 @@ from hostweave.functions import (
 )
 
 
-def tag_parts(conn: DataFrame, ssl: DataFrame, http: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The three logs as one table: uid, kind, order and one struct column for each kind."""
+def tag_parts(
+    conn: DataFrame, ssl: DataFrame, http: DataFrame, keep: tuple[str, ...] = (), fields: dict[str, list[str]] = S.LOG_FIELDS,
+) -> DataFrame:
+    """The three logs as one table: uid, kind, order and one struct column of ``fields`` for each kind."""
     parts = None
     for kind, df in (("conn", conn), ("ssl", ssl), ("http", http)):
-        names = S.LOG_FIELDS[kind]
+        names = fields[kind]
         # The struct starts with the time, so its maximum is the last row; rows of the same time
         # are told apart by their content, which makes the winner independent of the row order.
         order = F.struct(F.col("ts").try_cast("double").alias("at"), *[F.col(n) for n in names])
@@ -30,13 +32,15 @@ def last_parts() -> list[Column]:
     return [F.max(k).alias(k) for k in S.LOG_FIELDS]
 
 
-def correlate_uid(conn: DataFrame, ssl: DataFrame, http: DataFrame) -> DataFrame:
+def correlate_uid(conn: DataFrame, ssl: DataFrame, http: DataFrame, fields: dict[str, list[str]] = S.LOG_FIELDS) -> DataFrame:
     """Merge the rows of one uid; the last row of each kind wins; uids without a conn row go.
 
     One shuffle of the union on ``uid``. The maximum is taken before the shuffle too, so a uid with
-    very many rows (a long keep-alive connection) arrives as one row per task.
+    very many rows (a long keep-alive connection) arrives as one row per task. Spark cannot drop a
+    struct's unused fields before its maximum: ``fields`` names those to move for each kind, in the
+    order that tells rows of the same time apart.
     """
-    return tag_parts(conn, ssl, http).groupBy("uid").agg(*last_parts()).filter(F.col("conn").isNotNull())
+    return tag_parts(conn, ssl, http, fields=fields).groupBy("uid").agg(*last_parts()).filter(F.col("conn").isNotNull())
 
 
 def flatten_connection(merged: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

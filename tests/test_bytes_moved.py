@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from hostweave import catalog
-from hostweave.operators import edges as ed, hosts as ho
+from hostweave import catalog, schemas as S
+from hostweave.operators import connections as cx, edges as ed, hosts as ho
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,3 +80,20 @@ def test_rolling_counts_do_not_sum_what_one_range_knows(spark, monkeypatch):
     monkeypatch.setattr(ho, "_counts_by_sums", lambda a: seen.append(a.count()) or sums(a), raising=False)
     df = spark.range(2000).select(F.concat(F.lit("h"), F.col("id") % 4).alias("node"), (F.col("id") * 10_000_000_000).alias("micros"))
     assert ho.rolling_connections(df).count() == 2000 and len(seen) == 1 and seen[0] < 200
+
+
+def test_correlated_rows_move_only_what_is_shown(spark):
+    found = plan(entry.queries()["correlate_uid"](spark, SF))
+    assert "l_orderkey" not in found and "info_msg" not in found and "missed_bytes" not in found
+
+
+def test_merge_of_some_fields(spark):
+    rows = lambda names, *values: spark.createDataFrame([v + ("-",) * (len(names) - len(v)) for v in values], ", ".join(f"{n} string" for n in names))
+    conn = rows(S.CONN_FIELDS, ("5", "A", "h1"), ("05", "A", "h2"), ("4", "A", "h9"), ("x", "B", None), (None, "B", ""), ("1", None, "h"), ("1", "", "h"))
+    ssl = rows(S.SSL_FIELDS, ("1", "A"), ("1", "lonely"))
+    http = rows(S.HTTP_FIELDS, ("1", "A", "late"), ("1", "A", "early"))
+    shown = {"conn": ["id_orig_h"], "ssl": ["cipher"], "http": ["ts", "id_orig_h"]}
+    got = {r.uid: r for r in cx.correlate_uid(conn, ssl, http, shown).collect()}
+    assert got.keys() == {"A", "B"} and got["A"].conn.asDict() == {"at": 5.0, "id_orig_h": "h2"} and got["B"].conn.id_orig_h == ""
+    assert got["A"].http.id_orig_h == "late" and got["A"].ssl.cipher == "-" and got["B"].ssl is None and got["B"].http is None
+    assert cx.correlate_uid(conn, ssl, http).filter("uid = 'A'").head().conn.ts == "5"
