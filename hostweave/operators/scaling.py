@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hostweave.session import cut
@@ -60,32 +65,71 @@ def scale(
     return apply_scaler(df, cols, state, on_constant), state
 
 
+def _exits(width: int):
+    """Adds to the ordered times of a range, where a chain of fits can enter it, the time from which it goes on beyond."""
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = np.concatenate([np.empty(0, np.int64), *[b.column(0).to_numpy() for b in batches]])
+        if not len(t):
+            return
+        hop = np.searchsorted(t, t + width)
+        hop = np.where(hop < len(t), hop, np.arange(len(t)))
+        while not np.array_equal(further := hop[hop], hop):
+            hop = further
+        entries = int(np.searchsorted(t, t[0] + width)) + 1  # a fit before the range is over by then
+        part, many = TaskContext.get().partitionId(), 100_000
+        for i in range(0, len(t), many):
+            n = len(t[i:i + many])
+            onward = pa.array(t[hop[i:i + many]] + width, mask=np.arange(i, i + n) >= entries)
+            yield pa.RecordBatch.from_arrays([pa.array(t[i:i + many]), pa.array(np.full(n, part, np.int32)), onward], ["t", "part", "onward"])
+
+    return follow
+
+
+def _fitted(width: int):
+    """The scaler of each time of a range, from its entry and the last fit before it."""
+    def fit(rows: pa.Table) -> pa.Table:
+        t = np.sort(rows["t"].to_numpy())
+        entry, last = rows["entry"][0].as_py(), rows["last"][0].as_py()
+        hop = np.searchsorted(t, t + width).tolist()
+        fits, i = [], len(t) if entry is None else int(np.searchsorted(t, entry))
+        while i < len(t):
+            fits.append(i)
+            i = hop[i]
+        used = np.append(t[np.array(fits, int)], 0 if last is None else last)  # at -1: the last before
+        used = used[np.searchsorted(fits, np.arange(len(t)), "right") - 1]
+        return pa.table({"t": t, "fit": used})
+
+    return fit
+
+
 def scale_policy(snapshots: DataFrame, max_age: int = 3600, fit_always: bool = False, ts: str = "snapshot_ts") -> DataFrame:
     """For each snapshot the time of the scaler to use: ``fit_ts`` and whether it is fitted here.
 
     A scaler is fitted at the first snapshot, and again at the first one more than ``max_age``
-    seconds after the last fit (times are whole seconds). Time is cut into intervals that hold at
-    most one fit; inside an interval every time finds the fit that would follow it, and the fits that
-    really happen are followed from the first one by doubling: each round joins twice as many steps.
-    Only one row per interval is ever put in order as a whole.
+    seconds after the last fit (times are whole seconds). Sampled splitters deal the times into
+    ranges. A chain of fits enters a range less than ``max_age`` + 1 seconds after its first time, or
+    at the next time behind these; each range follows all its entries on its own. The entries that
+    the fits really take are followed from the first one by doubling, and each range then finds its
+    fits from its entry.
     """
     times = snapshots.select(F.col(ts).cast("bigint").alias("t")).distinct()
     if fit_always:
         return times.select(F.col("t").alias(ts), F.col("t").alias("fit_ts"), F.lit(True).alias("refit"))
     width = max_age + 1
-    times = cut(times.withColumn("b", F.floor(F.col("t") / width).cast("bigint")), "times")
-    # the first time at or after t + width: in the interval after t's, or the first of a later one
-    asked = times.select((F.col("b") + 1).alias("b"), (F.col("t") + width).alias("at"), F.col("t").alias("asker"), F.lit(None).cast("bigint").alias("t"))
-    given = times.select("b", F.col("t").alias("at"), F.lit(None).cast("bigint").alias("asker"), "t")
-    here = Window.partitionBy("b").orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    ranged = times.filter("t is not null").repartitionByRange("t").sortWithinPartitions("t")
+    ranged = cut(ranged.mapInArrow(_exits(width), "t bigint, part int, onward bigint"), "times")
+    entries = ranged.filter("onward is not null")
+    # from each entry to the entry it leads to: in the first range that ends at or after the time to go on from
+    ends = ranged.groupBy("part").agg(F.max("t").alias("end"))
+    along = Window.orderBy("part")  # one row per range
+    ends = F.broadcast(cut(ends.select(F.col("part").alias("to"), "end", F.lag("end").over(along).alias("begin")), "ends"))
+    asked = entries.join(ends, (F.col("onward") > F.col("begin")) & (F.col("onward") <= F.col("end")))
+    asked = asked.select(F.col("to").alias("part"), F.col("onward").alias("at"), F.col("t").alias("asker"), F.lit(None).cast("bigint").alias("t"))
+    given = entries.select("part", F.col("t").alias("at"), F.lit(None).cast("bigint").alias("asker"), "t")
+    here = Window.partitionBy("part").orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
     found = given.unionByName(asked).withColumn("next", F.min("t").over(here)).filter("asker is not null")
-    firsts = times.groupBy("b").agg(F.min("t").alias("first")).unionByName(found.filter("next is null").select("b", F.lit(None).cast("bigint").alias("first")).distinct())
-    firsts = firsts.groupBy("b").agg(F.min("first").alias("first"))
-    later = Window.orderBy("b").rowsBetween(1, Window.unboundedFollowing)  # one row per interval
-    firsts = firsts.select("b", F.min("first").over(later).alias("later"))
-    jumps = found.join(firsts, "b", "left").select(F.col("asker").alias("t"), F.coalesce("next", "later").alias("next")).filter("next is not null")
-    jumps = cut(jumps, "fit-jumps")
-    fits = cut(times.agg(F.min("t").alias("t")).filter("t is not null"), "fits")
+    jumps = cut(found.select(F.col("asker").alias("t"), "next"), "fit-jumps")
+    fits = cut(entries.agg(F.min("t").alias("t")).filter("t is not null"), "fits")
     known = fits.count()
     while known:
         fits = cut(fits.unionByName(fits.join(jumps, "t").select(F.col("next").alias("t"))).distinct(), "fits")
@@ -94,9 +138,9 @@ def scale_policy(snapshots: DataFrame, max_age: int = 3600, fit_always: bool = F
             break
         onward = jumps.select(F.col("t").alias("next"), F.col("next").alias("then"))
         jumps = cut(jumps.join(onward, "next").select("t", F.col("then").alias("next")), "fit-jumps")
-    fitted = fits.select(F.floor(F.col("t") / width).cast("bigint").alias("b"), F.col("t").alias("fit"))
-    spans = times.select("b").distinct().join(fitted, "b", "left")
-    earlier = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # one row per interval
-    spans = spans.select("b", "fit", F.max("fit").over(earlier).alias("last"))
-    out = times.join(spans, "b").select(F.col("t").alias(ts), F.when(F.col("fit") <= F.col("t"), F.col("fit")).otherwise(F.col("last")).alias("fit_ts"))
-    return out.withColumn("refit", F.col(ts) == F.col("fit_ts"))
+    taken = entries.join(fits, "t").select(F.col("part").alias("to"), F.col("t").alias("entry"), (F.col("onward") - width).alias("left"))
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    spans = ends.select(F.col("to").alias("part")).join(taken.withColumnRenamed("to", "part"), "part", "left")
+    spans = spans.select("part", "entry", F.max("left").over(earlier).alias("last"))
+    out = ranged.select("t", "part").join(F.broadcast(spans), "part").groupBy("part").applyInArrow(_fitted(width), "t bigint, fit bigint")
+    return out.select(F.col("t").alias(ts), F.col("fit").alias("fit_ts"), (F.col("t") == F.col("fit")).alias("refit"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hostweave import schemas as S
-from hostweave.operators import drift, history, hosts as ho
+from hostweave.operators import drift, history, hosts as ho, scaling
 from hostweave.operators.moments import Moments, SlidingMoments, no_moments
 from hostweave.operators.scale_out import range_scan
 from hostweave.plans import pipelines
@@ -194,3 +194,25 @@ def test_history_of_a_busy_host(spark, uncoalesced):
             assert {k: pytest.approx(v) if isinstance(v, float) else v for k, v in r.asDict().items() if k != "node"} == {k: mine[k] for k in r.asDict() if k != "node"}
     as_of = pipelines.snapshot_at(history.snapshot_cumulative_hosts(c), times[10])
     assert as_of.count() == ho.node_rollup_conn(c.filter(F.col("snapshot_ts") <= times[10])).count()
+
+
+@pytest.mark.parametrize("age", [3, 100_000])
+def test_fits_are_followed_through_ranges(spark, uncoalesced, age):
+    """Times over many ranges: dense, sparse, and gaps in which whole ranges lie within one fit's time."""
+    rng = np.random.default_rng(age)
+    times = sorted({*range(-60, 40), *map(int, rng.integers(100, 3000, 90)), *map(int, rng.integers(10**6, 10**9, 40))})
+    df = spark.createDataFrame([(t,) for t in times + times[::3]] + [(None,)], "snapshot_ts bigint").repartition(3)
+    want, fit = [], None
+    for t in times:
+        fit = t if fit is None or t - fit > age else fit
+        want.append((t, fit, t == fit))
+    assert sorted(tuple(r) for r in scaling.scale_policy(df, age).collect()) == want
+    assert scaling.scale_policy(df.filter("snapshot_ts is null"), age).collect() == []
+
+
+def test_fits_join_few_times_with_each_other(spark, uncoalesced, monkeypatch):
+    """Only times at which a chain of fits can enter a range are joined, not all times in each round."""
+    seen, write = {}, scaling.cut
+    monkeypatch.setattr(scaling, "cut", lambda df, name: seen.setdefault(name, write(df, name)) if name == "fit-jumps" and name not in seen else write(df, name))
+    assert scaling.scale_policy(spark.range(20_000).select(F.col("id").alias("snapshot_ts")), 10).count() == 20_000
+    assert 0 < seen["fit-jumps"].count() < 1000
