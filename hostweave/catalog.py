@@ -939,10 +939,12 @@ def _event_connections(df):
 
 
 def _to_table(spark, stream, name, partition=None):
+    """What a stream writes until all input at hand is processed, however long that takes: rows of a stream
+    that still runs are no result. A stream that fails raises its error."""
     out, state = work_path(spark, name), work_path(spark, f"{name}-state")
     writer = stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", state)
     q = writer.trigger(availableNow=True).start()
-    q.awaitTermination(1800)
+    q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 

@@ -1,9 +1,15 @@
 import random
 from collections import Counter, defaultdict
+from datetime import datetime, timedelta
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from hostweave import schemas as S
+from hostweave import catalog, schemas as S
 from hostweave.operators.connections import connections_from_logs
 from hostweave.plans import pipelines
 from hostweave.sources import logs, snapshots as sn
@@ -163,6 +169,29 @@ def test_rolling_counts_of_a_stream_in_three_batches(spark, tmp_path):
         assert minute == sum(t - 60 - 1e-5 <= x <= t + 1e-5 for x in seen[node]) and hour == sum(t - 3600 - 1e-5 <= x <= t + 1e-5 for x in seen[node])
 
 
+def _events(first, last):
+    """Events an hour apart, of three users and two kinds in turn."""
+    ids = range(first, last)
+    start = datetime(2024, 1, 1)
+    return pa.table({
+        "event_id": list(ids), "ts": pa.array([start + timedelta(hours=i) for i in ids], pa.timestamp("us")), "user_id": [i % 3 for i in ids],
+        "event_type": ["purchase" if i % 2 else "view" for i in ids], "value": [1.5] * len(ids), "props": ["{}"] * len(ids),
+    })
+
+
+def test_a_stream_that_outlasts_a_time_limit_is_no_result(spark, tmp_path, monkeypatch):
+    """Waiting ends with the stream, not with a limit; any limit given is over at once here. A failed stream raises."""
+    real = StreamingQuery.awaitTermination
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda self, timeout=None: real(self, timeout and 0.001))
+    d = str(tmp_path)
+    pq.write_table(_events(0, 200), f"{d}/events.parquet")
+    got = catalog.QUERIES["rolling_counts_stream"](spark, d).collect()
+    assert len(got) == len({(r.node, r.micros) for r in got}) == 400
+    with pytest.raises(StreamingQueryException, match="no such event"):
+        bad = catalog._stream(spark, d, "events").select(F.when(F.col("event_id") == 7, F.raise_error(F.lit("no such event"))).otherwise("x").alias("x"))
+        catalog._to_table(spark, bad, "bad")
+
+
 def test_change_feed_of_a_stream_equals_the_changes_of_neighbouring_snapshots(spark, tmp_path):
     """Rows out of order, a new batch at a time, and a batch that is written twice."""
     schema = "timestamp double, src_ip string, dst_ip string, protocol string, service string, dst_port int, " + ", ".join(
