@@ -11,7 +11,7 @@ from hostweave.operators import (
     topology as tp,
 )
 from hostweave.plans import pipelines
-from hostweave.session import cut, prepare_session, work_path
+from hostweave.session import cut, is_folder, prepare_session, work_path
 from hostweave.sources import flows as fl, logs, snapshots as sn
 from hostweave.streaming import arrivals, jobs, monitor
 
@@ -922,9 +922,11 @@ def change_feed(spark, d):
 
 
 def _stream(spark, d, name):
-    """One of the tables as a stream of files."""
-    schema = fl.read_table(spark, d, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    """One of the tables, a file or a folder of files, as a stream of files."""
+    files = spark.readStream.schema(fl.read_table(spark, d, name).schema)
+    if is_folder(spark, f"{d}/{name}.parquet"):
+        return files.parquet(f"{d}/{name}.parquet")
+    return files.option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
 def _event_connections(df):

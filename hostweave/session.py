@@ -73,6 +73,11 @@ def versions(spark: SparkSession, path: str, key: str = "version") -> list[int]:
     return sorted(int(n.split("=", 1)[1]) for n in names if re.fullmatch(rf"{key}=\d+", n))
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).isDirectory(folder)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)

@@ -192,6 +192,27 @@ def test_a_stream_that_outlasts_a_time_limit_is_no_result(spark, tmp_path, monke
         catalog._to_table(spark, bad, "bad")
 
 
+def test_rolling_counts_of_a_table_in_several_files(spark, tmp_path):
+    """The stream reads a table that is a folder, also one with folders by value, as the closing step does."""
+    whole = _events(0, 200)
+    for i in range(2):
+        name = f"event_type={('view', 'purchase')[i]}"
+        (tmp_path / "values" / "events.parquet" / name).mkdir(parents=True)
+        (tmp_path / "files" / "events.parquet").mkdir(parents=True, exist_ok=True)
+        part = whole.take(list(range(i, 200, 2)))
+        pq.write_table(part, str(tmp_path / "files" / "events.parquet" / f"part-{i}.parquet"))
+        pq.write_table(part.drop_columns(["event_type"]), str(tmp_path / "values" / "events.parquet" / name / "part.parquet"))
+    micros = [int((t - datetime(1970, 1, 1)).total_seconds()) // 30 * 1_000_000 for t in whole["ts"].to_pylist()]
+    seen = defaultdict(list)
+    for m, user, kind in zip(micros, whole["user_id"].to_pylist(), whole["event_type"].to_pylist()):
+        seen[f"u{user}"].append(m)
+        seen[f"s-{kind}"].append(m)
+    want = {(n, m, sum(0 <= m - x <= 60_000_000 for x in t), sum(0 <= m - x <= 3_600_000_000 for x in t)) for n, t in seen.items() for m in t}
+    for d in ("files", "values"):
+        got = [tuple(r) for r in catalog.QUERIES["rolling_counts_stream"](spark, str(tmp_path / d)).collect()]
+        assert len(got) == len(want) == 400 and set(got) == want
+
+
 def test_change_feed_of_a_stream_equals_the_changes_of_neighbouring_snapshots(spark, tmp_path):
     """Rows out of order, a new batch at a time, and a batch that is written twice."""
     schema = "timestamp double, src_ip string, dst_ip string, protocol string, service string, dst_port int, " + ", ".join(
